@@ -79,8 +79,9 @@ def _(spark, sf):
     return x.where("y IS NOT NULL").select(*SERIES, "date", *r6("y", "y_log"))
 
 
-@query("w09_target_horizon_14", f"WITH {OBS}, {daily_sql()}, {history_sql(horizon=14)} SELECT {K}, date, round(fwd14 / base - 1, 6) AS y14, round(ln(fwd14 / base), 6) AS y14_log, {s6('ly_change')} FROM (SELECT * EXCLUDE (fwd14), fwd14 AS fwd14 FROM hist)"
-       .replace("fwd14, fwd14, ln(base", "fwd14, ln(base").replace("AS fwd14, CASE WHEN count(price) OVER (PARTITION BY item, channel ORDER BY dn RANGE BETWEEN 1 FOLLOWING AND 14 FOLLOWING) >= 5 THEN avg(price) OVER (PARTITION BY item, channel ORDER BY dn RANGE BETWEEN 1 FOLLOWING AND 14 FOLLOWING) END AS fwd14 FROM", "AS fwd14 FROM"))
+@query("w09_target_horizon_14", f"""WITH {OBS}, {daily_sql()}, x AS (SELECT {K}, date, {D.mean('price', 0, 6, 3)} AS base, {D.mean('price', -14, -1, 5)} AS fwd,
+  {D.mean('price', 358, 364, 3)} AS lb, {D.mean('price', 350, 363, 10)} AS lf FROM daily)
+SELECT {K}, date, round(fwd / base - 1, 6) AS y14, round(ln(fwd / base), 6) AS y14_log, round(ln(lf / lb), 6) AS ly_change FROM x""")
 def _(spark, sf):
     d = daily_prices(spark, sf)
     f = W.DayFrames(SERIES, "date")
@@ -290,11 +291,15 @@ def _(spark, sf):
 DENSE = f"""{TRADE_DAY}, sp AS (SELECT {K}, min(date) AS a, max(date) AS b FROM td GROUP BY ALL),
 gr AS (SELECT {K}, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM sp),
 dq AS (SELECT {K}, date, date - DATE '1970-01-01' AS dn, coalesce(q, 0) AS q FROM gr LEFT JOIN td USING ({K}, date))"""
-AVG3 = lambda c: f"list_avg(list_filter([{D.at(c, 364)}, {D.at(c, 728)}, {D.at(c, 1092)}], x -> x IS NOT NULL))"
+def avg3(c, fr):
+    """Mean of the available values 1, 2 and 3 years ago, as SQL."""
+    a = [fr.at(c, 364 * k) for k in (1, 2, 3)]
+    total = " + ".join(f"coalesce({x}, 0)" for x in a)
+    return f"(({total}) / nullif({' + '.join(f'count({c}) {fr.over(364 * k, 364 * k)}' for k in (1, 2, 3))}, 0))"
 
 
 @query("w24_volume_vs_normal", f"""WITH {DENSE}, s AS (SELECT *, {D.sum('q', 0, 13, 14)} AS s14, {D.sum('q', 0, 29, 30)} AS s30, {D.sum('q', 0, 6, 7)} AS s7, {D.sum('q', 7, 13, 7)} AS p7, {D.sum('q', 364, 370, 7)} AS y7 FROM dq)
-SELECT {K}, date, round(ln((s14 + 1) / ({AVG3('s14')} + 1)), 6) AS q14_vs_norm, round(ln((s30 + 1) / ({AVG3('s30')} + 1)), 6) AS q30_vs_norm,
+SELECT {K}, date, round(ln((s14 + 1) / ({avg3('s14', D)} + 1)), 6) AS q14_vs_norm, round(ln((s30 + 1) / ({avg3('s30', D)} + 1)), 6) AS q30_vs_norm,
  round(ln((s7 + 1) / (p7 + 1)), 6) AS q7_chg, round(ln((s7 + 1) / (y7 + 1)), 6) AS q7_yoy FROM s""")
 def _(spark, sf):
     d = W.densify(trade_days(spark, sf).select(*SERIES, "date", "q"), SERIES, "date", ["q"])
@@ -312,7 +317,7 @@ os AS (SELECT item, date, top_origin, sum(CASE WHEN region = top_origin THEN q E
 gr AS (SELECT item, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM sp),
 x AS (SELECT item, date, date - DATE '1970-01-01' AS dn, coalesce(top_qty, 0) AS tq, coalesce(total_qty, 0) AS aq FROM gr LEFT JOIN os USING (item, date)),
 s AS (SELECT *, CASE WHEN ({SqlFrames(['item']).sum('aq', 0, 13, 14)}) <> 0 THEN ({SqlFrames(['item']).sum('tq', 0, 13, 14)}) / ({SqlFrames(['item']).sum('aq', 0, 13, 14)}) END AS sh FROM x)
-SELECT item, date, round(sh - list_avg(list_filter([{SqlFrames(['item']).at('sh', 364)}, {SqlFrames(['item']).at('sh', 728)}, {SqlFrames(['item']).at('sh', 1092)}], z -> z IS NOT NULL)), 6) AS origin_share_dev FROM s""")
+SELECT item, date, round(sh - {avg3('sh', SqlFrames(['item']))}, 6) AS origin_share_dev FROM s""")
 def _(spark, sf):
     o = observations(spark, sf, True).groupBy("item", "region", "date").agg(F.sum("qty").alias("q"))
     t = A.top_origin_share(o, ["item"], "date", "region", "q", 1996, 1998, "AFRICA")
@@ -335,9 +340,9 @@ def area_weather(spark, sf):
 
 
 @query("w26_area_weather_30d", f"""WITH {OBS}, {WPROD}, g AS (SELECT *, dn - min(dn) OVER (PARTITION BY item ORDER BY dn ROWS UNBOUNDED PRECEDING) + 1 AS nd FROM pw),
-cl AS (SELECT item, month(date) AS mo, avg(t) AS c FROM pw WHERE year(date) BETWEEN 1996 AND 1998 GROUP BY ALL)
-SELECT g.item, date, CASE WHEN least(nd, 30) >= 20 THEN sum(CASE WHEN r >= 30 THEN 1 ELSE 0 END) {DI.over(0, 29)} END AS heavy30, round({DI.sum('r', 0, 29, 20)}, 4) AS rain30,
- round(({DI.mean('t', 0, 13, 10)}) - c, 4) AS temp14_anom FROM g LEFT JOIN cl ON cl.item = g.item AND mo = month(date)""")
+cl AS (SELECT item AS ci, month(date) AS mo, avg(t) AS c FROM pw WHERE year(date) BETWEEN 1996 AND 1998 GROUP BY ALL)
+SELECT item, date, CASE WHEN least(nd, 30) >= 20 THEN sum(CASE WHEN r >= 30 THEN 1 ELSE 0 END) {DI.over(0, 29)} END AS heavy30, round({DI.sum('r', 0, 29, 20)}, 4) AS rain30,
+ round(({DI.mean('t', 0, 13, 10)}) - c, 4) AS temp14_anom FROM g LEFT JOIN cl ON ci = g.item AND mo = month(date)""")
 def _(spark, sf):
     x = area_weather(spark, sf)
     f = W.DayFrames(["item"], "date")
@@ -411,13 +416,13 @@ def _(spark, sf):
     return x.select(*MK, "date", *r6("price"), F.round(F.when(F.col("spike"), F.col("prev_price")).otherwise(F.col("price")), 6).alias("repaired"), "spike")
 
 
-@query("w31_repaired_rows", f"""WITH {MKT} SELECT o.channel, o.date, count(*) AS n, round(sum(CASE WHEN spike THEN prev_price ELSE o.price END), 3) AS repaired_sum, sum(CASE WHEN spike THEN 1 ELSE 0 END) AS n_spikes
+@query("w31_repaired_rows", f"""WITH {MKT} SELECT o.channel, o.date, count(*) AS n, round(sum(CASE WHEN spike THEN prev_price ELSE o.price END), 6) AS repaired_sum, sum(CASE WHEN spike THEN 1 ELSE 0 END) AS n_spikes
 FROM obs o JOIN fl ON o.channel = fl.channel AND o.market = fl.market AND o.date = fl.date WHERE o.price > 0 GROUP BY ALL""")
 def _(spark, sf):
     o = observations(spark, sf).where("price > 0").select(*MK, "date", "price", F.col("price").alias("raw"))
     rep = R.repair_spikes(o, MK, "date", "price")
     flags = R.spike_flags(market_days(spark, sf), MK, "date", "price").select(*MK, "date", "spike")
-    return rep.join(flags, [*MK, "date"]).groupBy("channel", "date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 3).alias("repaired_sum"), F.sum(F.col("spike").cast("long")).alias("n_spikes"))
+    return rep.join(flags, [*MK, "date"]).groupBy("channel", "date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 6).alias("repaired_sum"), F.sum(F.col("spike").cast("long")).alias("n_spikes"))
 
 
 @query("w32_fence_filter", f"""WITH {MKT}, fe AS (SELECT channel, quantile_cont(change, 0.25) AS q1, quantile_cont(change, 0.75) AS q3 FROM cg WHERE gap <= 14 AND abs(change) > 1e-9 AND date <= DATE '1999-12-31' GROUP BY ALL)
@@ -433,7 +438,7 @@ ol AS (SELECT channel, avg(m) AS lo FROM od JOIN (SELECT channel, max(date) AS b
 nl AS (SELECT channel, n, a, avg(m) AS ln FROM nd JOIN (SELECT channel, n, min(date) AS a FROM nd GROUP BY ALL) USING (channel, n) WHERE date < a + 42 GROUP BY ALL),
 ra AS (SELECT channel, n, a, ln / lo AS ratio FROM nl JOIN ol USING (channel)),
 out AS (SELECT channel, brand, date, price FROM base WHERE brand <> 'Brand#1' UNION ALL SELECT b.channel, ra.n, b.date, b.price * ratio FROM base b JOIN ra ON b.channel = ra.channel WHERE brand = 'Brand#1' AND b.date < ra.a)
-SELECT channel, brand, date, count(*) AS n, round(sum(price), 4) AS price_sum FROM out GROUP BY ALL""")
+SELECT channel, brand, date, count(*) AS n, round(sum(price), 6) AS price_sum FROM out GROUP BY ALL""")
 def _(spark, sf):
     day = lambda s: F.to_date(F.lit(s))
     o = observations(spark, sf).select("channel", "brand", "item", "date", "price")
@@ -443,7 +448,7 @@ def _(spark, sf):
     base = o.where(keep)
     pairs = o.select("channel").distinct().select("channel", F.lit("Brand#1").alias("old_brand"), F.explode(F.array(F.lit("Brand#2"), F.lit("Brand#3"))).alias("new_brand"))
     out = R.splice_renamed(base, pairs, ["channel"], ["brand"], ["item"], "date", "price", ["price"])
-    return out.groupBy("channel", "brand", "date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 4).alias("price_sum"))
+    return out.groupBy("channel", "brand", "date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 6).alias("price_sum"))
 
 
 @query("w34_price_percentile", f"""{HIST}, x AS (SELECT {K}, date, base FROM hist WHERE base IS NOT NULL AND date > (SELECT max(date) FROM hist) - 365),
