@@ -59,7 +59,7 @@ def _(spark, sf):
     return x.select("o_orderkey", "priority", "date", F.round("total", 2).alias("total"), "n_orders", "fact_month")
 
 
-@query("j03_asof_missing_value_kept", f"""WITH {FACTS}, f AS (SELECT avail, CASE WHEN month(month) % 2 = 0 THEN sum(total) END AS total, month FROM facts GROUP BY ALL),
+@query("j03_asof_missing_value_kept", f"""WITH {FACTS}, f AS (SELECT avail, CASE WHEN month(month) % 2 = 0 THEN t END AS total, month FROM (SELECT avail, month, sum(total) AS t FROM facts GROUP BY avail, month)),
 d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)
 SELECT date, round(total, 2) AS total, month AS fact_month FROM d ASOF LEFT JOIN f ON date >= avail""")
 def _(spark, sf):
