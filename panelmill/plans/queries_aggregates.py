@@ -27,18 +27,18 @@ def _(spark, sf):
     return daily_prices(spark, sf, ["channel", "region"]).select("channel", "region", "date", *r6("price"))
 
 
-@query("a02_trade_totals", f"WITH {OBS} SELECT date, item, brand, status, round(coalesce(sum(qty), 0), 2) AS qty, round(coalesce(sum(amount), 0), 2) AS amount, count(*) AS n_trades, round(sum(amount) / sum(qty), 4) AS avg_price FROM obs GROUP BY ALL")
+@query("a02_trade_totals", f"WITH {OBS} SELECT date, item, brand, status, round(coalesce(sum(qty), 0), 2) AS qty, round(coalesce(sum(amount), 0), 2) AS amount, count(*) AS n_trades, round(sum(amount) / sum(qty), 6) AS avg_price FROM obs GROUP BY ALL")
 def _(spark, sf):
     x = A.trade_totals(observations(spark, sf).select("date", "item", "brand", "status", F.col("qty").alias("q"), F.col("amount").alias("a")), ["date", "item", "brand", "status"], "q", "a")
-    return x.select("date", "item", "brand", "status", F.round("qty", 2).alias("qty"), F.round("amount", 2).alias("amount"), "n_trades", F.round("avg_price", 4).alias("avg_price"))
+    return x.select("date", "item", "brand", "status", F.round("qty", 2).alias("qty"), F.round("amount", 2).alias("amount"), "n_trades", F.round("avg_price", 6).alias("avg_price"))
 
 
 @query("a03_totals_with_kept_unit", f"""WITH {OBS}, t AS (SELECT date, item, status, sum(qty) AS q, sum(amount) AS a, count(*) AS n FROM obs GROUP BY ALL)
-SELECT date, item, round(sum(a), 2) AS amount, CAST(sum(n) AS BIGINT) AS n_trades, round(sum(CASE WHEN status = 'F' THEN q END), 2) AS qty_kg, round(sum(CASE WHEN status = 'F' THEN a END) / sum(CASE WHEN status = 'F' THEN q END), 4) AS avg_price_kg FROM t GROUP BY ALL""")
+SELECT date, item, round(sum(a), 2) AS amount, CAST(sum(n) AS BIGINT) AS n_trades, round(sum(CASE WHEN status = 'F' THEN q END), 2) AS qty_kg, round(sum(CASE WHEN status = 'F' THEN a END) / sum(CASE WHEN status = 'F' THEN q END), 6) AS avg_price_kg FROM t GROUP BY ALL""")
 def _(spark, sf):
     t = observations(spark, sf).groupBy("date", "item", "status").agg(F.sum("qty").alias("q"), F.sum("amount").alias("a"), F.count(F.lit(1)).alias("n"))
     x = A.totals_with_unit(t, ["date", "item"], "status", "F", "q", "a", "n")
-    return x.select("date", "item", F.round("amount", 2).alias("amount"), "n_trades", F.round("qty_kg", 2).alias("qty_kg"), F.round("avg_price_kg", 4).alias("avg_price_kg"))
+    return x.select("date", "item", F.round("amount", 2).alias("amount"), "n_trades", F.round("qty_kg", 2).alias("qty_kg"), F.round("avg_price_kg", 6).alias("avg_price_kg"))
 
 
 @query("a04_station_and_national_means", f"""WITH {OBS}, st AS (SELECT date, market, avg(price) AS m, max(price) AS mx, count(price) AS n FROM obs GROUP BY ALL)
@@ -374,11 +374,11 @@ def _(spark, sf):
     return P.shares(d, "source", "none").select("source", "n", *r6("pct"))
 
 
-@query("a41_monthly_sums_by_prefix", """SELECT substr(lpad(CAST(l_partkey AS VARCHAR), 8, '0'), 5, 2) AS hs2, date_trunc('month', l_shipdate)::DATE AS month, round(sum(l_quantity) / 1000, 6) AS ton, round(sum(l_extendedprice) / 1e6, 6) AS musd FROM lineitem GROUP BY ALL""")
+@query("a41_monthly_sums_by_prefix", """SELECT substr(lpad(CAST(l_partkey AS VARCHAR), 8, '0'), 5, 2) AS hs2, date_trunc('month', l_shipdate)::DATE AS month, round(sum(l_quantity) / 1000, 8) AS ton, round(sum(l_extendedprice) / 1e6, 8) AS musd FROM lineitem GROUP BY ALL""")
 def _(spark, sf):
     li = table(spark, sf, "lineitem")
     return li.groupBy(F.substring(F.lpad(F.col("l_partkey").cast("string"), 8, "0"), 5, 2).alias("hs2"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("month")).agg(
-        F.round(F.sum("l_quantity") / 1000, 6).alias("ton"), F.round(F.sum("l_extendedprice") / 1e6, 6).alias("musd"))
+        F.round(F.sum("l_quantity") / 1000, 8).alias("ton"), F.round(F.sum("l_extendedprice") / 1e6, 8).alias("musd"))
 
 
 # ---- top-k, sampling, unions
