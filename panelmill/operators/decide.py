@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles, ordered_chunks
+from ..session import cut_lineage
 from ..functions.scalars import BAND, as_col, direction, probability_text, safe_div, shown_probability
 
 
@@ -18,6 +19,7 @@ def direction_hits(df: DataFrame, y: str, p: str) -> DataFrame:
 def fit_probability(hits: DataFrame, by: list[str] | None = None, top: float = 0.99) -> DataFrame:
     """a, b of hit = a + b ln(size) and cap = hit rate of the largest 1 % sizes, rounded down to whole percents."""
     by = by or []
+    hits = cut_lineage(hits.select(*by, "size", "hit"))  # three passes over the same narrow rows
     line = hits.groupBy(*by).agg(
         F.regr_intercept("hit", F.ln("size")).alias("a"), F.regr_slope("hit", F.ln("size")).alias("b"), F.count(F.lit(1)).alias("n"))
     q = exact_quantiles(hits, by, "size", {"_q": top})

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import OUT_OF_SCOPE, direction
+from ..session import cut_lineage
 from .cleaning import apply_scope, clip_to_train
 
 # Learner settings in use (trees, learning rate, row and column share, seed).
@@ -72,7 +73,11 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def train_and_score(df: DataFrame, kind: str, num, cats, y: str, train: Column, test: Column, pred: str = "pred", clip: bool = True, **kw) -> DataFrame:
     """Fit on the training rows (target held inside its 1 % and 99 % quantiles), score the test rows."""
-    x = model_rows(df, num, cats)
+    x = cut_lineage(model_rows(df, num, cats))  # learners pass over the rows many times
+    return _fit_and_score(x, kind, num, cats, y, train, test, pred, clip, **kw)
+
+
+def _fit_and_score(x: DataFrame, kind: str, num, cats, y: str, train: Column, test: Column, pred: str = "pred", clip: bool = True, **kw) -> DataFrame:
     t = clip_to_train(x.where(train), y, F.lit(True)) if clip else x.where(train)
     return score(fit(t, kind, num, cats, y, pred, **kw), x.where(test))
 
@@ -100,7 +105,7 @@ def spline_columns(df: DataFrame, cols: list[str], train: Column, knots: int = 5
 
 def classify(df: DataFrame, num, cats, y: str, train: Column, test: Column, band: float = 0.02, trees: int = 20, depth: int = 6, seed: int = 42) -> DataFrame:
     """Three-way forest, binary boosted (y > 0) and ordinal (two binary boosted) direction forecasts on the test rows."""
-    x = model_rows(df.where(F.col(y).isNotNull()), num, cats).withColumns({
+    x = cut_lineage(model_rows(df.where(F.col(y).isNotNull()), num, cats)).withColumns({
         "_cls": (direction(y, band) + 1).cast("double"), "_up": (F.col(y) > 0).cast("double"),
         "_gt": (F.col(y) > band).cast("double"), "_ge": (F.col(y) >= -band).cast("double"),
     })
@@ -109,7 +114,8 @@ def classify(df: DataFrame, num, cats, y: str, train: Column, test: Column, band
     rf = RandomForestClassifier(featuresCol="_features", labelCol="_cls", predictionCol="_p3", probabilityCol="_pp", rawPredictionCol="_pr", numTrees=trees, maxDepth=depth, maxBins=64, seed=seed)
     out = score(Pipeline(stages=[*_stages(num, cats), rf]).fit(tr), out).withColumn("three_way", (F.col("_p3") - 1).cast("int")).drop("_p3", "_pp", "_pr")
     for lab in ("_up", "_gt", "_ge"):
-        g = GBTClassifier(featuresCol="_features", labelCol=lab, predictionCol=f"p{lab}", probabilityCol=f"q{lab}", rawPredictionCol=f"r{lab}", maxIter=trees, maxDepth=4, stepSize=0.1, maxBins=64, seed=seed)
+        g = GBTClassifier(featuresCol="_features", labelCol=lab, predictionCol=f"p{lab}", maxIter=trees, maxDepth=4, stepSize=0.1, maxBins=64, seed=seed)
+        g = g.setProbabilityCol(f"q{lab}").setRawPredictionCol(f"r{lab}")
         out = score(Pipeline(stages=[*_stages(num, cats), g]).fit(tr), out).drop(f"q{lab}", f"r{lab}")
     ordinal = (F.col("p_gt") + F.col("p_ge") - 1).cast("int")
     return out.withColumn("up", F.col("p_up").cast("int")).withColumn("ordinal", ordinal).withColumn("label", direction(y, band)).drop("_cls", "_up", "_gt", "_ge", "p_up", "p_gt", "p_ge")
@@ -117,18 +123,18 @@ def classify(df: DataFrame, num, cats, y: str, train: Column, test: Column, band
 
 def out_of_year(df: DataFrame, kind: str, num, cats, y: str, day: str, years: list[int], pred: str = "pred_oof", **kw) -> DataFrame:
     """Predictions for each year from a model fitted on the other years (one fit per year, a fixed short list)."""
-    x = model_rows(df, num, cats)
+    x = cut_lineage(model_rows(df, num, cats))
     parts = [score(fit(x.where(F.year(day) != yv), kind, num, cats, y, pred, **kw), x.where(F.year(day) == yv)) for yv in years]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def per_group(df: DataFrame, kind: str, num, cats, y: str, group: str, train: Column, test: Column, fallback: str, min_rows: int = 1000, max_groups: int = 64, **kw) -> DataFrame:
     """Own model per group with enough training rows, the fallback column elsewhere. The number of fits is checked."""
-    n = df.where(train & F.col(y).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
+    x = cut_lineage(model_rows(df, num, [c for c in cats if c != group]))
+    n = x.where(train & F.col(y).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
     groups = [r[0] for r in n.orderBy(group).limit(max_groups + 1).collect()]
     if len(groups) > max_groups:
         raise ValueError(f"more than {max_groups} groups need their own model; choose a coarser group")
-    x = model_rows(df, num, [c for c in cats if c != group])
     rest = x.where(test & ~F.coalesce(F.col(group).isin(groups), F.lit(False))) if groups else x.where(test)
     parts = [rest.withColumn("pred", F.col(fallback))]
     for g in groups:
@@ -165,7 +171,8 @@ def search(df: DataFrame, kind: str, num, cats, y: str, train: Column, valid: Co
     """Metrics on later dates for every setting: one row per setting."""
     from .evaluate import metrics
 
-    parts = [metrics(train_and_score(df, kind, num, cats, y, train, valid, **o), y, "pred").withColumn("setting", F.lit(repr(o))) for o in options]
+    x = cut_lineage(model_rows(df, num, cats))
+    parts = [metrics(_fit_and_score(x, kind, num, cats, y, train, valid, **o), y, "pred").withColumn("setting", F.lit(repr(o))) for o in options]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -180,7 +187,8 @@ def ablation(df: DataFrame, kind: str, num, cats, y: str, train: Column, valid:
     from .evaluate import metrics
 
     runs = [("full", num, s) for s in seeds] + [(name, [c for c in num if c not in cols], s) for name, cols in drops.items() for s in seeds]
-    parts = [metrics(train_and_score(df, kind, cols, cats, y, train, valid, seed=s, **kw), y, "pred").select("rmse").withColumn("experiment", F.lit(n)).withColumn("seed", F.lit(s)) for n, cols, s in runs]
+    x = cut_lineage(model_rows(df, num, cats))
+    parts = [metrics(_fit_and_score(x, kind, cols, cats, y, train, valid, seed=s, **kw), y, "pred").select("rmse").withColumn("experiment", F.lit(n)).withColumn("seed", F.lit(s)) for n, cols, s in runs]
     r = reduce(lambda a, b: a.unionByName(b), parts)
     g = r.groupBy("experiment").agg(F.avg("rmse").alias("rmse"), F.stddev_samp("rmse").alias("spread"))
     full = g.where("experiment = 'full'").select(F.col("rmse").alias("_full"), (F.coalesce("spread", F.lit(0.0)) * 2).alias("sigma"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import average_ranks, bias_adjusted_skew, exact_median, exact_quantiles
 from ..functions.scalars import as_col, log_ratio, safe_div, safe_ln
+from ..session import cut_lineage
 from .windows import DayFrames
 
 
@@ -32,6 +33,7 @@ def spans(df: DataFrame, keys: list[str], day: str) -> DataFrame:
 
 def describe_columns(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     """n, missing %, mean, std (n-1), min, quartiles, max and adjusted skew, one row per group and column."""
+    df = cut_lineage(df.select(*by, *cols))
     long = df.unpivot(by, [F.col(c).cast("double").alias(c) for c in cols], "variable", "v")
     keys = [*by, "variable"]
     basic = long.groupBy(*keys).agg(
@@ -64,7 +66,7 @@ def panel_structure(df: DataFrame, keys: list[str], day: str, price: str, early:
         F.sum("_n").alias("_rows"), F.sum(F.col("_n") - 1).alias("_dup"), F.sum("_miss").alias("_missing"),
         F.min(day).alias("_a"), F.max(day).alias("_b"),
     )
-    per = per.withColumn("_density", F.col("_rows") / (F.datediff("_b", "_a") + 1))
+    per = cut_lineage(per.withColumn("_density", F.col("_rows") / (F.datediff("_b", "_a") + 1)))  # one row per series
     tot = per.agg(
         F.sum("_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_series"), F.sum("_dup").alias("n_duplicates"),
         F.sum("_missing").alias("n_missing"), F.min("_a").alias("first"), F.max("_b").alias("last"),
@@ -77,6 +79,7 @@ def panel_structure(df: DataFrame, keys: list[str], day: str, price: str, early:
 def price_levels(df: DataFrame, keys: list[str], by: list[str], price: str) -> DataFrame:
     """Distribution of the series' mean prices and the median coefficient of variation, per group."""
     s = df.groupBy(*by, *[k for k in keys if k not in by]).agg(F.avg(price).alias("_m"), safe_div(F.stddev_samp(price), F.avg(price)).alias("_cv"))
+    s = cut_lineage(s)  # one row per series
     n = s.groupBy(*by).agg(F.count(F.lit(1)).alias("n_series"))
     q = exact_quantiles(s, by, "_m", {"min": 0.0, "q25": 0.25, "median": 0.5, "q75": 0.75, "max": 1.0})
     cv = exact_median(s, by, "_cv", "median_cv")
@@ -84,6 +87,7 @@ def price_levels(df: DataFrame, keys: list[str], by: list[str], price: str) -> D
 
 
 def target_distribution(df: DataFrame, by: list[str], y: str) -> DataFrame:
+    df = cut_lineage(df.select(*by, y))
     q = exact_quantiles(df, by, y, {"q05": 0.05, "median": 0.5, "q95": 0.95})
     a = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"),
@@ -95,6 +99,7 @@ def target_distribution(df: DataFrame, by: list[str], y: str) -> DataFrame:
 def seasonal_index(df: DataFrame, keys: list[str], day: str, price: str, min_months: int = 10, min_years: int = 3) -> DataFrame:
     """Per series: amplitude of the mean monthly index and mean correlation between years' profiles."""
     m = df.groupBy(*keys, F.year(day).alias("_y"), F.month(day).alias("_mo")).agg(F.avg(price).alias("_p"))
+    m = cut_lineage(m)  # one row per series and month
     yr = m.groupBy(*keys, "_y").agg(F.avg("_p").alias("_py"), F.count("_p").alias("_k")).where(F.col("_k") >= min_months)
     years = yr.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_years")).where(F.col("n_years") >= min_years)
     idx = m.join(yr, [*keys, "_y"]).join(years, keys).withColumn("_i", safe_div("_p", "_py"))
@@ -182,7 +187,7 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """
     blocks = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]))
     xy = df.select(blocks.alias("p")).select("p.*").where("x IS NOT NULL AND y IS NOT NULL")
-    xy = xy.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    xy = cut_lineage(xy.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n")))
     rx = average_ranks(xy, ["a", "b"], "x", "rx", weight="n").drop("_n")
     ry = average_ranks(xy, ["a", "b"], "y", "ry", weight="n").drop("_n")
     r = xy.join(rx, ["a", "b", "x"]).join(ry, ["a", "b", "y"])
@@ -205,6 +210,7 @@ def pairs_above(rho: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def most_similar(rho: DataFrame) -> DataFrame:
     """Per column: the partner with the largest absolute correlation."""
+    rho = cut_lineage(rho)  # one row per column pair
     both = rho.select("a", "b", "rho").unionByName(rho.select(F.col("b").alias("a"), F.col("a").alias("b"), "rho"))
     best = F.max_by(F.struct("b", "rho"), F.struct(F.abs("rho").alias("r"), F.col("b").alias("b")))
     return both.where("rho IS NOT NULL").groupBy("a").agg(best.alias("_m")).select(F.col("a").alias("column"), F.col("_m.b").alias("mate"), F.col("_m.rho").alias("rho"))
@@ -212,6 +218,7 @@ def most_similar(rho: DataFrame) -> DataFrame:
 
 def variance_inflation(df: DataFrame, cols: list[str]) -> DataFrame:
     """VIF = diagonal of the inverse correlation matrix; missing values take the median. k x k numbers reach the driver."""
+    df = cut_lineage(df.select(*cols))
     med = exact_medians_row(df, cols)
     x = df.select(*cols).crossJoin(F.broadcast(med)).select(*[F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")).alias(c) for c in cols])
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
@@ -239,6 +246,7 @@ def keep_most_important(rho: DataFrame, importance: DataFrame, threshold: float)
 
     importance: column, importance. One greedy pass: a column falls to any more important neighbour.
     """
+    rho, importance = cut_lineage(rho), cut_lineage(importance)  # one row per pair, one per column
     both = rho.where(F.abs("rho") >= threshold).select("a", "b").unionByName(
         rho.where(F.abs("rho") >= threshold).select(F.col("b").alias("a"), F.col("a").alias("b")))
     ia = importance.select(F.col("column").alias("a"), F.col("importance").alias("_ia"))
@@ -268,7 +276,7 @@ def yearly_change(df: DataFrame, keys: list[str], day: str, price: str) -> DataF
     """Median and mean over series of the log change of yearly mean prices."""
     a = df.groupBy(*keys, F.year(day).alias("year")).agg(F.avg(price).alias("_p"))
     w = Window.partitionBy(*keys).orderBy("year")
-    a = a.withColumn("_c", log_ratio("_p", F.lag("_p").over(w))).where("_c IS NOT NULL")
+    a = cut_lineage(a.withColumn("_c", log_ratio("_p", F.lag("_p").over(w))).where("_c IS NOT NULL"))
     m = exact_median(a, ["year"], "_c", "_med")
     g = a.groupBy("year").agg(F.avg("_c").alias("_avg"), F.count("_c").alias("n_series"))
     return g.join(m, "year").select("year", F.expm1("_med").alias("median_change"), F.expm1("_avg").alias("mean_change"), "n_series")

@@ -10,6 +10,7 @@ from ..operators import aggregates as A
 from ..operators import profile as P
 from ..operators import repair as R
 from ..operators import windows as W
+from ..session import cut_lineage
 from .queries_windows import HIST, K, ORIGIN, TRADE_DAY, WPROD, area_weather, event_weather, history, market_days, r6, s6, trade_days
 from .registry import query
 from .roles import FACTS, OBS, SERIES, SqlFrames, daily_prices, daily_sql, event_days, history_sql, monthly_facts, observations, table
@@ -219,7 +220,7 @@ def _(spark, sf):
  SELECT date AS d, unnest(['r28', 'yoy', 'y']) AS v, unnest([CASE WHEN r28 IS NULL THEN 1.0 ELSE 0 END, CASE WHEN yoy IS NULL THEN 1.0 ELSE 0 END, CASE WHEN y IS NULL THEN 1.0 ELSE 0 END]) AS m FROM hist) GROUP BY v)
 SELECT v AS "column", round(a, 6) AS before_pct, round(b, 6) AS after_pct, round(b - a, 6) AS rise FROM r WHERE b - a > 10""")
 def _(spark, sf):
-    x = history(spark, sf)
+    x = cut_lineage(history(spark, sf).select("date", "r28", "yoy", "y"))
     cut = F.to_date(F.lit("1996-06-30"))
     return P.missing_drift(x.where(F.col("date") >= cut), x.where(F.col("date") < cut), ["r28", "yoy", "y"]).select("column", *r6("before_pct", "after_pct", "rise"))
 
@@ -351,7 +352,7 @@ def _(spark, sf):
 b2 AS (SELECT a, b FROM rh WHERE abs(rho) >= 0.3 UNION ALL SELECT b, a FROM rh WHERE abs(rho) >= 0.3), lo AS (SELECT b2.a, arg_max(b2.b, (ib.i, b2.b)) AS covered_by FROM b2 JOIN im ia ON ia.c = b2.a JOIN im ib ON ib.c = b2.b WHERE ib.i > ia.i OR (ib.i = ia.i AND b2.b < b2.a) GROUP BY b2.a)
 SELECT c AS "column", i AS importance, covered_by, covered_by IS NULL AS keep FROM im LEFT JOIN lo ON lo.a = im.c""")
 def _(spark, sf):
-    h = history(spark, sf)
+    h = cut_lineage(history(spark, sf).select("r7", "r28", "dev_last", "n_obs28", "y"))
     cols = ["r7", "r28", "dev_last", "n_obs28"]
     imp = h.agg(*[F.round(F.abs(F.corr(c, "y")), 6).alias(c) for c in cols]).unpivot([], cols, "column", "importance")
     return P.keep_most_important(P.spearman_pairs(h, ALL4), imp, 0.3).select("column", "importance", "covered_by", "keep")

@@ -13,7 +13,7 @@ from ..operators import decide as C
 from ..operators import evaluate as E
 from ..operators import models as ML
 from ..operators import windows as W
-from ..operators.cleaning import clip_to_train
+from ..session import cut_lineage
 from .queries_windows import HIST, K, LAB, PRED, REGION_HIST, RK, RKS, history, predictions, r6, regional, s6
 from .registry import query
 from .roles import FACTS, OBS, SERIES
@@ -184,7 +184,7 @@ def _(spark, sf):
 @query("m20_shown_probability", f"""{HITS}, {CAL}, s AS (SELECT {K}, date, p, CASE WHEN abs(p) > 0.01 THEN least(round_even(greatest(0, least(1, a + b * ln(greatest(abs(p), 1e-6)))) / 0.01, 0) * 0.01, cap) END AS prob FROM pv LEFT JOIN fit USING (channel))
 SELECT {K}, date, {s6('p')}, round(prob, 4) AS prob FROM s""")
 def _(spark, sf):
-    x = predictions(spark, sf)
+    x = cut_lineage(predictions(spark, sf))
     fit = C.fit_probability(C.direction_hits(x, "y", "p"), ["channel"])
     return C.with_probability(x, "p", fit, ["channel"]).select(*SERIES, "date", *r6("p"), F.round("prob", 4).alias("prob"))
 
@@ -196,7 +196,7 @@ FIT1 = "f1 AS (SELECT regr_intercept(hit, ln(size)) AS a, regr_slope(hit, ln(siz
 g AS (SELECT round(CASE WHEN prob <= 0.5 THEN 0.5 ELSE ceil((prob - 1e-9) / 0.05) * 0.05 END, 2) AS upto, count(*) AS n, avg(hit) AS hit_rate FROM s GROUP BY ALL)
 SELECT upto, n, round(n / (SELECT count(*) FROM s), 6) AS share, round(hit_rate, 6) AS hit_rate, (SELECT round(avg((raw - hit) * (raw - hit)), 6) FROM s) AS brier FROM g""")
 def _(spark, sf):
-    h = C.direction_hits(predictions(spark, sf), "y", "p")
+    h = cut_lineage(C.direction_hits(predictions(spark, sf), "y", "p").select("p", "y", "size", "hit"))
     fit = C.fit_probability(h)
     b = C.brier(h, "p", fit).select(F.round("brier", 6).alias("brier"))
     return C.calibration_bins(h, "p", fit).select("upto", "n", *r6("share", "hit_rate")).crossJoin(F.broadcast(b))  # one row
@@ -207,7 +207,7 @@ def _(spark, sf):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    h = C.direction_hits(predictions(spark, sf), "y", "p").select(*SERIES, "date", "size", "hit")
+    h = cut_lineage(C.direction_hits(predictions(spark, sf), "y", "p").select(*SERIES, "date", "size", "hit"))
     lg = ML.fit_logistic(h).transform(h.withColumn("_ln", F.ln("size"))).withColumn("logit", vector_to_array("logit_prob")[1]).select(*SERIES, "date", "size", "hit", "logit")
     iso = ML.fit_isotonic(h).transform(VectorAssembler(inputCols=["size"], outputCol="_features").transform(lg))
     return iso.agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("iso") - F.col("hit"), 2)).alias("isotonic_brier"), F.avg(F.pow(F.col("logit") - F.col("hit"), 2)).alias("logistic_brier"))
@@ -245,7 +245,7 @@ def _(spark, sf):
 c AS (SELECT threshold, base, 1 + y AS sp, least(1, 1 + y) AS be, CASE WHEN coalesce(prob > threshold, FALSE) AND p > 0.01 THEN 1.0 ELSE 1 + y END AS c FROM s)
 SELECT threshold, round(100 * avg(sp - c), 6) AS saving_pct, round(100 * sum(sp - c) / sum(sp - be), 6) AS of_possible_pct, round(avg((sp - c) * base), 6) AS saving_per_kg FROM c GROUP BY ALL""")
 def _(spark, sf):
-    x = predictions(spark, sf)
+    x = cut_lineage(predictions(spark, sf))
     x = C.with_probability(x, "p", C.fit_probability(C.direction_hits(x, "y", "p")))
     return C.savings_above(x, "y", "p", "base", "prob", (0.4, 0.5, 0.6)).select("threshold", *r6("saving_pct", "of_possible_pct", "saving_per_kg"))
 
@@ -260,7 +260,7 @@ def _(spark, sf):
 o AS (SELECT *, row_number() OVER (PARTITION BY {K}, year ORDER BY w) AS i FROM wk),
 RECURSIVE_PLACEHOLDER
 """.replace("RECURSIVE_PLACEHOLDER", f"""z AS (SELECT *, count(*) OVER (PARTITION BY {K}, year) AS k, last_value(b) OVER (PARTITION BY {K}, year ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lb FROM o),
-st AS (SELECT {K}, year, 0 AS i, 2.0 AS s0, 2.0 AS s1, 2.0 AS s2, 0.0 AS c0, 0.0 AS c1, 0.0 AS c2 FROM (SELECT DISTINCT {K}, year FROM z)
+st AS (SELECT {K}, year, 0::BIGINT AS i, 2::DOUBLE AS s0, 2::DOUBLE AS s1, 2::DOUBLE AS s2, 0::DOUBLE AS c0, 0::DOUBLE AS c1, 0::DOUBLE AS c2 FROM (SELECT DISTINCT {K}, year FROM z)
  UNION ALL SELECT z.item, z.channel, z.year, z.i, s0 + greatest(0, 2 - s0) - 1, s1 + greatest(0, CASE WHEN p > 0.01 THEN 4 ELSE 2 END - s1) - 1, s2 + greatest(0, CASE WHEN p > 0.01 THEN 4 WHEN p < -0.01 THEN 1 ELSE 2 END - s2) - 1,
   c0 + greatest(0, 2 - s0) * b, c1 + greatest(0, CASE WHEN p > 0.01 THEN 4 ELSE 2 END - s1) * b, c2 + greatest(0, CASE WHEN p > 0.01 THEN 4 WHEN p < -0.01 THEN 1 ELSE 2 END - s2) * b
  FROM st JOIN z ON z.item = st.item AND z.channel = st.channel AND z.year = st.year AND z.i = st.i + 1),
@@ -280,7 +280,7 @@ SELECT {K}, date, round(base * (1 + p), 6) AS price_forecast, {LAB('p', 0.01)} A
 def _(spark, sf):
     from ..operators.cleaning import keyed_first
 
-    x = predictions(spark, sf)
+    x = cut_lineage(predictions(spark, sf))
     fit = C.fit_probability(C.direction_hits(x, "y", "p"), ["channel"])
     latest = keyed_first(x, SERIES, [F.col("date")], keep="last")
     y = C.forecast_cards(C.with_probability(latest, "p", fit, ["channel"]), "base", "p", "prob", ["r7", "r28", "r91", "yoy", "ly_change"])
@@ -325,9 +325,10 @@ def _(spark, sf):
 
 @query("m06_robust_losses")
 def _(spark, sf):
-    a = _scored(spark, sf, "boosted", trees=5, loss="absolute").withColumnRenamed("pred", "absolute")
-    b = _scored(spark, sf, "huber").withColumnRenamed("pred", "huber").drop("y")
-    return a.join(b, [*SERIES, "date"])
+    x = cut_lineage(frame(spark, sf))
+    a, b = [ML.train_and_score(x, k, NUM, CATS, "y", train_rows(), test_rows(), **kw) for k, kw in (("boosted", {"trees": 5, "loss": "absolute"}), ("huber", {}))]
+    a = a.select(*SERIES, "date", "y", F.round("pred", 6).alias("absolute"))
+    return a.join(b.select(*SERIES, "date", F.round("pred", 6).alias("huber")), [*SERIES, "date"])
 
 
 @query("m07_blend_gram_sums", f"{THREE} SELECT " + ", ".join(f"round(sum({MODELS[i]} * {MODELS[j]}), 5) AS g{i}_{j}" for i in range(3) for j in range(i, 3)) + ", " + ", ".join(f"round(sum({m} * y), 5) AS b{i}" for i, m in enumerate(MODELS)) + " FROM p3")
@@ -346,7 +347,7 @@ def _(spark, sf):
 def _(spark, sf):
     from functools import reduce
 
-    x = three(spark, sf)
+    x = cut_lineage(three(spark, sf))
     w = E.blend_weights(x.where(valid_rows()), "y", MODELS)
     blend = reduce(lambda a, b: a + b, [F.col(m) * F.lit(v) for m, v in zip(MODELS, w)])
     t = x.where(test_rows()).withColumn("blend", blend)
@@ -371,13 +372,13 @@ def _(spark, sf):
 
 @query("m10_importance")
 def _(spark, sf):
-    x = ML.model_rows(frame(spark, sf).where(train_rows()), NUM, CATS)
+    x = cut_lineage(ML.model_rows(frame(spark, sf).where(train_rows()), NUM, CATS))
     return ML.importances(ML.fit(x, "forest", NUM, CATS, "y", trees=5, depth=5), NUM, CATS, spark)
 
 
 @query("m10_permutation_importance")
 def _(spark, sf):
-    x = ML.model_rows(frame(spark, sf), NUM, CATS)
+    x = cut_lineage(ML.model_rows(frame(spark, sf), NUM, CATS))
     m = ML.fit(x.where(train_rows()), "ridge", NUM, CATS, "y")
     te = x.where(test_rows())
     parts = [E.metrics(ML.score(m, te), "y", "pred").withColumn("shuffled", F.lit("none"))]
@@ -392,7 +393,7 @@ SELECT 'r28' AS feature, round(corr(rx, ry), 5) AS rho, CASE WHEN abs(corr(rx, r
 def _(spark, sf):
     from ..operators.profile import spearman_pairs
 
-    x = history(spark, sf).where("y IS NOT NULL AND r28 IS NOT NULL")
+    x = cut_lineage(history(spark, sf).where("y IS NOT NULL AND r28 IS NOT NULL").select("item", "r28", "y"))
     x = W.group_mean(W.group_mean(x, ["item"], "r28", "mx"), ["item"], "y", "my")
     x = x.select(F.round(F.col("r28") - F.col("mx"), 9).alias("xw"), F.round(F.col("y") - F.col("my"), 9).alias("yw"))
     r = spearman_pairs(x, [("xw", "yw")])
@@ -416,7 +417,7 @@ def _(spark, sf):
 
     from ..session import checkpoint_folder
 
-    x = ML.model_rows(frame(spark, sf), NUM, CATS)
+    x = cut_lineage(ML.model_rows(frame(spark, sf), NUM, CATS))
     m = ML.fit(x.where(train_rows()), "ridge", NUM, CATS, "y")
     path = f"{checkpoint_folder(spark)}/model-{uuid.uuid4().hex}"
     ML.save(m, path)
@@ -428,7 +429,7 @@ def _(spark, sf):
 
 @query("m27_feature_subset")
 def _(spark, sf):
-    x = frame(spark, sf)
+    x = cut_lineage(frame(spark, sf))
     small = ["r28", "dev_last"]
     a = E.metrics(ML.train_and_score(x, "ridge", NUM, CATS, "y", train_rows(), test_rows()), "y", "pred").withColumn("features", F.lit("all"))
     b = E.metrics(ML.train_and_score(x, "ridge", small, CATS, "y", train_rows(), test_rows()), "y", "pred").withColumn("features", F.lit("price_only"))
@@ -437,6 +438,6 @@ def _(spark, sf):
 
 @query("m28_seed_stability")
 def _(spark, sf):
-    x = frame(spark, sf)
+    x = cut_lineage(frame(spark, sf))
     parts = [ML.train_and_score(x, "boosted", NUM, CATS, "y", train_rows(), test_rows(), pred=f"p{s}", seed=s, trees=3).select(*SERIES, "date", f"p{s}") for s in (42, 43)]
     return E.seed_agreement(parts[0].join(parts[1], [*SERIES, "date"]), {"42": "p42", "43": "p43"})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,7 +40,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint in the shared folder: survives the loss of executors."""
+    """Write the frame once as parquet in the shared folder and read it back.
+
+    Used where several branches need the same derived rows: they are computed once, later stages can prune columns
+    and see real sizes, and a lost executor costs no recomputation upstream. The folder is the cluster's checkpoint
+    folder, so its retention rule clears the tables.
+    """
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_folder(spark)}/once-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
