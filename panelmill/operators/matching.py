@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import as_col, safe_div
 
@@ -62,23 +65,53 @@ def unit_grams(rows: DataFrame, table: DataFrame, item: str = "item_nm", variety
     return rows.join(look, same, "left").drop("_ki", "_kv", "_ku")
 
 
-def first_contained(names: DataFrame, name: str, aliases: DataFrame, out: list[str]) -> DataFrame:
+# Alias lists up to this size are matched inside one expression; longer ones by an equi join on substrings.
+INLINE_ALIASES = 2000
+
+
+def best_alias(names: DataFrame, name: str, aliases: DataFrame, out: list[str], order: list[str], eligible=None, inline: int = INLINE_ALIASES) -> DataFrame:
+    """First alias (by `order`) contained in each name; aliases flagged `exact` must equal it.
+
+    names: distinct names with whatever columns `eligible` reads; eligible(get) gives a condition, get(c) being a column
+    of the alias. The alias list is counted first: a short one becomes a constant array tested per name. A longer one
+    meets substrings of the name by equality: work per name is (length x number of distinct alias lengths).
+    """
+    fields = list(dict.fromkeys(["alias", "exact", *order, *out]))
+    rows = aliases.select(*fields).limit(inline + 1).collect()
+    if len(rows) <= inline:
+        rows = sorted((r.asDict() for r in rows), key=lambda r: [r[o] for o in order])
+        schema = aliases.select(*fields).schema
+        listed = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), T.ArrayType(schema))
+
+        def fits(x):
+            ok = F.contains(F.col(name), x["alias"]) & (~x["exact"] | (x["alias"] == F.col(name)))
+            return ok & eligible(lambda c: x[c]) if eligible else ok
+
+        m = names.withColumn("_m", F.get(F.filter(listed, fits), F.lit(0))).where("_m IS NOT NULL")
+    else:
+        lens = aliases.select(F.length("alias").alias("_l")).where("_l > 0").groupBy(F.lit(1)).agg(F.collect_set("_l").alias("_ls"))
+        cut = (
+            names.crossJoin(F.broadcast(lens.select("_ls")))  # one row: the set of alias lengths
+            .withColumn("_l", F.explode("_ls")).where(F.length(name) >= F.col("_l"))
+            .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(name) - F.col("_l") + 1)))
+            .withColumn("alias", F.expr(f"substring(`{name}`, _at, _l)")).drop("_ls", "_l", "_at").distinct()
+        )
+        cond = ~F.col("exact") | (F.col("alias") == F.col(name))
+        if eligible:
+            cond = cond & eligible(F.col)
+        hit = cut.join(aliases.select(*fields), "alias").where(cond)
+        m = hit.groupBy(name).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("_m"))
+    return m.select(name, *[F.col(f"_m.{c}").alias(c) for c in out])
+
+
+def first_contained(names: DataFrame, name: str, aliases: DataFrame, out: list[str], inline: int = INLINE_ALIASES) -> DataFrame:
     """Best alias contained in each distinct name: longest first, then declared order; one-character aliases need equality.
 
-    aliases: alias, rank (declared order) and the `out` columns. Each name is cut into its substrings of the alias
-    lengths, so matching is an equi join and the work is (name length x number of distinct alias lengths).
+    aliases: alias, rank (declared order) and the `out` columns.
     """
     n = names.select(name).where(F.col(name).isNotNull()).distinct()
-    lens = aliases.select(F.length("alias").alias("_l")).where("_l > 0").groupBy(F.lit(1)).agg(F.collect_set("_l").alias("_ls"))
-    cut = (
-        n.crossJoin(F.broadcast(lens.select("_ls")))  # one row: the set of alias lengths
-        .withColumn("_l", F.explode("_ls")).where(F.length(name) >= F.col("_l"))
-        .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(name) - F.col("_l") + 1)))
-        .select(name, F.expr(f"substring(`{name}`, _at, _l)").alias("alias")).distinct()
-    )
-    hit = cut.join(aliases, "alias").where((F.length("alias") > 1) | (F.col("alias") == F.col(name)))
-    order = F.struct((-F.length("alias")).alias("a"), F.col("rank").alias("b"))
-    return hit.groupBy(name).agg(F.min_by(F.struct(*out, "alias"), order).alias("_m")).select(name, *[F.col(f"_m.{c}") for c in out], F.col("_m.alias").alias("matched_alias"))
+    a = aliases.withColumns({"exact": F.length("alias") == 1, "_len": -F.length("alias")})
+    return best_alias(n, name, a, out, ["_len", "rank"], inline=inline)
 
 
 def season_windows(rows: DataFrame, seasons: DataFrame, item: str, day: str) -> DataFrame:

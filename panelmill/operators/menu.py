@@ -10,7 +10,7 @@ from ..functions.quantiles import exact_median
 from ..functions.scalars import safe_div
 from ..functions.text import clean_ingredient, menu_name, strip_all, unify
 from .aggregates import ordered_concat
-from .matching import override
+from .matching import best_alias, override
 
 
 def recipe_ingredients(recipes: DataFrame, key: str = "recipe_id", listed: str = "ingredients", text: str = "ingredients_text") -> DataFrame:
@@ -57,8 +57,7 @@ def is_seasoning(c: Column) -> Column:
 def ingredient_map(ingredients: DataFrame, items: DataFrame, products: DataFrame, product: str) -> DataFrame:
     """Every distinct ingredient: class, price item, price source, number of recipes.
 
-    Names are cut into substrings of the alias lengths and meet aliases by equality, so no pair of all names and
-    aliases is formed. items needs item_nm and line (its order in the file).
+    Works on distinct names. items needs item_nm and line (its order in the file).
     """
     spark = ingredients.sparkSession
     n = ingredients.groupBy("ingredient").agg(F.count(F.lit(1)).alias("n_recipes"))
@@ -68,18 +67,11 @@ def ingredient_map(ingredients: DataFrame, items: DataFrame, products: DataFrame
     aliases = alias_table(spark, items)
     sold = sold_packaged(products, product)
     aliases = aliases.where("tier < 2").unionByName(aliases.where("tier = 2").join(sold, "price_item", "left_semi"))
-    lens = aliases.select(F.length("alias").alias("l")).groupBy(F.lit(1)).agg(F.collect_set("l").alias("_ls")).select("_ls")
-    cut = (
-        n.where(F.col("class") == V.CLASS_FOOD).crossJoin(F.broadcast(lens))  # one row: the alias lengths
-        .withColumn("_l", F.explode("_ls")).where(F.length("ingredient") >= F.col("_l"))
-        .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("ingredient") - F.col("_l") + 1)))
-        .select("ingredient", "_fresh_ok", F.expr("substring(ingredient, _at, _l)").alias("alias")).distinct()
-    )
-    hit = cut.join(aliases, "alias").where((F.col("_fresh_ok") | (F.col("tier") == 2)) & (~F.col("exact") | (F.col("alias") == c)))
-    best = hit.groupBy("ingredient").agg(F.min_by(F.struct("price_item", "price_source"), F.struct("tier", "sort")).alias("_m"))
+    food = n.where(F.col("class") == V.CLASS_FOOD).select("ingredient", "_fresh_ok")
+    best = best_alias(food, "ingredient", aliases, ["price_item", "price_source"], ["tier", "sort"], lambda get: F.col("_fresh_ok") | (get("tier") == 2))
     return (
         n.join(best, "ingredient", "left")
-        .select("ingredient", "class", F.col("_m.price_item").alias("price_item"), F.col("_m.price_source").alias("price_source"), "n_recipes")
+        .select("ingredient", "class", "price_item", "price_source", "n_recipes")
     )
 
 
