@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import as_col, safe_div
+from ..session import cut_lineage
 
 
 def explode_list(df: DataFrame, col: str, name: str, sep: str = ";") -> DataFrame:
@@ -38,31 +39,18 @@ KG_UNITS, GRAM_UNITS = ("L", "ℓ"), ("g", "ml")
 def unit_grams(rows: DataFrame, table: DataFrame, item: str = "item_nm", variety: str = "vrty_nm", unit: str = "unit") -> DataFrame:
     """Grams per unit: weight units directly, count units from the table (variety hit first, then the default row).
 
-    table: item, unit, vrty_contains, g_per_unit, source and a line number `line` for file order. Looked up once per
-    distinct (item, variety, unit).
+    table: item_nm, unit, vrty_contains, g_per_unit, source and a line number `line` for file order. The table is folded
+    to one row per (item, unit) holding its few options, so rows need one join and no second pass.
     """
-    keys = rows.select(item, variety, unit).distinct()
-    t = table.select(
-        F.col("item_nm").alias("_i"), F.col("unit").alias("_u"), F.coalesce("vrty_contains", F.lit("")).alias("_vc"),
-        F.col("g_per_unit").cast("double").alias("_g"), F.col("source").alias("_src"), F.col("line").alias("_line"),
-    )
-    u = F.col(unit)
+    option = F.struct(F.col("line").alias("line"), F.coalesce("vrty_contains", F.lit("")).alias("has"), F.col("g_per_unit").cast("double").alias("g"), F.col("source").alias("src"))
+    t = table.groupBy(F.col("item_nm").alias("_i"), F.col("unit").alias("_u")).agg(F.array_sort(F.collect_list(option)).alias("_o"))
+    u, v = F.col(unit), F.coalesce(F.col(variety), F.lit(""))
     weight = F.when(u.startswith("kg") | u.isin(*KG_UNITS), 1000.0).when(u.isin(*GRAM_UNITS), 1.0)
-    hit = (F.col("_vc") != "") & F.coalesce(F.col(variety), F.lit("")).contains(F.col("_vc"))
-    tier = F.when(hit, 0).when(F.col("_vc") == "", 1)
-    best = (
-        keys.join(t, (F.col(item) == F.col("_i")) & (u == F.col("_u")), "left")
-        .withColumn("_tier", tier)
-        .groupBy(item, variety, unit)
-        .agg(F.min_by(F.struct("_g", "_src"), F.when(F.col("_tier").isNotNull(), F.struct("_tier", "_line"))).alias("_b"))
-    )
-    look = best.select(
-        F.col(item).alias("_ki"), F.col(variety).alias("_kv"), F.col(unit).alias("_ku"),
-        F.coalesce(weight, F.col("_b._g")).alias("unit_g"),
-        F.when(weight.isNotNull(), "weight").when(F.col("_b._g").isNotNull(), F.concat(F.lit("table:"), "_b._src")).otherwise("missing").alias("unit_g_source"),
-    )
-    same = rows[item].eqNullSafe(look["_ki"]) & rows[variety].eqNullSafe(look["_kv"]) & rows[unit].eqNullSafe(look["_ku"])
-    return rows.join(look, same, "left").drop("_ki", "_kv", "_ku")
+    hit = F.get(F.filter("_o", lambda x: (x["has"] != "") & v.contains(x["has"])), F.lit(0))
+    plain = F.get(F.filter("_o", lambda x: x["has"] == ""), F.lit(0))
+    x = rows.join(t, (F.col(item) == F.col("_i")) & (u == F.col("_u")), "left").withColumn("_b", F.coalesce(hit, plain))
+    source = F.when(weight.isNotNull(), "weight").when(F.col("_b.g").isNotNull(), F.concat(F.lit("table:"), "_b.src")).otherwise("missing")
+    return x.withColumns({"unit_g": F.coalesce(weight, F.col("_b.g")), "unit_g_source": source}).drop("_i", "_u", "_o", "_b")
 
 
 # Alias lists up to this size are matched inside one expression; longer ones by an equi join on substrings.
@@ -176,7 +164,7 @@ def duplicate_series(daily: DataFrame, series: str, day: str, price: str, min_ov
     width = 64.0 * rtol
     ln = F.ln(F.col(price))
     grids = F.array(F.struct(F.lit(0).alias("g"), F.floor(ln / width).alias("c")), F.struct(F.lit(1).alias("g"), F.floor(ln / width + 0.5).alias("c")))
-    obs = daily.where(F.col(price) > 0).select(series, day, price)
+    obs = cut_lineage(daily.where(F.col(price) > 0).select(series, day, price))
     tok = obs.withColumn("_t", F.explode(grids)).select(series, day, F.col("_t.g").alias("_g"), F.col("_t.c").alias("_c"))
     freq = tok.groupBy(day, "_g", "_c").agg(F.count(F.lit(1)).alias("_f")).where("_f > 1")
     # Rarest first inside a series; the last need-1 tokens may be skipped. A series has at most two tokens per day.
@@ -187,6 +175,7 @@ def duplicate_series(daily: DataFrame, series: str, day: str, price: str, min_ov
         .withColumn("_k", F.count(F.lit(1)).over(w))
         .where(F.col("_r") <= F.col("_k") - (need - 1))
     )
+    rare = cut_lineage(rare.select(series, day, "_g", "_c"))
     left = rare.select(F.col(series).alias("_a"), day, "_g", "_c")
     right = rare.select(F.col(series).alias("_b"), day, "_g", "_c")
     cand = left.join(right, [day, "_g", "_c"]).where("_a < _b").select("_a", "_b").distinct()

@@ -171,7 +171,8 @@ def _(spark, sf):
 @query("a18_leave_one_out_mean", f"""{HIST}, g AS (SELECT *, sum(coalesce(r28, 0)) OVER w AS s, count(r28) OVER w AS n FROM hist WINDOW w AS (PARTITION BY date, channel))
 SELECT {K}, date, round(CASE WHEN n - CASE WHEN r28 IS NULL THEN 0 ELSE 1 END > 0 THEN (s - coalesce(r28, 0)) / (n - CASE WHEN r28 IS NULL THEN 0 ELSE 1 END) END, 6) AS grp_r28 FROM g""")
 def _(spark, sf):
-    return W.leave_one_out_mean(history(spark, sf), ["date", "channel"], "r28", "grp_r28").select(*SERIES, "date", *r6("grp_r28"))
+    x = cut_lineage(history(spark, sf).select(*SERIES, "date", "r28"))
+    return W.leave_one_out_mean(x, ["date", "channel"], "r28", "grp_r28").select(*SERIES, "date", *r6("grp_r28"))
 
 
 @query("a19_prior_years_norm", f"""{HIST}, a AS (SELECT {K}, weekofyear(date) AS woy, year(date) AS year, avg(y) AS v FROM hist GROUP BY ALL)
@@ -183,7 +184,7 @@ def _(spark, sf):
 @query("a20_climatology_anomaly", f"""WITH {OBS}, {daily_sql()}, c AS (SELECT {K}, month(date) AS mo, avg(price) AS clim FROM daily WHERE year(date) BETWEEN 1996 AND 1998 GROUP BY ALL)
 SELECT d.item, d.channel, date, round(clim, 6) AS clim, round(price - clim, 6) AS anomaly FROM daily d LEFT JOIN c ON c.item = d.item AND c.channel = d.channel AND mo = month(date)""")
 def _(spark, sf):
-    d = daily_prices(spark, sf).withColumn("mo", F.month("date"))
+    d = cut_lineage(daily_prices(spark, sf).withColumn("mo", F.month("date")))
     c = d.where(F.year("date").between(1996, 1998)).groupBy(*SERIES, "mo").agg(F.avg("price").alias("clim"))
     return d.join(c, [*SERIES, "mo"], "left").select(*SERIES, "date", *r6("clim"), F.round(F.col("price") - F.col("clim"), 6).alias("anomaly"))
 

@@ -177,8 +177,8 @@ D6 = SqlFrames(["p_type", "se_nm"])
 
 def series_price(spark, sf):
     """Price rows with variety and grade folded away, so series are dense enough at every scale."""
-    p = price(spark, sf)
-    return p.withColumns({"vrty_nm": F.lit("v"), "grd_nm": F.lit("g")})
+    p = price(spark, sf).withColumns({"vrty_nm": F.lit("v"), "grd_nm": F.lit("g")})
+    return cut_lineage(p.select(*DS.KEYS, "date", "price_kg"))  # the stored price table
 
 
 DATASET_SQL = f"""{SURVEY_SQL}, {FACTS}, pr AS (SELECT p_type, se_nm, date, p / (q * g / 1000) AS pk FROM kg), dd AS (SELECT {KEY6}, date, date - DATE '1970-01-01' AS dn, median(pk) AS price FROM pr WHERE pk > 0 GROUP BY ALL),
@@ -220,7 +220,7 @@ UNION ALL SELECT nh.channel, '전국', nh.date, 1, {s6('y')}, 0.0, round(nh.r28,
 def _(spark, sf):
     const = {"ctgry_cd": F.lit("1"), "item_cd": F.col("channel"), "item_nm": F.col("channel"), "vrty_nm": F.lit("v"), "grd_nm": F.lit("g"), "se_nm": F.lit(PR.RETAIL)}
     o = observations(spark, sf, True)
-    p = o.select("date", *[c.alias(n) for n, c in const.items()], F.col("region").alias("sgg_nm"), F.col("price").alias("price_kg"))
+    p = cut_lineage(o.select("date", *[c.alias(n) for n, c in const.items()], F.col("region").alias("sgg_nm"), F.col("price").alias("price_kg")))
     reg = FR.regional_rows(p, F.lit(True), "1995-01-01")
     ds = cut_lineage(DS.base_rows(DS.daily_series(p), p.select("ctgry_cd", "item_cd").distinct().withColumn("food_group", F.lit("f"))).withColumns({"domain": F.lit("livestock"), "pig_auction_price_kg": F.col("price_kg"), "days_to_seollal": F.lit(1), "days_to_chuseok": F.lit(1)}))
     feats = FR.features_table(ds, ["price_kg", "pig_auction_price_kg"])
@@ -303,7 +303,7 @@ im AS (SELECT ni.ingredient, class, item AS price_item, src AS price_source, n_r
 
 def links(spark, sf):
     """Products: the source names with two packaged foods among them."""
-    ing = cut_lineage(M.recipe_ingredients(recipes(spark, sf)))
+    ing = cut_lineage(M.recipe_ingredients(recipes(spark, sf)).select("recipe_id", "ingredient", "pos"))
     prod = table(spark, sf, "documents").select(F.concat(F.when(F.col("doc_id") % 2 == 0, "찌개두부").otherwise("살코기참치"), "source").alias("product")).distinct()
     return ing, M.ingredient_map(ing, items_table(spark, sf), prod, "product")
 

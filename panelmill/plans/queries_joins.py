@@ -12,6 +12,7 @@ from .queries_windows import HIST, K, LATEST, REGION_HIST, RK, RKS, history, r6,
 from .registry import query
 from .roles import FACTS, OBS, SERIES, daily_prices, daily_sql, monthly_facts, observations, table
 from ..functions.quantiles import exact_median
+from ..session import cut_lineage
 
 DAYS_ORDERS = """od AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS total, count(*) AS n FROM orders GROUP BY ALL)"""
 
@@ -152,6 +153,7 @@ SELECT item, count(*) AS n_words, CAST(sum(n) AS BIGINT) AS n_uses, max(w) AS la
 def _(spark, sf):
     al = spark.createDataFrame([(a, i, k) for k, (a, i) in enumerate(ALIAS_ROWS)], "alias string, item string, rank int")
     words = table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    words = cut_lineage(words)
     m = M.first_contained(words, "w", al, ["item"])
     return words.join(m, "w").groupBy("item").agg(F.count(F.lit(1)).alias("n_words"), F.sum("n").alias("n_uses"), F.max("w").alias("last_word"))
 

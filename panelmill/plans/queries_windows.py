@@ -11,6 +11,7 @@ from ..operators import aggregates as A
 from ..operators import repair as R
 from ..operators import windows as W
 from ..operators.evaluate import smoothed, stability
+from ..session import cut_lineage
 from .registry import query
 from .roles import FACTS, OBS, SERIES, SqlFrames, daily_prices, daily_sql, event_days, history_sql, ln_ratio, monthly_facts, observations, table
 
@@ -109,7 +110,7 @@ FROM lv LEFT JOIN norm ON norm.item = lv.item AND norm.channel = lv.channel AND
 LEFT JOIN clim ON clim.item = lv.item AND clim.channel = lv.channel AND clim.woy = weekofyear(lv.date) AND clim.yr = year(lv.date)""")
 def _(spark, sf):
     f = W.DayFrames(SERIES, "date")
-    x = history(spark, sf).withColumn("lvl_52w", log_ratio("base", f.trailing_mean("base", 365)))
+    x = cut_lineage(history(spark, sf).select(*SERIES, "date", "y", log_ratio("base", f.trailing_mean("base", 365)).alias("lvl_52w")))
     x = W.attach_season(x, SERIES, "date", "lvl_52w", "norm")
     x = x.join(W.prior_years_mean(x, SERIES, "date", "y", "clim_y_woy"), [*SERIES, "woy", "year"], "left")
     return x.withColumn("lvl_vs_season", F.col("lvl_52w") - F.col("norm")).select(*SERIES, "date", *r6("lvl_52w", "lvl_vs_season", "clim_y_woy"))
@@ -122,7 +123,7 @@ j AS (SELECT hist.*, whsl, CASE WHEN whsl / base > 0 THEN ln(whsl / base) END AS
 @query("w12_wholesale_gap_and_momentum", f"""WITH {WHSL} SELECT {K}, date, round(gap - ({D.mean('gap', 0, 90, 27)}), 6) AS gap_anom,
  round(ln(whsl / ({D.mean('whsl', 0, 6, 3)})), 6) AS mom7, round(ln(whsl / ({D.mean('whsl', 0, 27, 8)})), 6) AS mom28 FROM j""")
 def _(spark, sf):
-    d = daily_prices(spark, sf)
+    d = cut_lineage(daily_prices(spark, sf))
     wh = exact_median(d.where("channel = 'A'"), ["item", "date"], "price", "whsl")
     x = W.with_target(W.price_history(d, SERIES, "date", "price")).join(wh, ["item", "date"], "left")
     f = W.DayFrames(SERIES, "date")
@@ -256,8 +257,8 @@ FROM (SELECT *, {LATEST('base', 28, 73)} AS chg28, {LATEST('base', 91, 136)} AS
 LEFT JOIN norm ON norm.item = hist.item AND norm.channel = hist.channel AND woy = weekofyear(date) AND yr = year(date)""")
 def _(spark, sf):
     f = W.DayFrames(SERIES, "date")
-    x = history(spark, sf)
-    x = x.select("*", *[f.latest_within("base", k, k + 45).alias(f"_l{k}") for k in (28, 91, 364)])
+    x = history(spark, sf).select(*SERIES, "date", "base")
+    x = cut_lineage(x.select("*", *[f.latest_within("base", k, k + 45).alias(f"_l{k}") for k in (28, 91, 364)]))
     x = W.attach_season(x, SERIES, "date", "base", "norm")
     return x.select(*SERIES, "date", *[F.round(log_ratio("base", f"_l{k}"), 6).alias(f"chg{k}") for k in (28, 91)],
                     F.round(log_ratio(F.col("base") + 1, F.col("_l364") + 1), 6).alias("yoy_level"), F.round(F.col("base") - F.col("norm"), 6).alias("anom"))
@@ -420,9 +421,8 @@ def _(spark, sf):
 FROM obs o JOIN fl ON o.channel = fl.channel AND o.market = fl.market AND o.date = fl.date WHERE o.price > 0 GROUP BY ALL""")
 def _(spark, sf):
     o = observations(spark, sf).where("price > 0").select(*MK, "date", "price", F.col("price").alias("raw"))
-    rep = R.repair_spikes(o, MK, "date", "price")
-    flags = R.spike_flags(market_days(spark, sf), MK, "date", "price").select(*MK, "date", "spike")
-    return rep.join(flags, [*MK, "date"]).groupBy("channel", "date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 6).alias("repaired_sum"), F.sum(F.col("spike").cast("long")).alias("n_spikes"))
+    x = R.repair_spikes(cut_lineage(o), MK, "date", "price", mark="spike")
+    return x.groupBy("channel", "date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 6).alias("repaired_sum"), F.sum(F.col("spike").cast("long")).alias("n_spikes"))
 
 
 @query("w32_fence_filter", f"""WITH {MKT}, fe AS (SELECT channel, quantile_cont(change, 0.25) AS q1, quantile_cont(change, 0.75) AS q3 FROM cg WHERE gap <= 14 AND abs(change) > 1e-9 AND date <= DATE '1999-12-31' GROUP BY ALL)
@@ -445,7 +445,7 @@ def _(spark, sf):
     keep = (
         ((F.col("brand") == "Brand#1") & (F.col("date") <= day("1998-06-30"))) | ((F.col("brand") == "Brand#2") & (F.col("date") > day("1998-03-31")))
         | ((F.col("brand") == "Brand#3") & (F.col("date") > day("1998-07-31"))) | ~F.col("brand").isin("Brand#1", "Brand#2", "Brand#3"))
-    base = o.where(keep)
+    base = cut_lineage(o.where(keep))
     pairs = o.select("channel").distinct().select("channel", F.lit("Brand#1").alias("old_brand"), F.explode(F.array(F.lit("Brand#2"), F.lit("Brand#3"))).alias("new_brand"))
     out = R.splice_renamed(base, pairs, ["channel"], ["brand"], ["item"], "date", "price", ["price"])
     return out.groupBy("channel", "brand", "date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 6).alias("price_sum"))

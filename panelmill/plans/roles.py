@@ -15,8 +15,18 @@ from ..functions.scalars import month_end, safe_div
 SERIES = ["item", "channel"]
 
 
+LARGE = ("lineitem", "documents")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return use_all_cores(df) if name in LARGE else df
+
+
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """A table that arrives in fewer splits than cores (one small file) is dealt out once; otherwise nothing happens."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def observations(spark: SparkSession, sf: str, regions: bool = False) -> DataFrame:
