@@ -110,15 +110,23 @@ def event_counts(df: DataFrame, keys: list[str], heads: str, heads_name: str, ca
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(cases_name), F.coalesce(F.sum(heads), F.lit(0.0)).alias(heads_name))
 
 
-def cooccurrence(df: DataFrame, basket: str, item: str, min_baskets: int = 5) -> tuple[DataFrame, DataFrame]:
+SET_ITEMS = 5000
+
+
+def cooccurrence(df: DataFrame, basket: str, item: str, min_baskets: int = 5, set_items: int = SET_ITEMS) -> tuple[DataFrame, DataFrame]:
     """(item counts, item pair counts) over baskets, items in at least min_baskets baskets.
 
-    Baskets are reduced to their distinct item sets and equal sets are counted once, so a very large basket is one
-    row holding at most the item vocabulary, and frequent sets are not repeated.
+    The vocabulary is counted first. Up to `set_items` items, baskets become item sets and equal sets are counted once,
+    so a very large basket is one row no wider than the vocabulary. A larger vocabulary is paired by an equi join on the
+    basket, both sides spread by item.
     """
     pairs = df.select(basket, item).where(F.col(item).isNotNull()).distinct()
     counts = pairs.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_baskets)
     kept = pairs.join(counts.select(item), item, "left_semi")
+    if counts.limit(set_items + 1).count() > set_items:
+        other = kept.select(basket, F.col(item).alias("item_b"))
+        both = kept.select(basket, F.col(item).alias("item_a")).join(other, basket).where("item_a <> item_b")
+        return counts, both.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n_both"))
     sets = kept.groupBy(basket).agg(F.array_sort(F.collect_set(item)).alias("_s")).groupBy("_s").agg(F.count(F.lit(1)).alias("_k"))
     a = sets.select("_s", "_k", F.posexplode("_s").alias("_i", "_a"))
     pc = (

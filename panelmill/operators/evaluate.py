@@ -190,18 +190,21 @@ def blend_weights(df: DataFrame, y: str, models: list[str]) -> list[float]:
     return nnls_weights(gram, [float(r[f"b{i}"] or 0.0) for i in k])
 
 
+SHUFFLE_ROWS = 1_000_000
+
+
 def permute_column(df: DataFrame, keys: list[str], col: str, seed: int = 0) -> DataFrame:
     """The column's values shuffled over the rows.
 
-    Rows get a hash bucket and a position inside it, values get another hash order with the same bucket sizes, and
-    both meet on (bucket, position): an equi join over many buckets, no global sort in one task.
+    Rows fall into hash buckets of about a million rows (the count is taken first). Inside a bucket rows and values
+    are numbered in two different hash orders and meet on (bucket, number), so no task sorts the whole table.
     """
-    n_b = 1024
-    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
-    rows = df.withColumn("_b", F.pmod(h, F.lit(n_b)))
-    w = lambda s: Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed + s), *[F.col(k) for k in keys]), *keys)
-    a = rows.withColumn("_i", F.row_number().over(w(1))).drop(col)
-    b = rows.select("_b", F.row_number().over(w(2)).alias("_i"), F.col(col))
+    buckets = max(1, df.count() // SHUFFLE_ROWS)
+    h = lambda s: F.xxhash64(F.lit(seed + s), *[F.col(k) for k in keys])
+    rows = df.withColumn("_b", F.pmod(h(0), F.lit(buckets)))
+    number = lambda s: F.row_number().over(Window.partitionBy("_b").orderBy(h(s), *keys))
+    a = rows.withColumn("_i", number(1)).drop(col)
+    b = rows.select("_b", number(2).alias("_i"), F.col(col))
     return a.join(b, ["_b", "_i"]).drop("_b", "_i")
 
 

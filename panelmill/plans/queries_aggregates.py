@@ -77,11 +77,11 @@ def _(spark, sf):
     return e.groupBy("event_type", "date").agg(F.count(F.lit(1)).alias("cases"), F.round(F.sum("value"), 4).alias("heads"), F.countDistinct("user_id").alias("areas"), F.max("value").alias("density_max"))
 
 
-@query("a08_string_aggregation", "SELECT CAST(ts AS DATE) AS date, user_id % 100 AS grp, string_agg(event_type, ', ' ORDER BY ts, event_id) AS names FROM events GROUP BY ALL")
+@query("a08_string_aggregation", """WITH f AS (SELECT CAST(ts AS DATE) AS date, user_id % 100 AS grp, event_type, min(ts) AS t FROM events GROUP BY ALL)
+SELECT date, grp, string_agg(event_type, ', ' ORDER BY t, event_type) AS names FROM f GROUP BY ALL""")
 def _(spark, sf):
     e = event_days(spark, sf).withColumn("grp", F.col("user_id") % 100)
-    pairs = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    return e.groupBy("date", "grp").agg(F.array_join(F.transform(pairs, lambda x: x["event_type"]), ", ").alias("names"))
+    return A.ordered_concat(e, ["date", "grp"], "event_type", "ts", ", ", "names")  # at most one entry per event type
 
 
 @query("a09_ordered_distinct_concat", f"""WITH {OBS}, f AS (SELECT orderkey, item, min(l_linenumber) AS p FROM obs GROUP BY ALL)

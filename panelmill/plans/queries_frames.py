@@ -21,7 +21,7 @@ from .queries_joins import UNIT_ROWS, UNITS_SQL
 from .queries_models import NUM, TEST, TRAIN, TE_SQL, TR_SQL, train_rows
 from .queries_windows import HIST, K, MK, MKT, REGION_HIST, RK, RKS, history, market_days, predictions, r6, regional, s6
 from .registry import query
-from .roles import FACTS, OBS, SERIES, SqlFrames, daily_prices, daily_sql, event_days, history_sql, monthly_facts, observations, table
+from .roles import FACTS, OBS, SERIES, SqlFrames, daily_prices, daily_sql, event_days, history_sql, monthly_facts, observations, table, use_all_cores
 
 TEXT = lambda c: F.col(c).cast("string")
 
@@ -36,7 +36,7 @@ def survey(spark, sf):
     s = F.col("p_size")
     unit = F.when(s <= 10, "kg(5)").when(s <= 20, "g").when(s <= 25, "L").when(s <= 38, "box").otherwise("bag")
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type", cat.alias("cat"), unit.alias("unit"))
-    x = table(spark, sf, "lineitem").join(p, "l_partkey")
+    x = use_all_cores(table(spark, sf, "lineitem")).join(p, "l_partkey")  # fifteen text columns per row follow
     const = {"se_cd": F.col("l_returnflag"), "se_nm": F.when(F.col("l_returnflag") == "A", PR.RETAIL).otherwise(PR.WHOLESALE), "ctgry_cd": F.col("cat"), "ctgry_nm": F.col("cat"), "item_cd": F.col("cat"), "item_nm": t, "vrty_cd": F.col("p_name"), "vrty_nm": F.col("p_name"),
              "grd_cd": F.col("p_brand"), "grd_nm": F.col("p_brand"), "sgg_cd": F.col("l_linestatus"), "sgg_nm": F.col("l_linestatus"), "mrkt_cd": TEXT("l_suppkey"), "mrkt_nm": TEXT("l_suppkey"), "unit": F.col("unit")}
     return x.select(F.date_format("l_shipdate", "yyyyMMdd").alias("exmn_ymd"), *[c.alias(n) for n, c in const.items()], TEXT("l_quantity").alias("unit_sz"), TEXT("l_extendedprice").alias("exmn_dd_prc"), F.lit("-").alias("exmn_dd_cnvs_prc"))
@@ -308,10 +308,10 @@ def links(spark, sf):
     return ing, M.ingredient_map(ing, items_table(spark, sf), prod, "product")
 
 
-@query("d18_ingredient_map", f"WITH {LINK_SQL} SELECT class, price_item, price_source, count(*) AS n_names, CAST(sum(n_recipes) AS BIGINT) AS n_uses, md5(string_agg(ingredient, '|' ORDER BY ingredient)) AS names FROM im GROUP BY ALL")
+@query("d18_ingredient_map", f"WITH {LINK_SQL} SELECT class, price_item, price_source, count(*) AS n_names, CAST(sum(n_recipes) AS BIGINT) AS n_uses, CAST(sum(length(ingredient)) AS BIGINT) AS n_chars, min(md5(ingredient)) AS low, max(md5(ingredient)) AS high FROM im GROUP BY ALL")
 def _(spark, sf):
     _, m = links(spark, sf)
-    g = m.groupBy("class", "price_item", "price_source").agg(F.count(F.lit(1)).alias("n_names"), F.sum("n_recipes").alias("n_uses"), F.md5(F.array_join(F.array_sort(F.collect_list("ingredient")), "|")).alias("names"))
+    g = m.groupBy("class", "price_item", "price_source").agg(F.count(F.lit(1)).alias("n_names"), F.sum("n_recipes").alias("n_uses"), F.sum(F.length("ingredient").cast("long")).alias("n_chars"), F.min(F.md5("ingredient")).alias("low"), F.max(F.md5("ingredient")).alias("high"))
     return g
 
 

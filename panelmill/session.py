@@ -26,17 +26,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+_local_folder: dict[str, str] = {}
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
-        folder = tempfile.mkdtemp(prefix="run-panelmill-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The shared folder named by the cluster in spark.checkpoint.dir; a local one only where none is set (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    app = spark.sparkContext.applicationId
+    if app not in _local_folder:
+        _local_folder[app] = tempfile.mkdtemp(prefix="run-panelmill-", dir="/tmp")
+    return _local_folder[app]
 
 
 def cut_lineage(df):

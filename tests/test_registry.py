@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from check_oracle import close, norm
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["a02_trade_totals", "a09_ordered_distinct_concat", "a35_spearman_pairs", "f02_clean_ingredients", "j03_asof_by_key", "j07_prefix_join", "j09_unit_priority_match", "j10_longest_alias_match",
+SAMPLE = ["a02_trade_totals", "a09_ordered_distinct_concat", "a33_volume_price_correlation", "f02_clean_ingredients", "j03_asof_by_key", "j07_prefix_join", "j09_unit_priority_match", "j10_longest_alias_match",
           "m20_shown_probability", "m21_monthly_refit_last_12", "m24_weekly_stocking_policy", "p01_lenient_numbers", "s04_csv_ms949", "w09_target_change", "w21_typed_changes", "w24_volume_vs_normal",
           "w31_repaired_rows", "w38_size_chunks", "d03_trades_by_item", "d21_cooccurrence_ppmi"]
 
