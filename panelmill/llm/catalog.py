@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from . import minhash, mixing, quality  # noqa: F401
+from . import licenses, minhash, mixing, quality, simple8b, warc  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
