@@ -17,11 +17,12 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import byte_column, slices
+from .common import SLICE_BYTES, byte_column, slices
 from .encoder import Encoder, encoder
 from .registry import query, table
 
@@ -63,6 +64,26 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int]]]:
     return out
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts travel compressed; null counts as empty."""
+    z = zstandard.ZstdCompressor(3, write_content_size=True)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(x.as_buffer() if x.is_valid else b"") for x in b.column(1)], pa.binary())], ["doc_id", "packed"])
+
+
+def _loosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches with their texts back, a bounded number of bytes at a time."""
+    z = zstandard.ZstdDecompressor()
+    for b in batches:
+        at, texts, size = 0, [], 0
+        for i, x in enumerate(b.column(1).to_pylist()):
+            texts.append(z.decompress(x))
+            size += len(texts[-1])
+            if size >= SLICE_BYTES or i == b.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, i + 1 - at), pa.array(texts, pa.binary()).cast(pa.string()), b.column(2).slice(at, i + 1 - at)], ["doc_id", "text", "given"])
+                at, texts, size = i + 1, [], 0
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text"):
         data, offsets = byte_column(b.column(1))
@@ -76,11 +97,11 @@ def _encode_shared(vocabulary: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
-        for b in slices(batches, "text"):
-            data, offsets = byte_column(b.column(0))
+        for b in _loosen(batches):
+            data, offsets = byte_column(b.column(1))
             raw = data.tobytes()
             hashes, texts = [], []
-            for chunks, wanted in zip(cut(data, offsets), b.column(1).to_pylist()):
+            for chunks, wanted in zip(cut(data, offsets), b.column(2).to_pylist()):
                 wanted = set(wanted)
                 for x, y in chunks:
                     h = xxhash.xxh3_128_digest(raw[x:y])
@@ -97,10 +118,12 @@ def _encode_shared(vocabulary: str):
 
 def _small(ids: np.ndarray) -> bytes:
     """Ids in two bytes each where all of them fit, else in four; the first byte says which."""
-    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or int(ids.max()) < 65536 else b"\x04" + ids.astype("<u4").tobytes()
+    raw = b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or int(ids.max()) < 65536 else b"\x04" + ids.astype("<u4").tobytes()
+    return zstandard.compress(raw, 3)
 
 
-def _large(blob: bytes) -> np.ndarray:
+def _large(packed: bytes) -> np.ndarray:
+    blob = zstandard.decompress(packed)
     return np.frombuffer(blob, "<u2" if blob[:1] == b"\x02" else "<u4", offset=1).astype(np.int32)
 
 
@@ -142,7 +165,7 @@ def _three(e: Encoder, *texts: str):
 def _assemble(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
-        for b in slices(batches, "text"):
+        for b in _loosen(batches):
             data, offsets = byte_column(b.column(1))
             raw = data.tobytes()
             plans, unknown = [], []
@@ -184,11 +207,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     places = cut_lineage(d.where(F.col("doc_id").isNotNull()).mapInArrow(_sketch, "doc_id long, hashes array<binary>").select("doc_id", F.explode("hashes").alias("hash")))
     shared = places.groupBy("hash").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("other")).where("home < other")
-    by_id = d.repartition("doc_id")
-    homes = shared.groupBy(F.col("home").alias("doc_id")).agg(F.collect_list("hash").alias("hashes"))  # as many as the document has chunks
-    coded = by_id.join(homes, "doc_id").select("text", "hashes").mapInArrow(_encode_shared(vocabulary), "hash binary, ids binary").groupBy("hash").agg(F.any_value("ids").alias("ids"))
-    given = places.join(coded, "hash").groupBy("doc_id").agg(F.collect_list(F.struct("hash", "ids")).alias("shared"))
-    return by_id.join(given, "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(_assemble(vocabulary), "doc_id long, ids array<int>")
+    # Both joins read the same exchange of the texts: a key without nulls keeps the joins' filters off it.
+    by_id = d.mapInArrow(_squeeze, "doc_id long, packed binary").withColumn("k", F.coalesce("doc_id", F.lit(-(2**63)))).repartition("k")
+    homes = shared.groupBy(F.col("home").alias("k")).agg(F.collect_list("hash").alias("given"))  # as many as the document has chunks
+    coded = by_id.join(homes, "k").select("doc_id", "packed", "given").mapInArrow(_encode_shared(vocabulary), "hash binary, ids binary").groupBy("hash").agg(F.any_value("ids").alias("ids"))
+    given = places.join(coded, "hash").groupBy(F.col("doc_id").alias("k")).agg(F.collect_list(F.struct("hash", "ids")).alias("given"))
+    return by_id.join(given, "k", "left").select("doc_id", "packed", "given").mapInArrow(_assemble(vocabulary), "doc_id long, ids array<int>")
 
 
 _decoders: dict[str, tuple[list[bytes], list[bytes]]] = {}
