@@ -10,6 +10,7 @@ anew, and both chunks must agree with it there; where they don't, the stretch gr
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import SLICE_BYTES, byte_column, slices
-from .encoder import Encoder, encoder
+from .encoder import Encoder, alphabet, encoder
 from .registry import query, table
 
 #: A chunk ends where these bits of the rolling hash are zero (1 KB on average), but not before LEAST bytes.
@@ -92,11 +93,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.binary()))], ["doc_id", "hashes"])
 
 
-def _encode_shared(vocabulary: str):
+def _encode_shared(vocabulary: str, ranks: str | None):
     """The listed chunks of each document, encoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vocabulary)
+        e = encoder(vocabulary, ranks)
         for b in _loosen(batches):
             data, offsets = byte_column(b.column(1))
             raw = data.tobytes()
@@ -162,9 +163,9 @@ def _three(e: Encoder, *texts: str):
     return np.split(ids, np.cumsum(counts)[:-1]), counts
 
 
-def _assemble(vocabulary: str):
+def _assemble(vocabulary: str, ranks: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vocabulary)
+        e = encoder(vocabulary, ranks)
         for b in _loosen(batches):
             data, offsets = byte_column(b.column(1))
             raw = data.tobytes()
@@ -198,7 +199,7 @@ def _assemble(vocabulary: str):
     return run
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every whole text, one row per input row.
 
     Null and empty texts have no ids. Rows with a null id are encoded by themselves; rows that repeat an id are each
@@ -210,9 +211,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     # Both joins read the same exchange of the texts: a key without nulls keeps the joins' filters off it.
     by_id = d.mapInArrow(_squeeze, "doc_id long, packed binary").withColumn("k", F.coalesce("doc_id", F.lit(-(2**63)))).repartition("k")
     homes = shared.groupBy(F.col("home").alias("k")).agg(F.collect_list("hash").alias("given"))  # as many as the document has chunks
-    coded = by_id.join(homes, "k").select("doc_id", "packed", "given").mapInArrow(_encode_shared(vocabulary), "hash binary, ids binary").groupBy("hash").agg(F.any_value("ids").alias("ids"))
+    coded = by_id.join(homes, "k").select("doc_id", "packed", "given").mapInArrow(_encode_shared(vocabulary, ranks), "hash binary, ids binary").groupBy("hash").agg(F.any_value("ids").alias("ids"))
     given = places.join(coded, "hash").groupBy(F.col("doc_id").alias("k")).agg(F.collect_list(F.struct("hash", "ids")).alias("given"))
-    return by_id.join(given, "k", "left").select("doc_id", "packed", "given").mapInArrow(_assemble(vocabulary), "doc_id long, ids array<int>")
+    return by_id.join(given, "k", "left").select("doc_id", "packed", "given").mapInArrow(_assemble(vocabulary, ranks), "doc_id long, ids array<int>")
 
 
 _decoders: dict[str, tuple[list[bytes], list[bytes]]] = {}
@@ -221,10 +222,11 @@ _decoders: dict[str, tuple[list[bytes], list[bytes]]] = {}
 def _decoder(vocabulary: str) -> tuple[list[bytes], list[bytes]]:
     """Bytes and decimal text of every id."""
     if vocabulary not in _decoders:
-        e = encoder(vocabulary)
-        byte = {c: i for i, c in enumerate(e.byte)}
-        n = e.tokenizer.get_vocab_size()
-        _decoders[vocabulary] = [bytes(byte[c] for c in e.tokenizer.id_to_token(i)) for i in range(n)], [str(i).encode() for i in range(n)]
+        with open(vocabulary, encoding="utf-8") as f:
+            spec = json.load(f)
+        tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
+        byte = {c: i for i, c in enumerate(alphabet())}
+        _decoders[vocabulary] = [bytes(byte[c] for c in tokens[i]) for i in range(len(tokens))], [str(i).encode() for i in range(len(tokens))]
     return _decoders[vocabulary]
 
 
@@ -251,7 +253,7 @@ def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 def encode_digests(docs: DataFrame) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    return digests(encode_documents(docs, vocabulary), vocabulary)
+    return digests(encode_documents(docs, vocabulary, public_tokenizers.path("byte_bpe_50k.tiktoken")), vocabulary)
 
 
 @query("op2_chunked_bpe")

@@ -66,7 +66,7 @@ def bucket_keys(unit: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Per row and table: its own bucket, and all buckets it looks at (its own first)."""
     own, seen = [], []
     for t in range(p.tables):
-        keys = np.full((len(unit), 1), t + 1, np.uint64)
+        keys = np.full((len(unit), 1), t + 1 + (unit.shape[1] << 16), np.uint64)  # lengths never meet
         for k in range(p.hashes):
             a = axes(unit, t, k, p).astype(np.uint64)
             keys = (keys[:, :, None] * np.uint64(0x9E3779B97F4A7C15) + a[:, None, :] + np.uint64(1)).reshape(len(unit), -1)

@@ -7,6 +7,7 @@ equal ids wherever they stand. Texts with other white space are cut only where t
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 from itertools import repeat
@@ -14,7 +15,7 @@ from itertools import repeat
 import numpy as np
 
 #: Words a worker remembers; later new words are encoded each time they come.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: A word of letters below U+0250 and the commas and full stops after it: always one token group and at most one more.
 _PLAIN = re.compile(r"([^\W\d_]+)([.,]*)")
@@ -29,25 +30,36 @@ def _regular(text: str) -> bool:
 
 
 #: Words a worker remembers; later new words are encoded each time they come.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 _ODD = re.compile(r"[ \n]\s|\s[ \n]|\r|^[ \n]|[ \n]$")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
+def alphabet() -> list[str]:
+    """The byte-level characters: printable bytes stand for themselves, the others for code points from 256 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(c if c in shown else next(others)) for c in range(256)]
+
+
 class Encoder:
     """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = iter(range(256, 512))
-        self.byte = [chr(c if c in shown else next(others)) for c in range(256)]
+        self.byte = alphabet()
+        n = self.tokenizer.get_vocab_size()
+        back = {c: i for i, c in enumerate(self.byte)}
+        tokens = [bytes(back[c] for c in self.tokenizer.id_to_token(i)) for i in range(n)]
+        self.lengths = np.array([len(x) for x in tokens], np.int64)
+        self._encode = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if ranks:
+            self._encode = _by_ranks(ranks, tokens)
         self.number: dict[str, int] = {}
         self.ids = np.empty(1 << 20, np.int32)
         self.used = 0
@@ -71,25 +83,25 @@ class Encoder:
         return key[1:] if key[:1] == "\r" else key if key[:1] == "\n" else " " + key
 
     def _learn(self, keys: list[str]) -> None:
-        """Encodes new words: plain ones by the library's model at once, others by its whole encoder."""
-        tokenize, byte = self.tokenizer.model.tokenize, self.byte
-        every, counts = [], []
-        for key in keys:
-            word = self.whole(key)
-            core = word[1:] if word[0] in " \n" else word
-            plain = _PLAIN.fullmatch(core)
-            if plain is None or max(core) >= "\u0250":
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            else:
-                letters, marks = plain.groups()
-                lead = word[: len(word) - len(core)]
-                groups = [lead + letters, marks] if lead == " " else [lead, letters, marks]
-                ids = [t.id for g in groups if g for t in tokenize("".join([byte[c] for c in g.encode()]))]
-            every += ids
-            counts.append(len(ids))
-        self._put(keys, every, counts)
-
-    def _put(self, keys: list[str], ids: list[int], counts: list[int]) -> None:
+        """Encodes new words: plain ones as one text, which is cut into words again by the tokens' byte lengths."""
+        for at in range(0, len(keys), 20_000):
+            every, counts, plain, odd = [], [], [], []
+            for key in keys[at : at + 20_000]:
+                core = key[1:] if key[:1] in "\r\n" else key
+                (plain if _PLAIN.fullmatch(core) and max(core) < "\u0250" and key[:1] != "\r" else odd).append(key)
+            if plain:
+                words = [self.whole(k) for k in plain]
+                ids = np.array(self._encode("".join(words)))
+                ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) for w in words])) + 1
+                self._put(plain, ids, np.diff(ends, prepend=0))
+            for key in odd:
+                ids = self.tokenizer.encode(self.whole(key), add_special_tokens=False).ids
+                every += ids
+                counts.append(len(ids))
+            if odd:
+                self._put(odd, every, counts)
+
+    def _put(self, keys: list[str], ids, counts) -> None:
         k, n = len(self.number), len(keys)
         if k + n > len(self.start):
             self.start, self.count = np.resize(self.start, 2 * (k + n)), np.resize(self.count, 2 * (k + n))
@@ -131,11 +143,23 @@ class Encoder:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
-_encoders: dict[str, Encoder] = {}
+def _by_ranks(path: str, tokens: list[bytes]):
+    """A faster encoder of plain words for the same vocabulary as ranks; refuses ranks that differ from it."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    if any(tokens[i] != x for x, i in ranks.items()) or len(ranks) + 1 != len(tokens):
+        raise ValueError(f"{path} holds another vocabulary")
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+_encoders: dict[tuple[str, str | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of a vocabulary file, read once."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, ranks: str | None = None) -> Encoder:
+    """The worker's encoder of a vocabulary file, read once. With the vocabulary's rank file new words are faster."""
+    if (path, ranks) not in _encoders:
+        _encoders[path, ranks] = Encoder(path, ranks)
+    return _encoders[path, ranks]

@@ -93,7 +93,7 @@ class Model:
             base = np.zeros(len(self.langs), np.float32)
             for r in mine:
                 base[at[r["lang"]]] = math.log(p.smoothing / (r["total"] + p.smoothing * r["types"]))
-            base[base == 0] = min(base, default=0)
+            base[:] = min(base, default=0)  # one floor, or a language with few training words would profit from it
             found: dict[str, np.ndarray] = {}
             for r in mine:
                 v = found.get(r["token"])
