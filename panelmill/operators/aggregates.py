@@ -88,15 +88,19 @@ def long_to_wide(df: DataFrame, index: list[str], key: str, values: list[str], v
     return df.groupBy(*index).pivot(key, values).agg(agg(as_col(value)))
 
 
-def price_count_pairs(df: DataFrame, ids: list[str], price_suffix: str = "Amt", count_suffix: str = "Cnt") -> DataFrame:
-    """Wide <market>Amt / <market>Cnt columns -> rows of market, price, head_count (texts, first non-missing per group)."""
-    cols = [c for c in df.columns if c.endswith((price_suffix, count_suffix))]
-    long = df.unpivot(ids, cols, "metric", "value")
-    long = long.withColumn("market", F.regexp_replace("metric", f"({price_suffix}|{count_suffix})$", ""))
-    is_price = F.col("metric").endswith(price_suffix)
-    return long.groupBy(*ids, "market").agg(
-        F.max(F.when(is_price, F.col("value"))).alias("price"), F.max(F.when(~is_price, F.col("value"))).alias("head_count")
-    )
+def price_count_pairs(df: DataFrame, ids: list[str], price_suffix: str = "Amt", count_suffix: str = "Cnt", order: str | None = None) -> DataFrame:
+    """Wide <market>Amt / <market>Cnt columns -> rows of market, price, head_count (texts), both of one row.
+
+    Of several rows of a group the first by `order` counts; without one, rows with a price come first, then the text
+    order of price and count decides.
+    """
+    markets = list(dict.fromkeys(c[: -len(x)] for c in df.columns for x in (price_suffix, count_suffix) if c.endswith(x)))
+    text = lambda c: F.col(f"`{c}`").cast("string") if c in df.columns else F.lit(None).cast("string")
+    cells = F.array(*[F.struct(F.lit(m).alias("market"), text(m + price_suffix).alias("price"), text(m + count_suffix).alias("head_count")) for m in markets])
+    long = df.select(*ids, *([F.col(order).alias("_o")] if order else []), F.explode(cells).alias("_c"))
+    first = [F.col("_o")] if order else []
+    rank = F.struct(*first, F.col("_c.price").isNull(), F.col("_c.price"), F.col("_c.head_count").isNull(), F.col("_c.head_count"))
+    return long.groupBy(*ids, F.col("_c.market").alias("market")).agg(F.min_by("_c", rank).alias("_c")).select(*ids, "market", "_c.price", "_c.head_count")
 
 
 def newest_source(df: DataFrame, keys: list[str], source: str) -> DataFrame:

@@ -17,18 +17,18 @@ def explode_list(df: DataFrame, col: str, name: str, sep: str = ";") -> DataFram
     return df.withColumn(name, F.explode(F.split(F.coalesce(F.col(col), F.lit("")), sep))).where(F.col(name) != "")
 
 
-def prefix_pairs(items: DataFrame, item_keys: list[str], prefix: str, codes: DataFrame, code: str,
-                 lengths=tuple(range(1, 11))) -> DataFrame:
+def prefix_pairs(items: DataFrame, item_keys: list[str], prefix: str, codes: DataFrame, code: str) -> DataFrame:
     """Distinct (item, code) with code starting with one of the item's prefixes.
 
-    Codes are cut into their leading pieces, so the theta join is an equi join on the piece. Prefixes are 1 to 10
-    characters long (the length of the longest trade code). Overlapping prefixes count once.
+    Codes are cut into their leading pieces of the lengths that the prefixes have, so the theta join is an equi join on
+    the piece. Overlapping prefixes count once.
     """
+    want = items.select(*item_keys, F.col(prefix).alias("_p")).where(F.col("_p") != "").distinct()
+    lengths = want.select(F.length("_p").alias("_l")).distinct()  # one row a length, so at most as many as the longest prefix has characters
     pieces = (
-        codes.select(code).where(F.col(code).isNotNull()).distinct()
-        .withColumn("_p", F.explode(F.array_distinct(F.array(*[F.substring(F.col(code), 1, n) for n in lengths]))))
+        codes.select(code).where(F.col(code).isNotNull()).distinct().join(lengths, F.length(code) >= F.col("_l"))
+        .withColumn("_p", F.expr(f"substring(`{code}`, 1, _l)")).drop("_l")
     )
-    want = items.select(*item_keys, F.col(prefix).alias("_p")).where(F.col("_p") != "").distinct()
     return want.join(pieces, "_p").select(*item_keys, code).distinct()
 
 

@@ -137,11 +137,8 @@ def reason_text(item: str = "ingredient", pred: str = "pred") -> Column:
     return F.concat(F.col(item), F.lit(" "), pick(LEVEL_TEXT, "level"), F.lit("·"), trend)
 
 
-def rank_menus(recipes: DataFrame, linked: DataFrame, state: DataFrame, seed: int = 0, top: int = 30, key: str = "recipe_id") -> DataFrame:
-    """Best dishes: mean ingredient score per recipe, best recipe per dish (random among the best), ordered by score, scored items, random.
-
-    Randomness is a hash of the recipe and the seed, so reruns agree.
-    """
+def scored_dishes(recipes: DataFrame, linked: DataFrame, state: DataFrame, seed: int = 0, key: str = "recipe_id") -> tuple[DataFrame, DataFrame]:
+    """Every dish with its best recipe (mean ingredient score; random among the best), and the scored ingredients of recipes."""
     rec = recipes.where("is_menu")
     ing = (
         linked.where((F.col("class") == V.CLASS_FOOD) & (F.col("price_source") == V.SOURCE_FRESH))
@@ -150,8 +147,18 @@ def rank_menus(recipes: DataFrame, linked: DataFrame, state: DataFrame, seed: in
         .join(state.select(F.col("item_nm").alias("price_item"), "score", "level", "trend", "pred", "pct"), "price_item")
     )
     rs = ing.groupBy(key).agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n_scored")).join(rec.select(key, "menu_name", *[c for c in ("name", "url", "time", "servings") if c in rec.columns]), key)
-    h1, h2 = F.xxhash64(F.lit(seed), F.col(key)), F.xxhash64(F.lit(seed + 1), F.col(key))
+    h1 = F.xxhash64(F.lit(seed), F.col(key))
     best = rs.groupBy("menu_name").agg(F.max_by(F.struct(*rs.columns), F.struct("score", h1.alias("h"))).alias("_r")).select("_r.*")
+    return best, ing
+
+
+def rank_menus(recipes: DataFrame, linked: DataFrame, state: DataFrame, seed: int = 0, top: int = 30, key: str = "recipe_id") -> DataFrame:
+    """The `top` best dishes ordered by score, scored items, random, with the reasons of their best recipe.
+
+    Randomness is a hash of the recipe and the seed, so reruns agree.
+    """
+    best, ing = scored_dishes(recipes, linked, state, seed, key)
+    h2 = F.xxhash64(F.lit(seed + 1), F.col(key))
     pick = best.orderBy(F.desc("score"), F.desc("n_scored"), h2, key).limit(top)
     # At most `top` rows from here on: the rank may use one window.
     pick = pick.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), F.desc("n_scored"), h2, key)))

@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, MinMaxScaler, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +32,16 @@ def model_rows(df: DataFrame, num: list[str], cats: list[str]) -> DataFrame:
     })
 
 
-def _stages(num, cats, one_hot=False):
-    stages, inputs = [], list(num)
+def _stages(num, cats, linear=False):
+    """Indexers and assembler. Linear learners get missing numbers as the training mean, the training min-max scale and
+    one-hot categories (unseen ones all zero); trees split the sentinel off themselves. The statistics are stages of the pipeline.
+    """
+    stages, inputs, one_hot = [], list(num), linear
+    if linear and num:
+        filled = [f"_m_{c}" for c in num]
+        stages += [Imputer(inputCols=num, outputCols=filled, strategy="mean", missingValue=OUT_OF_SCOPE), VectorAssembler(inputCols=filled, outputCol="_num"),
+                   MinMaxScaler(inputCol="_num", outputCol="_scaled")]
+        inputs = ["_scaled"]
     for c in cats:
         stages.append(StringIndexer(inputCol=c, outputCol=f"_i_{c}", stringOrderType="alphabetAsc", handleInvalid="keep"))
         if one_hot:
@@ -63,12 +71,16 @@ def fit(df: DataFrame, kind: str, num: list[str], cats: list[str], y: str, pred:
     est = learner(kind, y, pred, **kw)
     if weight:
         est = est.setWeightCol(weight)
-    return Pipeline(stages=[*_stages(num, cats, one_hot=kind in ("ridge", "huber")), est]).fit(df.where(F.col(y).isNotNull()))
+    rows, linear = df.where(F.col(y).isNotNull()), kind in ("ridge", "huber")
+    if linear and num:  # a column without any real training value says nothing: filled with 0 it would be constant
+        n = rows.agg(*[F.count(F.when(F.col(c) != OUT_OF_SCOPE, 1)).alias(c) for c in num]).first()
+        num = [c for c in num if n[c]]
+    return Pipeline(stages=[*_stages(num, cats, linear), est]).fit(rows)
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     out = model.transform(df)
-    return out.drop(*[c for c in out.columns if c.startswith("_i_") or c.startswith("_h_") or c == "_features"])
+    return out.drop(*[c for c in out.columns if c.startswith(("_i_", "_h_", "_m_")) or c in ("_features", "_num", "_scaled")])
 
 
 def train_and_score(df: DataFrame, kind: str, num, cats, y: str, train: Column, test: Column, pred: str = "pred", clip: bool = True, **kw) -> DataFrame:

@@ -214,7 +214,7 @@ def buoy_hours(raw: DataFrame) -> DataFrame:
     """One reading per station and time; 24:00 counts for the day that ends."""
     h = raw.select(*[F.col(f"`{k}`").alias(v) for k, v in BUOY.items()])
     h = h.select("stn_id", F.try_to_timestamp("time").alias("time"), parse_number("water_temp").alias("water_temp"), parse_number("wind").alias("wind"))
-    h = keyed_first(h, ["stn_id", "time"], [F.col("water_temp"), F.col("wind")])
+    h = keyed_first(h, ["stn_id", "time"], [x for c in ("water_temp", "wind") for x in (F.col(c).isNull(), F.col(c))])
     return h.withColumn("date", previous_day_midnight("time"))
 
 
@@ -241,5 +241,5 @@ NUTRITION = {"식품코드": "nutrition_code", "에너지(kcal)": "nutr_kcal", "
 def item_nutrition(raw: DataFrame, item_map: DataFrame) -> DataFrame:
     nu = raw.select(*[(F.col(f"`{k}`") if v == "nutrition_code" else parse_number(F.col(f"`{k}`"))).alias(v) for k, v in NUTRITION.items()])
     vals = [v for v in NUTRITION.values() if v != "nutrition_code"]
-    nu = keyed_first(nu, ["nutrition_code"], [F.col(v) for v in vals])
+    nu = keyed_first(nu, ["nutrition_code"], [x for v in vals for x in (F.col(v).isNull(), F.col(v))])
     return item_map.select("ctgry_cd", "item_cd", "nutrition_code").join(nu, "nutrition_code", "left").drop("nutrition_code")

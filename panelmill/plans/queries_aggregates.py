@@ -125,9 +125,9 @@ def _(spark, sf):
     return area_weather(spark, sf).select("item", "date", *r6("t", "r"))
 
 
-@query("a14_long_to_wide", f"WITH {FACTS} SELECT month, " + ", ".join(f"round(avg(CASE WHEN priority = '{p}' THEN total END), 2) AS \"{p}\"" for p in ("1-URGENT", "2-HIGH", "3-MEDIUM")) + " FROM facts GROUP BY month")
+@query("a14_long_to_wide", f"WITH {FACTS} SELECT month, " + ", ".join(f"round(avg(CASE WHEN priority = '{p}' THEN total END), 2) AS \"{p}\"" for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) + " FROM facts GROUP BY month")
 def _(spark, sf):
-    vals = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+    vals = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     w = A.long_to_wide(monthly_facts(spark, sf), ["month"], "priority", vals, "total")
     return w.select("month", *[F.round(F.col(f"`{v}`"), 2).alias(v) for v in vals])
 
@@ -312,9 +312,9 @@ def _(spark, sf):
     return A.volume_price_correlation(t, SERIES, "date", "q", "p").select(*SERIES, "n_days", *r6("same_day", "next_week"))
 
 
-@query("a34_year_by_type_pivot", f"WITH {OBS} SELECT year(date) AS year, " + ", ".join(f"sum(CASE WHEN item = '{i}' THEN 1 END) AS {i.lower()}" for i in ("ECONOMY", "LARGE", "MEDIUM")) + " FROM obs GROUP BY ALL")
+@query("a34_year_by_type_pivot", f"WITH {OBS} SELECT year(date) AS year, " + ", ".join(f"sum(CASE WHEN item = '{i}' THEN 1 END) AS {i.lower()}" for i in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")) + " FROM obs GROUP BY ALL")
 def _(spark, sf):
-    vals = ["ECONOMY", "LARGE", "MEDIUM"]
+    vals = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
     x = observations(spark, sf).groupBy(F.year("date").cast("long").alias("year")).pivot("item", vals).count()
     return x.select("year", *[F.col(v).alias(v.lower()) for v in vals])
 
@@ -376,10 +376,10 @@ def _(spark, sf):
     return P.shares(d, "source", "none").select("source", "n", *r6("pct"))
 
 
-@query("a41_monthly_sums_by_prefix", """SELECT substr(lpad(CAST(l_partkey AS VARCHAR), 8, '0'), 5, 2) AS hs2, date_trunc('month', l_shipdate)::DATE AS month, round(sum(l_quantity) / 1000, 8) AS ton, round(sum(l_extendedprice) / 1e6, 8) AS musd FROM lineitem GROUP BY ALL""")
+@query("a41_monthly_sums_by_prefix", """SELECT substr(lpad(CAST(l_partkey AS VARCHAR), 19, '0'), 16, 2) AS hs2, date_trunc('month', l_shipdate)::DATE AS month, round(sum(l_quantity) / 1000, 8) AS ton, round(sum(l_extendedprice) / 1e6, 8) AS musd FROM lineitem GROUP BY ALL""")
 def _(spark, sf):
     li = table(spark, sf, "lineitem")
-    return li.groupBy(F.substring(F.lpad(F.col("l_partkey").cast("string"), 8, "0"), 5, 2).alias("hs2"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("month")).agg(
+    return li.groupBy(F.substring(F.lpad(F.col("l_partkey").cast("string"), 19, "0"), 16, 2).alias("hs2"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("month")).agg(
         F.round(F.sum("l_quantity") / 1000, 8).alias("ton"), F.round(F.sum("l_extendedprice") / 1e6, 8).alias("musd"))
 
 

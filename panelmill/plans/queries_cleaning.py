@@ -353,10 +353,10 @@ def _(spark, sf):
     return x.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"), F.count("o_orderstatus").alias("n_status"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("s03_text_csv_with_byte_mark", "SELECT lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS code, o_orderpriority AS priority FROM orders")
+@query("s03_text_csv_with_byte_mark", "SELECT lpad(CAST(o_orderkey AS VARCHAR), 19, '0') AS code, o_orderpriority AS priority FROM orders")
 def _(spark, sf):
     root = scratch(spark, "csv")
-    x = table(spark, sf, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 8, "0").alias("\ufeffcode"), F.col("o_orderpriority").alias("priority"))
+    x = table(spark, sf, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 19, "0").alias("\ufeffcode"), F.col("o_orderpriority").alias("priority"))
     x.write.option("header", True).csv(root)  # every file starts with the mark, as exported sheets do
     return IO.read_text_csv(spark, root).select("code", "priority")
 

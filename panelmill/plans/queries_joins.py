@@ -39,16 +39,17 @@ def _(spark, sf):
     return x.groupBy("nation", "region").agg(F.sum("n").alias("n_rows"), F.round(F.sum("a"), 2).alias("amount"), F.count("l_suppkey").alias("n_markets"))
 
 
-WIDE = "wide AS (SELECT avail, sum(CASE WHEN priority = '1-URGENT' THEN total END) AS urgent, sum(CASE WHEN priority = '5-LOW' THEN total END) AS low FROM facts GROUP BY avail)"
+PRIORITIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+WIDE = "wide AS (SELECT avail, " + ", ".join(f"sum(CASE WHEN priority = '{p}' THEN total END) AS {n}" for p, n in PRIORITIES.items()) + " FROM facts GROUP BY avail)"
 
 
 @query("j03_asof_published_facts", f"""WITH {OBS}, {daily_sql()}, {FACTS}, {WIDE}
-SELECT {K}, date, round(price, 6) AS price, round(urgent, 2) AS urgent, round(low, 2) AS low FROM daily ASOF LEFT JOIN wide ON daily.date >= wide.avail""")
+SELECT {K}, date, round(price, 6) AS price, {", ".join(f"round({n}, 2) AS {n}" for n in PRIORITIES.values())} FROM daily ASOF LEFT JOIN wide ON daily.date >= wide.avail""")
 def _(spark, sf):
-    w = monthly_facts(spark, sf).groupBy("avail").pivot("priority", ["1-URGENT", "5-LOW"]).agg(F.sum("total"))
-    w = w.select("avail", F.col("1-URGENT").alias("urgent"), F.col("5-LOW").alias("low"))
-    x = asof_backward(daily_prices(spark, sf), "date", [Fact(w, "avail", ["urgent", "low"])])
-    return x.select(*SERIES, "date", *r6("price"), F.round("urgent", 2).alias("urgent"), F.round("low", 2).alias("low"))
+    w = monthly_facts(spark, sf).groupBy("avail").pivot("priority", list(PRIORITIES)).agg(F.sum("total"))
+    w = w.select("avail", *[F.col(f"`{p}`").alias(n) for p, n in PRIORITIES.items()])
+    x = asof_backward(daily_prices(spark, sf), "date", [Fact(w, "avail", list(PRIORITIES.values()))])
+    return x.select(*SERIES, "date", *r6("price"), *[F.round(n, 2).alias(n) for n in PRIORITIES.values()])
 
 
 @query("j03_asof_by_key", f"""WITH {FACTS} SELECT o_orderkey, o_orderpriority AS priority, CAST(o_orderdate AS DATE) AS date, round(total, 2) AS total, n_orders, facts.month AS fact_month
@@ -96,15 +97,15 @@ def _(spark, sf):
     return history(spark, sf).select(*SERIES, "date", *r6("base"), F.round(f.at("base", 364), 6).alias("base_last_year"))
 
 
-@query("j07_prefix_join", """WITH codes AS (SELECT DISTINCT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code FROM part),
-pre AS (SELECT p_brand AS item, unnest(string_split(string_agg(DISTINCT substr(lpad(CAST(p_partkey AS VARCHAR), 6, '0'), 1, 5), ';'), ';')) AS pre FROM part WHERE p_size >= 45 GROUP BY p_brand),
+@query("j07_prefix_join", """WITH codes AS (SELECT DISTINCT lpad(CAST(p_partkey AS VARCHAR), 19, '0') AS code FROM part),
+pre AS (SELECT p_brand AS item, unnest(string_split(string_agg(DISTINCT substr(lpad(CAST(p_partkey AS VARCHAR), 19, '0'), 1, 18), ';'), ';')) AS pre FROM part WHERE p_size >= 45 GROUP BY p_brand),
 pairs AS (SELECT DISTINCT item, code FROM pre JOIN codes ON starts_with(code, pre))
 SELECT item, count(*) AS n_codes, round(sum(qty), 2) AS qty, round(sum(amount), 2) AS amount FROM pairs
-JOIN (SELECT lpad(CAST(l_partkey AS VARCHAR), 6, '0') AS code, sum(l_quantity) AS qty, sum(l_extendedprice) AS amount FROM lineitem GROUP BY ALL) t USING (code) GROUP BY item""")
+JOIN (SELECT lpad(CAST(l_partkey AS VARCHAR), 19, '0') AS code, sum(l_quantity) AS qty, sum(l_extendedprice) AS amount FROM lineitem GROUP BY ALL) t USING (code) GROUP BY item""")
 def _(spark, sf):
-    code = lambda c: F.lpad(F.col(c).cast("string"), 6, "0")
+    code = lambda c: F.lpad(F.col(c).cast("string"), 19, "0")
     p = table(spark, sf, "part")
-    items = p.where("p_size >= 45").groupBy(F.col("p_brand").alias("item")).agg(F.array_join(F.collect_set(F.substring(code("p_partkey"), 1, 5)), ";").alias("prefixes"))
+    items = p.where("p_size >= 45").groupBy(F.col("p_brand").alias("item")).agg(F.array_join(F.collect_set(F.substring(code("p_partkey"), 1, 18)), ";").alias("prefixes"))
     pre = M.explode_list(items, "prefixes", "pre")
     pairs = M.prefix_pairs(pre, ["item"], "pre", p.select(code("p_partkey").alias("code")), "code")
     t = table(spark, sf, "lineitem").groupBy(code("l_partkey").alias("code")).agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("a"))

@@ -359,7 +359,7 @@ def _(spark, sf):
 @query("m08_two_stage_out_of_year")
 def _(spark, sf):
     nat = history(spark, sf, ["channel"]).where("y IS NOT NULL").withColumn("woy", F.weekofyear("date").cast("double"))
-    oof = ML.out_of_year(nat, "ridge", NUM, ["channel"], "y", "date", [1996, 1997, 1998, 1999, 2000]).select("channel", "date", F.round("pred_oof", 6).alias("nat_pred"))
+    oof = ML.out_of_year(nat, "ridge", NUM, ["channel"], "y", "date", [r[0] for r in nat.select(F.year("date").alias("year")).distinct().orderBy("year").collect()]).select("channel", "date", F.round("pred_oof", 6).alias("nat_pred"))
     return history(spark, sf, RK).where("y IS NOT NULL").join(oof, ["channel", "date"], "left").select(*RK, "date", "y", "nat_pred")
 
 
@@ -378,13 +378,15 @@ def _(spark, sf):
 
 @query("m10_permutation_importance")
 def _(spark, sf):
+    from functools import reduce
+
     x = cut_lineage(ML.model_rows(frame(spark, sf), NUM, CATS))
     m = ML.fit(x.where(train_rows()), "ridge", NUM, CATS, "y")
     te = x.where(test_rows())
     parts = [E.metrics(ML.score(m, te), "y", "pred").withColumn("shuffled", F.lit("none"))]
-    for c in ("r28", "dev_last"):
+    for c in NUM:
         parts.append(E.metrics(ML.score(m, E.permute_column(te, [*SERIES, "date"], c)), "y", "pred").withColumn("shuffled", F.lit(c)))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("shuffled", "n", *r6("rmse", "r2"))
+    return reduce(lambda a, b: a.unionByName(b), parts).select("shuffled", "n", *r6("rmse", "r2"))
 
 
 @query("m10_direction_check", f"""{HIST}, d AS (SELECT item, r28 - avg(r28) OVER (PARTITION BY item) AS xw, y - avg(y) OVER (PARTITION BY item) AS yw FROM hist WHERE y IS NOT NULL AND r28 IS NOT NULL),
@@ -403,7 +405,7 @@ def _(spark, sf):
 
 @query("m11_ablation")
 def _(spark, sf):
-    return ML.ablation(frame(spark, sf), "boosted", NUM, CATS, "y", train_rows(), valid_rows(), {"without_yoy": ["yoy", "ly_change"]}, seeds=(42, 43), trees=3, depth=4)
+    return ML.ablation(frame(spark, sf), "boosted", NUM, CATS, "y", train_rows(), valid_rows(), {"without_yoy": ["yoy", "ly_change"]}, trees=3, depth=4)
 
 
 @query("m12_parameter_search")

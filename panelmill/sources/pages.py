@@ -15,7 +15,6 @@ DESCRIPTION = r'<meta name="description" content="([^"]*)"'
 INGREDIENT_TEXT = r"(?si)재료[^:：]*[:：]\s*(.+?)(?:■\s*만들|만드는\s*법|만들기|조리\s*방법|how to|\d\s*\.\.\.)"
 HITS = (r'class="hit font_num">\s*([\d,]+)', r"조회수\s*([\d,]+)")
 RATING, REVIEWS = r'class="hit_rv_pt">([\d.]+)', r'class="hit_rv_ea">\((\d+)\)'
-INGREDIENT_TEXT_LENGTH = 500
 
 LD_SCHEMA = (
     "`@type` string, name string, datePublished string, recipeIngredient array<string>, "
@@ -42,7 +41,7 @@ def parse_pages(pages: DataFrame, key: str, html: str, url_base: str = "") -> Da
     out = pages.select(key, h.alias("_h"), ld.alias("_ld"), listed.alias("_listed"))
     out = out.withColumn("_ing", F.when(F.size("_listed") > 0, F.col("_listed")).otherwise(from_ld))
     desc = _first(F.col("_h"), DESCRIPTION)
-    text = F.when(F.size("_ing") == 0, F.substring(F.trim(_first(desc, INGREDIENT_TEXT)), 1, INGREDIENT_TEXT_LENGTH))
+    text = F.when(F.size("_ing") == 0, F.trim(_first(desc, INGREDIENT_TEXT)))
     rating = F.col("_ld.aggregateRating")
     return out.select(
         key, F.trim(F.coalesce(F.col("_ld.name"), F.lit(""))).alias("name"), F.concat(F.lit(url_base), F.col(key).cast("string")).alias("url"),
