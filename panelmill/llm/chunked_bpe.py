@@ -80,7 +80,7 @@ def _loosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, x in enumerate(b.column(1).to_pylist()):
             texts.append(z.decompress(x))
             size += len(texts[-1])
-            if size >= SLICE_BYTES or i == b.num_rows - 1:
+            if size >= SLICE_BYTES // 4 or i == b.num_rows - 1:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, i + 1 - at), pa.array(texts, pa.binary()).cast(pa.string()), b.column(2).slice(at, i + 1 - at)], ["doc_id", "text", "given"])
                 at, texts, size = i + 1, [], 0
 
@@ -163,7 +163,7 @@ def _three(e: Encoder, *texts: str):
     return np.split(ids, np.cumsum(counts)[:-1]), counts
 
 
-def _assemble(vocabulary: str, ranks: str | None):
+def _assemble(vocabulary: str, ranks: str | None, finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary, ranks)
         for b in _loosen(batches):
@@ -191,17 +191,22 @@ def _assemble(vocabulary: str, ranks: str | None):
                 for j, part in zip(unknown, np.split(ids, np.cumsum(counts)[:-1])):
                     j[1] = part
             out = [repaired(e, [j[0] for j in p], [j[1] for j in p]) if len(p) > 1 else p[0][1] if p else np.empty(0, np.int32) for p in plans]
-            counts = np.array([len(x) for x in out], np.int32)
-            flat = np.concatenate(out).astype(np.int32) if len(out) else np.empty(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "ids"])
+            yield finish(b.column(0), out)
 
     return run
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _as_lists(doc_ids, ids: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
+    flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
+    return pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
+
+
+def encode_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", finish=_as_lists, schema: str = "doc_id long, ids array<int>") -> DataFrame:
     """doc_id and ids (array of int) of every whole text, one row per input row.
 
+    finish turns ids of a batch and their documents into rows of `schema`, in the task that encodes them.
+
     Null and empty texts have no ids. Rows with a null id are encoded by themselves; rows that repeat an id are each
     encoded by their own text. Other columns are ignored. Chunks are equal when their 128-bit hashes are.
     """
@@ -213,7 +218,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None,
     homes = shared.groupBy(F.col("home").alias("k")).agg(F.collect_list("hash").alias("given"))  # as many as the document has chunks
     coded = by_id.join(homes, "k").select("doc_id", "packed", "given").mapInArrow(_encode_shared(vocabulary, ranks), "hash binary, ids binary").groupBy("hash").agg(F.any_value("ids").alias("ids"))
     given = places.join(coded, "hash").groupBy(F.col("doc_id").alias("k")).agg(F.collect_list(F.struct("hash", "ids")).alias("given"))
-    return by_id.join(given, "k", "left").select("doc_id", "packed", "given").mapInArrow(_assemble(vocabulary, ranks), "doc_id long, ids array<int>")
+    return by_id.join(given, "k", "left").select("doc_id", "packed", "given").mapInArrow(_assemble(vocabulary, ranks, finish), schema)
 
 
 _decoders: dict[str, tuple[list[bytes], list[bytes]]] = {}
@@ -235,25 +240,27 @@ def decode(ids: list[int], vocabulary: str) -> str:
     return b"".join(map(_decoder(vocabulary)[0].__getitem__, ids)).decode("utf-8", "replace")
 
 
-def digests(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digest_rows(vocabulary: str):
+    """Digests of ids and of the text they decode to."""
+
+    def rows(doc_ids, ids: list[np.ndarray]) -> pa.RecordBatch:
         decimal = _decoder(vocabulary)[1]
-        for b in batches:
-            column = b.column(1)
-            n, a, t = [], [], []
-            for row in column:
-                ids = row.values.to_pylist() if row.is_valid else []
-                n.append(len(ids))
-                a.append(hashlib.sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest())
-                t.append(hashlib.sha256(decode(ids, vocabulary).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(t)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        a, t = [], []
+        for x in ids:
+            own = x.tolist()
+            a.append(hashlib.sha256(b",".join(map(decimal.__getitem__, own))).hexdigest())
+            t.append(hashlib.sha256(decode(own, vocabulary).encode()).hexdigest())
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array([len(x) for x in ids], pa.int64()), pa.array(a, pa.string()), pa.array(t, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows
 
 
 def encode_digests(docs: DataFrame) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    return digests(encode_documents(docs, vocabulary, public_tokenizers.path("byte_bpe_50k.tiktoken")), vocabulary)
+    return encode_documents(docs, vocabulary, public_tokenizers.path("byte_bpe_50k.tiktoken"), finish=digest_rows(vocabulary), schema=DIGESTS)
 
 
 @query("op2_chunked_bpe")

@@ -15,7 +15,7 @@ from itertools import repeat
 import numpy as np
 
 #: Words a worker remembers; later new words are encoded each time they come.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: A word of letters below U+0250 and the commas and full stops after it: always one token group and at most one more.
 _PLAIN = re.compile(r"([^\W\d_]+)([.,]*)")
@@ -30,7 +30,7 @@ def _regular(text: str) -> bool:
 
 
 #: Words a worker remembers; later new words are encoded each time they come.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 _ODD = re.compile(r"[ \n]\s|\s[ \n]|\r|^[ \n]|[ \n]$")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 

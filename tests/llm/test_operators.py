@@ -123,7 +123,7 @@ def test_chunked_encoding(docs, empty, ranks):
     encoded = chunked_bpe.encode_documents(docs, VOCABULARY, ranks)
     assert sorted(str((r.doc_id, list(r.ids))) for r in encoded.collect()) == want
     if ranks:
-        d = chunked_bpe.digests(encoded, VOCABULARY).where("doc_id = 9").first()
+        d = chunked_bpe.encode_digests(docs).where("doc_id = 9").first()
         assert d.decoded_sha256 == hashlib.sha256(ROWS[11][1].encode()).hexdigest()
         assert chunked_bpe.encode_documents(empty, VOCABULARY, ranks).count() == 0
 
