@@ -2,7 +2,8 @@
 
 The automaton holds every substring of every template. Reading a file word by word gives its matching statistics: for
 each word the longest template passage that ends there. Passages of at least `least` words are chained into covered
-spans, and a template labels the file when chained spans cover enough of it. Base labels come from fixed phrases.
+spans. A template labels the file when passages that no other template holds have enough words, so that wording common to
+several licenses ("under the terms of the") labels nothing by itself. Base labels come from fixed phrases.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ TEMPLATES = {
 @dataclass(frozen=True)
 class Params:
     least: int = 5  # words of a passage worth chaining
-    label_words: int = 5  # chained words of one template that give its label
+    label_words: int = 5  # words of a passage of one template alone that give its label
     gap: int = 8  # words between two passages of one span at most
 
 
@@ -144,18 +145,20 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     line = b" " + b" ".join(words) + b" "
     out = []
     for phrase, label in _PHRASES:
-        at = line.find(phrase)
+        at, seen, word = line.find(phrase), 0, 0
         while at >= 0:
-            out.append((line.count(b" ", 0, at), label))
-            at = line.find(phrase, at + 1)
+            word += line.count(b" ", seen, at)
+            out.append((word, label))
+            seen, at = at, line.find(phrase, at + 1)
     return sorted(out)
 
 
 def scan(text: str | None, p: Params = Params()) -> dict:
     a, w = automaton(), words_of(text)
     base = base_places(w)
-    by_label = spans(a.matches(w, p.least), a, p.gap)
-    own = {label for label, s in by_label.items() if sum(x[2] for x in s) >= p.label_words}
+    found = a.matches(w, p.least)
+    by_label = spans(found, a, p.gap)
+    own = {label for label in by_label if sum(n for _, n, state in found if a.labels[state] == {label}) >= p.label_words}
     covered = set()
     for label in own:
         for first, last, _ in by_label[label]:

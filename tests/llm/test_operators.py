@@ -178,6 +178,8 @@ def test_licenses(docs, empty):
     s = licenses.scan("X. Licensed under CC BY-NC 4.0. ALL rights reserved, all rights reserved")
     assert (s["n_words"], s["n_base"], s["first_word"], s["last_word"], s["base_labels"]) == (14, 3, 3, 11, "cc-by,reserved") and "cc-by-nc" in s["labels"]
     assert licenses.scan(None)["labels"] == "" and licenses.scan("naïve ÀB")["n_words"] == 2
+    assert licenses.scan("the tenants live under the terms of the lease")["labels"] == ""  # words of several templates
+    assert licenses.base_places(licenses.words_of("cc by cc by gpl general public license cc by")) == [(0, "cc-by"), (2, "cc-by"), (5, "gpl"), (8, "cc-by")]
     a, words = licenses.automaton(), "permission to use copy the gnu general public license as published by zzz of this software and".encode().split()
     longest = [max((k for t in licenses.TEMPLATES.values() for k in range(i + 2) if f" {b' '.join(words[i + 1 - k : i + 1]).decode()} " in f" {t} "), default=0) for i in range(len(words))]
     want = [(i + 1, m) for i, m in enumerate(longest) if m >= 2 and (i + 1 == len(words) or longest[i + 1] != m + 1)]
