@@ -2,7 +2,7 @@
 
 Known words are scored by their log frequency in each language. An unseen word is scored by its 4-character pieces
 (with its ends marked), or 3, 2, 1 characters where no longer piece is known. Frequencies are counted over all training
-rows; the model keeps the most frequent (token, language) pairs, so its size is bounded by `Params`.
+rows; the model keeps the (token, language) pairs from the frequency on at which no more than `Params` allows remain.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -28,7 +29,7 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Params:
-    word_pairs: int = 100_000  # (word, language) pairs that the model keeps, the most frequent first
+    word_pairs: int = 100_000  # (word, language) pairs that the model keeps at most, the most frequent; all of equal frequency stay or go
     piece_pairs: int = 50_000  # the same for the pieces of each length
     longest: int = 4
     smoothing: float = 0.5
@@ -63,21 +64,19 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", p: Par
     """
     r = rows.where(F.col(label_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"))
     words = cut_lineage(r.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    parts = []
-    for k in range(p.longest + 1):
-        if k == 0:
-            t = words.select("lang", F.col("word").alias("token"), "n")
-        else:
-            marked = words.withColumn("m", F.concat(F.lit("<"), "word", F.lit(">")) if k > 1 else F.col("word"))
-            at = F.sequence(F.lit(1), F.greatest(F.length("m") - (k - 1), F.lit(1)))
-            t = marked.select("lang", "n", F.explode(F.transform(at, lambda i: F.substring("m", i, F.lit(k)))).alias("token")).groupBy("lang", "token").agg(F.sum("n").alias("n"))
-        totals = t.groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
-        top = t.orderBy(F.desc("n"), "token", "lang").limit(p.word_pairs if k == 0 else p.piece_pairs)
-        parts.append(top.join(F.broadcast(totals), "lang").select(F.lit(k).alias("length"), "token", "lang", "n", "total", "types"))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    marked = words.select("lang", "n", "word", F.explode(F.array(*map(F.lit, range(1, p.longest + 1)))).alias("length"))
+    marked = marked.withColumn("m", F.when(F.col("length") > 1, F.concat(F.lit("<"), "word", F.lit(">"))).otherwise(F.col("word")))
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("m") - (F.col("length") - 1), F.lit(1))))
+    pieces = marked.select("length", "lang", "n", "m", at.alias("i")).groupBy("length", "lang", F.substring("m", F.col("i"), F.col("length")).alias("token")).agg(F.sum("n").alias("n"))
+    pairs = words.select(F.lit(0).alias("length"), "lang", F.col("word").alias("token"), "n").unionByName(cut_lineage(pieces))
+    totals = pairs.groupBy("length", "lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
+    # Frequencies with 10 leading bits: at most some 28,000 levels a length, whatever the corpus.
+    level = F.expr("shiftleft(shiftright(n, int(greatest(0, floor(log2(n)) - 9))), int(greatest(0, floor(log2(n)) - 9)))")
+    levels = pairs.groupBy("length", level.alias("level")).agg(F.count(F.lit(1)).alias("k"))
+    above = levels.withColumn("above", F.sum("k").over(Window.partitionBy("length").orderBy(F.desc("level"))))
+    least = above.where(F.col("above") <= F.when(F.col("length") == 0, p.word_pairs).otherwise(p.piece_pairs)).groupBy("length").agg(F.min("level").alias("least"))
+    kept = pairs.join(F.broadcast(least), "length").where("n >= least")  # one row a length
+    return kept.join(totals, ["length", "lang"]).select("length", "token", "lang", "n", "total", "types")
 
 
 class Model:
@@ -87,37 +86,52 @@ class Model:
         self.langs = sorted({r["lang"] for r in rows})
         at = {x: i for i, x in enumerate(self.langs)}
         self.longest = p.longest
-        self.tables: list[dict[str, np.ndarray]] = []
+        self.tables: list[dict[str, int]] = []
+        parts: list[np.ndarray] = []
+        known = 0
         for k in range(p.longest + 1):
             mine = [r for r in rows if r["length"] == k]
-            base = np.zeros(len(self.langs), np.float32)
-            for r in mine:
-                base[at[r["lang"]]] = math.log(p.smoothing / (r["total"] + p.smoothing * r["types"]))
-            base[:] = min(base, default=0)  # one floor, or a language with few training words would profit from it
-            found: dict[str, np.ndarray] = {}
-            for r in mine:
-                v = found.get(r["token"])
-                if v is None:
-                    v = found[r["token"]] = base.copy()
-                v[at[r["lang"]]] = math.log((r["n"] + p.smoothing) / (r["total"] + p.smoothing * r["types"]))
-            self.tables.append(found)
+            # One floor for all, or a language with few training words would profit from it.
+            floor = min((math.log(p.smoothing / (r["total"] + p.smoothing * r["types"])) for r in mine), default=0)
+            number: dict[str, int] = {}
+            where = [number.setdefault(r["token"], len(number)) for r in mine]
+            part = np.full((len(number), len(self.langs)), floor, np.float32)
+            for i, r in zip(where, mine):
+                part[i, at[r["lang"]]] = math.log((r["n"] + p.smoothing) / (r["total"] + p.smoothing * r["types"]))
+            self.tables.append({t: known + i for t, i in number.items()})
+            parts.append(part)
+            known += len(number)
+        # The last row stands for words without any known piece.
+        self.logs = np.concatenate([*parts, np.zeros((1, len(self.langs)), np.float32)])
         self._start()
 
     def _start(self) -> None:
         self.number: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
         self.matrix = np.empty((1024, len(self.langs)), np.float32)
 
-    def vector(self, word: str) -> np.ndarray:
-        v = self.tables[0].get(word)
-        if v is not None:
-            return v
+    def rows_of(self, word: str) -> list[int]:
+        """Rows of the word, or of the longest pieces of it that are known."""
+        i = self.tables[0].get(word)
+        if i is not None:
+            return [i]
         for k in range(self.longest, 0, -1):
             m = f"<{word}>" if k > 1 else word
-            got = [x for x in (self.tables[k].get(m[i : i + k]) for i in range(max(1, len(m) - k + 1))) if x is not None]
+            get = self.tables[k].get
+            got = [x for x in [get(m[i : i + k]) for i in range(max(1, len(m) - k + 1))] if x is not None]
             if got:
-                return np.mean(got, axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return got
+        return [len(self.logs) - 1]
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds words to the memo: each gets the mean of its rows."""
+        rows = [self.rows_of(w) for w in words]
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        sums = np.add.reduceat(self.logs[list(chain.from_iterable(rows))], np.cumsum(counts) - counts, axis=0)
+        k = len(self.number)
+        while k + len(words) > len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.empty_like(self.matrix)])
+        self.matrix[k : k + len(words)] = sums / counts[:, None]
+        self.number.update(zip(words, range(k, k + len(words))))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
@@ -128,12 +142,7 @@ class Model:
         number = self.number
         at = list(map(number.get, words))
         if None in at:
-            for w in dict.fromkeys(w for w, i in zip(words, at) if i is None):
-                k = len(number)
-                if k == len(self.matrix):
-                    self.matrix = np.resize(self.matrix, (2 * k, len(self.langs)))
-                self.matrix[k] = self.vector(w)
-                number[w] = k
+            self._learn(list(dict.fromkeys(w for w, i in zip(words, at) if i is None)))
             at = [number[w] for w in words]
         total = self.matrix[at].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
