@@ -1,16 +1,17 @@
 """Near-duplicate vectors by cross-polytope hashing.
 
 Unit vectors are turned by random signs and fast Hadamard transforms; the hash is the signed axis nearest to the turned
-vector. A table joins two such hashes. A vector goes to the bucket of its own axes and to those of its next nearest
-axes (multiprobe); pairs that meet in a bucket are verified by their cosine in double precision.
+vector. A table joins the hashes of several rotations. A vector goes to the bucket of its nearest axes and, for every
+rotation, to the bucket with that one's second nearest axis (multiprobe).
 
-Buckets are cut into blocks of bounded size and compared by matrix products. A pair counts in the first table in which
-its two vectors meet, so no pair becomes a row: a block gives each vector's number of new links and the links of a
-spanning forest.
+Buckets hold ids and 128 signs of random projections, not vectors. Two vectors that meet and differ in few signs are a
+candidate pair; a bucket gives the links of a spanning forest of them. Vectors then travel once, to the blocks of their
+candidate class, where all pairs are verified by their cosine in double precision. No pair becomes a row.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -27,178 +28,314 @@ from .registry import query, table
 
 @dataclass(frozen=True)
 class Params:
+    """Two hashes a table fit some 10^8 vectors of 64 components; one more is due for each further factor of 128.
+
+    At a cosine of exactly 0.95 and 64 components, a pair shares no bucket with a chance of about 6e-6 and differs in
+    more than `signs` of 128 signs with a chance of about 2e-6; both fall steeply above that cosine.
+    """
+
     cosine: float = 0.95
-    tables: int = 10
+    tables: int = 7
     hashes: int = 2  # per table
-    probes: int = 2  # nearest axes of each hash that a query vector looks at
+    signs: int = 30  # sign differences up to which a pair is a candidate
     block: int = 1024
     seed: int = 5
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of each row; the row length is a power of two."""
+    """Fast Walsh-Hadamard transform of each column, in place; the column length is a power of two."""
     h = 1
-    while h < x.shape[1]:
-        x = x.reshape(len(x), -1, 2, h)
-        x = np.concatenate([x[:, :, :1] + x[:, :, 1:], x[:, :, :1] - x[:, :, 1:]], axis=2).reshape(len(x), -1)
+    while h < len(x):
+        pairs = x.reshape(-1, 2, h, x.shape[1])
+        a, b = pairs[:, 0], pairs[:, 1]
+        a += b
+        b *= -2
+        b += a
         h *= 2
     return x
 
 
 @cache
-def _signs(dim: int, p: Params) -> np.ndarray:
-    return np.random.default_rng(p.seed).integers(0, 2, (p.tables, p.hashes, 3, dim)) * 2.0 - 1
+def _turns(dim: int, p: Params) -> np.ndarray:
+    return np.random.default_rng(p.seed).integers(0, 2, (p.tables, p.hashes, 3, dim, 1)).astype(np.float32) * 2 - 1
 
 
-def axes(unit: np.ndarray, t: int, k: int, p: Params) -> np.ndarray:
-    """The `probes` nearest signed axes of each row under one rotation, nearest first."""
-    dim = 1 << max(0, unit.shape[1] - 1).bit_length()
-    x = np.zeros((len(unit), dim))
-    x[:, : unit.shape[1]] = unit
-    for s in _signs(dim, p)[t, k]:
+@cache
+def _planes(length: int, p: Params) -> np.ndarray:
+    return np.random.default_rng(p.seed + 1).normal(size=(length, 128))
+
+
+def axes(columns: np.ndarray, t: int, k: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest and second nearest signed axis of each column under one rotation."""
+    x = columns
+    for s in _turns(len(columns), p)[t, k]:
         x = hadamard(x * s)
-    size = np.abs(x)
-    near = np.argsort(-size, axis=1, kind="stable")[:, : p.probes]
-    return near * 2 + (np.take_along_axis(x, near, axis=1) < 0)
+    x /= np.float32(len(x))
+    size, each = np.abs(x), np.arange(x.shape[1])
+    first = size.argmax(axis=0)
+    size[first, each] = -1
+    second = size.argmax(axis=0)
+    return first * 2 + (x[first, each] < 0), second * 2 + (x[second, each] < 0)
 
 
-def bucket_keys(unit: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Per row and table: its own bucket, and all buckets it looks at (its own first)."""
-    own, seen = [], []
+def bucket_keys(unit: np.ndarray, p: Params) -> np.ndarray:
+    """Per row the buckets it goes to: in each table its own, then one for each rotation's second axis."""
+    dim = 1 << max(0, unit.shape[1] - 1).bit_length()
+    columns = np.zeros((dim, len(unit)), np.float32)
+    columns[: unit.shape[1]] = unit.T
+    out = []
     for t in range(p.tables):
-        keys = np.full((len(unit), 1), t + 1 + (unit.shape[1] << 16), np.uint64)  # lengths never meet
-        for k in range(p.hashes):
-            a = axes(unit, t, k, p).astype(np.uint64)
-            keys = (keys[:, :, None] * np.uint64(0x9E3779B97F4A7C15) + a[:, None, :] + np.uint64(1)).reshape(len(unit), -1)
-        keys = mix(keys).view(np.int64)
-        own.append(keys[:, 0])
-        seen.append(keys)
-    return np.stack(own, 1), np.stack(seen, 1)
+        near = [axes(columns, t, k, p) for k in range(p.hashes)]
+        for probe in range(-1, p.hashes):
+            key = np.full(len(unit), t + 1 + (unit.shape[1] << 16), np.uint64)  # lengths never meet
+            for k, (first, second) in enumerate(near):
+                key = key * np.uint64(0x9E3779B97F4A7C15) + (second if k == probe else first).astype(np.uint64) + np.uint64(1)
+            out.append(mix(key).view(np.int64))
+    return np.stack(out, 1)
+
+
+def sign_words(unit: np.ndarray, p: Params) -> np.ndarray:
+    """Two 64-bit words of signs a row."""
+    return np.packbits(unit @ _planes(unit.shape[1], p) > 0, axis=1).view(np.int64)
+
+
+def _units(column: pa.Array, keep: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and unit vectors (doubles) of the usable vectors among `keep`, by length and some hundred at a time."""
+    if pa.types.is_null(column.type) or not len(column):
+        return
+    valid = np.asarray(column.is_valid()) & keep
+    sizes = np.asarray(column.value_lengths().fill_null(0))
+    starts = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column)].astype(np.int64)
+    values = np.asarray(column.values.cast(pa.float64()).fill_null(float("nan")))
+    for length in np.unique(sizes[valid & (sizes > 0)]).tolist():
+        rows = np.flatnonzero(valid & (sizes == length))
+        for at in range(0, len(rows), 512):
+            part = rows[at : at + 512]
+            m = values[starts[part][:, None] + np.arange(length)]
+            top = np.abs(m).max(axis=1)
+            good = np.isfinite(top) & (top > 0)  # a NaN makes the maximum NaN
+            part, m = part[good], m[good] / top[good][:, None]  # no overflow in the norm
+            if len(part):
+                yield part, m / np.linalg.norm(m, axis=1, keepdims=True) + 0.0
+
+
+def _digest(u: np.ndarray) -> bytes:
+    return hashlib.blake2b(u.tobytes(), digest_size=16).digest()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """vec_id and a 128-bit digest of the unit vector; nothing for unusable vectors."""
+    for b in batches:
+        ids = np.asarray(b.column(0))
+        for rows, unit in _units(b.column(1), np.ones(b.num_rows, bool)):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(list(map(_digest, unit)), pa.binary())], ["vec_id", "h"])
 
 
-def _usable(column: pa.Array) -> list[np.ndarray | None]:
-    out = []
-    for v in column.to_pylist():
-        x = None if v is None or any(c is None for c in v) else np.asarray(v, np.float64)
-        out.append(x if x is not None and len(x) and np.isfinite(x).all() and x.any() else None)
-    return out
+def _entries(p: Params):
+    """A row for each bucket that a class's vector goes to; rows that hold another vector under the id are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, wanted = np.asarray(b.column(0)), b.column(2).to_pylist()
+            for rows, unit in _units(b.column(1), np.ones(b.num_rows, bool)):
+                own = np.fromiter((_digest(u) == wanted[i] for i, u in zip(rows.tolist(), unit)), bool, len(rows))
+                rows, unit = rows[own], unit[own]
+                if len(rows):
+                    keys, signs = bucket_keys(unit, p), sign_words(unit, p)
+                    n = keys.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x, n)) for x in (ids[rows], signs[:, 0], signs[:, 1]))], ["key", "vec_id", "s0", "s1"])
+
+    return run
 
 
-def _sketch(p: Params):
-    """vec_id, unit vector (doubles), own bucket per table, all buckets per table; nothing for unusable vectors."""
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Per item the smallest item that the links reach."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _differ(s0: np.ndarray, s1: np.ndarray, i, j) -> np.ndarray:
+    return np.bitwise_count((s0[i] ^ s0[j]).view(np.uint64)) + np.bitwise_count((s1[i] ^ s1[j]).view(np.uint64))
+
+
+def _stars(ids: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A link to the root of its class for every other member."""
+    at = np.flatnonzero((root != np.arange(len(root))) & (ids != ids[root]))
+    return ids[root[at]], ids[at]
+
+
+def candidates(key: np.ndarray, ids: np.ndarray, s0: np.ndarray, s1: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the candidate pairs of whole buckets; rows are ordered by key, in runs of at most a block."""
+    root, lag, i = np.arange(len(key)), 1, np.arange(len(key))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    while True:
+        i = i[i + lag < len(key)]
+        i = i[key[i] == key[i + lag]]
+        if not len(i):
+            break
+        hit = i[_differ(s0, s1, i, i + lag) <= p.signs]
+        if len(hit):
+            found.append((hit, hit + lag))
+            size += len(hit)
+        if size > 1 << 20:  # fold what is found so far
+            root = _labels(len(key), *(np.concatenate([own, *part]) for own, part in zip((root, np.arange(len(key))), zip(*found))))
+            found, size = [], 0
+        lag += 1
+    if found:
+        root = _labels(len(key), *(np.concatenate([own, *part]) for own, part in zip((root, np.arange(len(key))), zip(*found))))
+    return _stars(ids, root)
+
+
+def _meet(p: Params):
+    """Buckets, in order of their keys: links of those within a block, the rows of larger ones with their block number."""
+    names = ["a", "b", "key", "s0", "s1", "at"]
+
+    def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, none, none], names)
+
+    def large(rows: np.ndarray, first: int) -> pa.RecordBatch:
+        key, ids, s0, s1 = map(np.ascontiguousarray, rows)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(key), pa.array(s0), pa.array(s1), pa.array((np.arange(len(ids)) + first) // p.block)], names)
+
+    def closed(rows: np.ndarray, sent: int) -> Iterator[pa.RecordBatch]:
+        """Whole buckets; the first `sent` rows of the first one have gone before."""
+        if not rows.shape[1]:
+            return
+        start = np.flatnonzero(np.diff(rows[0], prepend=rows[0, 0] ^ 1))
+        size = np.diff(start, append=rows.shape[1])
+        big = size > p.block
+        big[0] |= sent > 0
+        for s, n in zip(start[big].tolist(), size[big].tolist()):
+            yield large(rows[:, s : s + n], sent if s == 0 else 0)
+        small = np.repeat(~big, size)
+        yield links(*candidates(*rows[:, small], p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, sent = np.empty((4, 0), np.int64), 0
         for b in batches:
-            ids, vectors, copies = b.column(0).to_pylist(), _usable(b.column(1)), b.column(2).to_pylist()
-            for dim in sorted({len(v) for v in vectors if v is not None}):
-                rows = [(i, v, c) for i, v, c in zip(ids, vectors, copies) if v is not None and len(v) == dim]
-                for at in range(0, len(rows), 512):
-                    part = rows[at : at + 512]
-                    m = np.stack([v for _, v, _ in part])
-                    m = m / np.abs(m).max(axis=1, keepdims=True)  # no overflow in the norm
-                    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-                    own, seen = bucket_keys(unit, p)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([i for i, _, _ in part], pa.int64()), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(list(own), pa.list_(pa.int64())),
-                         pa.array([s.tobytes() for s in seen], pa.binary()), pa.array([c for _, _, c in part], pa.int64())], ["vec_id", "unit", "own", "seen", "copies"])
+            if not b.num_rows:
+                continue
+            rows = np.concatenate([rest, np.stack([np.asarray(c) for c in b.columns])], axis=1)
+            end = int(np.searchsorted(rows[0], rows[0, -1]))
+            if end:
+                yield from closed(rows[:, :end], sent)
+                sent = 0
+            rest = rows[:, end:]
+            if rest.shape[1] > 8 * p.block:
+                yield large(rest, sent)
+                sent += rest.shape[1]
+                rest = rest[:, :0]
+        if rest.shape[1]:
+            yield from closed(rest, sent)
 
     return run
 
 
-def _compare(p: Params):
-    """One block pair of a bucket: new links per vector, and forest links."""
+def _meet_blocks(p: Params):
+    """Two blocks of a large bucket, or one with itself."""
 
     def run(t: pa.Table) -> pa.Table:
-        n = t.num_rows
-        ids, at, home, tab, copies = (np.asarray(t.column(c)) for c in ("vec_id", "at", "home", "tab", "copies"))
-        unit = np.stack([np.frombuffer(x, np.float64) for x in t.column("unit").to_pylist()]) if n else np.empty((0, 1))
-        own = np.array(t.column("own").to_pylist(), np.int64).reshape(n, p.tables)
-        seen = np.stack([np.frombuffer(x, np.int64).reshape(p.tables, -1) for x in t.column("seen").to_pylist()]) if n else np.empty((0, p.tables, 1), np.int64)
-        order = np.argsort(ids, kind="stable")
-        ids, at, home, unit, own, seen, copies = (x[order] for x in (ids, at, home, unit, own, seen, copies))
-        one = bool(n) and t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
-        now = int(tab[0]) if n else 0
-        links, root, a, b = np.zeros(n, np.int64), list(range(n)), [], []
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i in range(n - 1):
-            j = np.arange(i + 1, n)
-            j = j[(unit[j] @ unit[i] >= p.cosine) & (ids[j] != ids[i])]
-            j = j[home[j] | home[i]]  # one of the two lives here; guests do not meet each other
-            if not one:
-                j = j[at[j] != at[i]]
-            for s in range(now):  # met before?
-                if not len(j):
-                    break
-                before = (seen[j, s] == own[i, s]).any(axis=1) | (own[j, s][:, None] == seen[i, s][None]).any(axis=1)
-                j = j[~before]
-            links[i] += copies[j].sum()
-            links[j] += copies[i]
-            for k in j.tolist():
-                x, y = find(i), find(k)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    a.append(ids[i])
-                    b.append(ids[k])
-        hit = np.flatnonzero(links)
-        none = pa.nulls(len(hit), pa.int64())
-        return pa.table([pa.concat_arrays([pa.array(ids[hit], pa.int64()), pa.array(a, pa.int64())]), pa.concat_arrays([none, pa.array(b, pa.int64())]),
-                         pa.concat_arrays([pa.array(links[hit], pa.int64()), pa.nulls(len(a), pa.int64())])], ["a", "b", "n"])
+        ids, s0, s1, at = (np.asarray(t.column(c)) for c in ("a", "s0", "s1", "at"))
+        x = np.flatnonzero(at == at.min())
+        y = np.flatnonzero(at == at.max())
+        hit = _differ(s0, s1, x[:, None], y[None]) <= p.signs
+        i, j = np.nonzero(hit)
+        a, b = _stars(ids, _labels(len(ids), x[i], y[j]))
+        return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", p: Params = Params()) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row per input row.
+def _verify(p: Params):
+    """Two blocks of a candidate class, or one with itself: links of each vector, and forest links."""
 
-    Vectors that are null, zero, empty or hold null or non-finite components link with nothing, nor do rows with a null
-    id (component null, kept). Vectors of different length never link. Equal directions collapse to one class first:
-    copies count as links of each other. Rows that repeat an id are one vector by its id: the first by value counts.
-    """
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    one = v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).groupBy("vec_id").agg(F.min("v").alias("v"))
-    kinds = cut_lineage(one.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("v", "rep", "copies"))
-    sketch = cut_lineage(kinds.select("rep", "v", "copies").mapInArrow(_sketch(p), "vec_id long, unit binary, own array<long>, seen binary, copies long"))
-    keys = cut_lineage(sketch.select("vec_id", "own", "seen").mapInArrow(_entries(p), "key long, tab long, home boolean, vec_id long"))
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home").select("key", F.ceil(F.col("n") / p.block).alias("parts"))
-    placed = keys.join(sizes, "key").withColumn("at", F.expr("pmod(xxhash64(vec_id), parts)")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    blocks = placed.select("key", "tab", "home", "vec_id", "at", F.least("at", "o").alias("bi"), F.greatest("at", "o").alias("bj")).join(sketch, "vec_id")
-    found = cut_lineage(blocks.groupBy("key", "bi", "bj").applyInArrow(_compare(p), "a long, b long, n long"))
-    return _result(v, one, kinds, sketch, found)
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, at, copies = (np.asarray(t.column(c)) for c in ("vec_id", "at", "copies"))
+        wanted = t.column("h").to_pylist()
+        rows, units, seen = [], [], set()
+        for part, unit in _units(t.column("v").chunk(0) if t.num_rows else pa.array([]), np.ones(t.num_rows, bool)):
+            for i, u in zip(part.tolist(), unit):
+                if ids[i] not in seen and _digest(u) == wanted[i]:  # a row can stand twice in the input
+                    seen.add(ids[i])
+                    rows.append(i)
+                    units.append(u)
+        a, b, n = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(rows), np.int64)
+        if rows:
+            ids, at, copies = ids[rows], at[rows], copies[rows]
+            for length in sorted({len(u) for u in units}):
+                mine = np.array([i for i, u in enumerate(units) if len(u) == length])
+                m, place = np.stack([units[i] for i in mine]), at[mine]
+                x = np.flatnonzero(place == place.min())
+                y = np.flatnonzero(place == place.max())
+                if t.column("bi")[0].as_py() != t.column("bj")[0].as_py() and place.min() == place.max():
+                    continue
+                hit = m[x] @ m[y].T >= p.cosine
+                hit &= ids[mine[x]][:, None] != ids[mine[y]][None]
+                n[mine[x]] += hit @ copies[mine[y]]
+                if place.min() != place.max():
+                    n[mine[y]] += copies[mine[x]] @ hit
+                i, j = np.nonzero(hit)
+                more = _stars(ids[mine], _labels(len(mine), x[i], y[j]))
+                a, b = np.concatenate([a, more[0]]), np.concatenate([b, more[1]])
+        hit = np.flatnonzero(n)
+        k, none = len(hit), pa.nulls(len(hit), pa.int64())
+        ids = ids[hit] if k else np.empty(0, np.int64)
+        return pa.table([pa.concat_arrays([pa.array(ids), pa.array(a)]), pa.concat_arrays([none, pa.array(b)]), pa.concat_arrays([pa.array(n[hit]), pa.nulls(len(a), pa.int64())])], ["a", "b", "n"])
 
+    return run
 
-def _entries(p: Params):
-    """A row for each bucket that a vector lives in or looks at."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                c = b.slice(at, 2048)
-                seen = np.stack([np.frombuffer(x, np.int64).reshape(p.tables, -1) for x in c.column(2).to_pylist()])
-                n, _, m = seen.shape
-                home = np.zeros((n, p.tables, m), bool)
-                home[:, :, 0] = True
-                tab = np.broadcast_to(np.arange(p.tables)[None, :, None], seen.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(seen.ravel()), pa.array(tab.ravel().astype(np.int64)), pa.array(home.ravel()), pa.array(np.repeat(np.asarray(c.column(0)), p.tables * m))],
-                                                 ["key", "tab", "home", "vec_id"])
+def _pairs_of_blocks(placed: DataFrame) -> DataFrame:
+    """Each row once for every pair of blocks that its own block is in."""
+    other = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return other.withColumns({"bi": F.least("at", "o"), "bj": F.greatest("at", "o")}).drop("o", "parts")
 
-    return run
 
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", p: Params = Params()) -> DataFrame:
+    """vec_id, n_links, component_id, kept: one row per input row.
 
-def _result(v: DataFrame, one: DataFrame, kinds: DataFrame, sketch: DataFrame, found: DataFrame) -> DataFrame:
+    Vectors that are null, zero, empty or hold null or non-finite components link with nothing, nor do rows with a null
+    id (component null, kept). Vectors of different length never link. Equal directions collapse to one class first:
+    copies count as links of each other. Rows that repeat an id are one vector by its id: the first by digest counts.
+    """
+    kind = dict(vectors.dtypes)[vector_col]
+    vector = F.col(vector_col) if kind in ("array<float>", "array<double>") else F.col(vector_col).cast("array<double>")
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v"))
+    usable = v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
+    one = cut_lineage(usable.mapInArrow(_digests, "vec_id long, h binary").groupBy("vec_id").agg(F.min("h").alias("h")))
+    kinds = cut_lineage(one.groupBy("h").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")))
+    entries = usable.join(kinds.select("vec_id", "h"), "vec_id").mapInArrow(_entries(p), "key long, vec_id long, s0 long, s1 long")
+    met = cut_lineage(entries.repartition("key").sortWithinPartitions("key", "vec_id").mapInArrow(_meet(p), "a long, b long, key long, s0 long, s1 long, at long"))
+    large = met.where(F.col("at").isNotNull()).drop("b")
+    parts = large.groupBy("key").agg((F.max("at") + 1).alias("parts"))
+    links = _pairs_of_blocks(large.join(parts, "key")).groupBy("key", "bi", "bj").applyInArrow(_meet_blocks(p), "a long, b long")
+    near = components(met.where(F.col("b").isNotNull()).select("a", "b").unionByName(links))
+    members = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()).distinct()
+    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / p.block).alias("parts"))
+    placed = members.join(sizes, "component").withColumn("at", F.expr("pmod(xxhash64(node), parts)")).join(kinds, F.col("node") == F.col("vec_id")).drop("node")
+    blocks = _pairs_of_blocks(placed.join(usable, "vec_id"))
+    found = cut_lineage(blocks.groupBy("component", "bi", "bj").applyInArrow(_verify(p), "a long, b long, n long"))
+    return _result(v, one, kinds, found)
+
+
+def _result(v: DataFrame, one: DataFrame, kinds: DataFrame, found: DataFrame) -> DataFrame:
     """Links and components of classes, given back to every vector of the class."""
-    links = found.where(F.col("n").isNotNull()).groupBy("a").agg(F.sum("n").alias("more"))
-    comp = components(found.where(F.col("b").isNotNull()))
-    classes = (
-        sketch.select("vec_id", "copies").join(links, F.col("vec_id") == F.col("a"), "left").join(comp, F.col("vec_id") == F.col("node"), "left")
-        .select(F.col("vec_id").alias("rep"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
-    )
-    by_vector = one.join(kinds.select("v", "rep"), "v").join(classes, "rep").select("vec_id", "n_links", "component")
+    links = found.where(F.col("n").isNotNull()).groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("more"))
+    comp = components(found.where(F.col("b").isNotNull())).withColumnRenamed("node", "vec_id")
+    classes = kinds.join(links, "vec_id", "left").join(comp, "vec_id", "left")
+    classes = classes.select("h", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
+    by_vector = one.join(classes, "h").select("vec_id", "n_links", "component")
     out = v.select("vec_id").join(by_vector, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

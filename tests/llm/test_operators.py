@@ -165,6 +165,24 @@ def test_vectors(spark):
     assert embeddings.near_vectors(d.limit(0)).count() == 0
 
 
+def test_vector_groups_beyond_a_block(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 32))
+    x = np.concatenate([c + rng.normal(size=(k, 32)) * s for c, k, s in zip(centres, (90, 40, 5, 3, 1, 1), (0.05, 0.2, 0.05, 0.3, 1, 1))])
+    x = np.concatenate([x, x[:30]])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    least = np.arange(len(x))
+    while True:
+        new = np.where(near, least[None], len(x)).min(axis=1, initial=len(x))
+        if (np.minimum(new, least) == least).all():
+            break
+        least = np.minimum(new, least)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_vectors(d, p=embeddings.Params(block=16)).collect())
+    assert got == [(i, int(near[i].sum()), int(least[i])) for i in range(len(x))]
+
+
 def test_language(docs, empty):
     m = language.fit(docs)
     got = {r.doc_id: r for r in language.predict(docs, m).collect()}
