@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def _landed(spark: SparkSession, target: str) -> int:
+    """Rows of the target so far, from the files' footers; none before the first run."""
+    try:
+        return spark.read.parquet(target).count()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return 0
+        raise
+
+
 def land_new_files(
     spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, file_format: str = "parquet",
     max_files: int = 1000, options: dict | None = None,
@@ -15,6 +26,7 @@ def land_new_files(
 
     The checkpoint records finished files and batches; source, target and checkpoint must be shared folders.
     """
+    before = _landed(spark, target)
     r = spark.readStream.format(file_format).schema(schema).option("maxFilesPerTrigger", max_files)
     for k, v in (options or {}).items():
         r = r.option(k, v)
@@ -24,7 +36,7 @@ def land_new_files(
         .outputMode("append").trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return sum(int(p["numInputRows"]) for p in q.recentProgress)
+    return _landed(spark, target) - before
 
 
 def land_and_aggregate(
