@@ -2,7 +2,8 @@
 
 Known words are scored by their log frequency in each language. An unseen word is scored by its 4-character pieces
 (with its ends marked), or 3, 2, 1 characters where no longer piece is known. Frequencies are counted over all training
-rows; the model keeps the (token, language) pairs from the frequency on at which no more than `Params` allows remain.
+rows and every (token, language) pair stays in the model, a table. Tasks hold the scores of the most frequent words alone;
+the other words of a document meet the table in a join, so that what is held does not change a result.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -29,8 +31,7 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Params:
-    word_pairs: int = 100_000  # (word, language) pairs that the model keeps at most, the most frequent; all of equal frequency stay or go
-    piece_pairs: int = 50_000  # the same for the pieces of each length
+    head: int = 100_000  # words whose scores every task holds at most, the most frequent; the others are joined
     longest: int = 4
     smoothing: float = 0.5
 
@@ -70,100 +71,117 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "lang", p: Par
     pieces = marked.select("length", "lang", "n", "m", at.alias("i")).groupBy("length", "lang", F.substring("m", F.col("i"), F.col("length")).alias("token")).agg(F.sum("n").alias("n"))
     pairs = words.select(F.lit(0).alias("length"), "lang", F.col("word").alias("token"), "n").unionByName(cut_lineage(pieces))
     totals = pairs.groupBy("length", "lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
-    # Frequencies with 10 leading bits: at most some 28,000 levels a length, whatever the corpus.
+    return pairs.join(F.broadcast(cut_lineage(totals)), ["length", "lang"]).select("length", "token", "lang", "n", "total", "types")  # one row a length and language
+
+
+#: Scores are whole multiples of 1 / SCALE: their sums do not depend on the order, so equal scores stay equal.
+SCALE = 1 << 30
+
+
+def _scores(model: DataFrame, langs: list[str], floors: dict[int, float], p: Params) -> DataFrame:
+    """length, token, n (over all languages), scores (language number, log frequency above the floor of the length)."""
+    floor = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in floors.items()))[F.col("length")]
+    log = F.log((F.col("n") + p.smoothing) / (F.col("total") + F.col("types") * p.smoothing))
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
+    scored = model.select("length", "token", "n", F.struct(number.alias("k"), F.round((log - floor) * SCALE).cast("long").alias("v")).alias("s"))
+    return scored.groupBy("length", "token").agg(F.sum("n").alias("n"), F.collect_list("s").alias("scores"))  # one entry a language
+
+
+def _head(words: DataFrame, n_langs: int, most: int) -> tuple[dict[str, int], np.ndarray]:
+    """The most frequent words, at most `most` (all of equal frequency or none), and their scores."""
+    # Frequencies with 10 leading bits: at most some 28,000 levels, whatever the corpus.
     level = F.expr("shiftleft(shiftright(n, int(greatest(0, floor(log2(n)) - 9))), int(greatest(0, floor(log2(n)) - 9)))")
-    levels = pairs.groupBy("length", level.alias("level")).agg(F.count(F.lit(1)).alias("k"))
-    above = levels.withColumn("above", F.sum("k").over(Window.partitionBy("length").orderBy(F.desc("level"))))
-    least = above.where(F.col("above") <= F.when(F.col("length") == 0, p.word_pairs).otherwise(p.piece_pairs)).groupBy("length").agg(F.min("level").alias("least"))
-    kept = pairs.join(F.broadcast(least), "length").where("n >= least")  # one row a length
-    return kept.join(totals, ["length", "lang"]).select("length", "token", "lang", "n", "total", "types")
-
-
-class Model:
-    """Log frequencies by token, one row of a matrix for each; its size is bounded by the table's."""
-
-    def __init__(self, rows: list, p: Params = Params()):
-        self.langs = sorted({r["lang"] for r in rows})
-        at = {x: i for i, x in enumerate(self.langs)}
-        self.longest = p.longest
-        self.tables: list[dict[str, int]] = []
-        parts: list[np.ndarray] = []
-        known = 0
-        for k in range(p.longest + 1):
-            mine = [r for r in rows if r["length"] == k]
-            # One floor for all, or a language with few training words would profit from it.
-            floor = min((math.log(p.smoothing / (r["total"] + p.smoothing * r["types"])) for r in mine), default=0)
-            number: dict[str, int] = {}
-            where = [number.setdefault(r["token"], len(number)) for r in mine]
-            part = np.full((len(number), len(self.langs)), floor, np.float32)
-            for i, r in zip(where, mine):
-                part[i, at[r["lang"]]] = math.log((r["n"] + p.smoothing) / (r["total"] + p.smoothing * r["types"]))
-            self.tables.append({t: known + i for t, i in number.items()})
-            parts.append(part)
-            known += len(number)
-        # The last row stands for words without any known piece.
-        self.logs = np.concatenate([*parts, np.zeros((1, len(self.langs)), np.float32)])
-        self._start()
-
-    def _start(self) -> None:
-        self.number: dict[str, int] = {}
-        self.matrix = np.empty((1024, len(self.langs)), np.float32)
-
-    def rows_of(self, word: str) -> list[int]:
-        """Rows of the word, or of the longest pieces of it that are known."""
-        i = self.tables[0].get(word)
-        if i is not None:
-            return [i]
-        for k in range(self.longest, 0, -1):
-            m = f"<{word}>" if k > 1 else word
-            get = self.tables[k].get
-            got = [x for x in [get(m[i : i + k]) for i in range(max(1, len(m) - k + 1))] if x is not None]
-            if got:
-                return got
-        return [len(self.logs) - 1]
-
-    def _learn(self, words: list[str]) -> None:
-        """Adds words to the memo: each gets the mean of its rows."""
-        rows = [self.rows_of(w) for w in words]
-        counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        sums = np.add.reduceat(self.logs[list(chain.from_iterable(rows))], np.cumsum(counts) - counts, axis=0)
-        k = len(self.number)
-        while k + len(words) > len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.empty_like(self.matrix)])
-        self.matrix[k : k + len(words)] = sums / counts[:, None]
-        self.number.update(zip(words, range(k, k + len(words))))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
-        if len(self.number) > MEMO_ENTRIES:
-            self._start()
-        number = self.number
-        at = list(map(number.get, words))
-        if None in at:
-            self._learn(list(dict.fromkeys(w for w, i in zip(words, at) if i is None)))
-            at = [number[w] for w in words]
-        total = self.matrix[at].sum(axis=0, dtype=np.float64)
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+    least, taken = None, 0
+    for x, k in sorted(map(tuple, words.groupBy(level).count().collect()), reverse=True):
+        if taken + k > most:
+            break
+        least, taken = x, taken + k
+    if least is None:
+        return {}, np.zeros((0, n_langs), np.int64)
+    t = words.where(F.col("n") >= least).select("token", F.explode("scores").alias("s")).select("token", "s.k", "s.v").toArrow()
+    number: dict[str, int] = {}
+    at = [number.setdefault(x, len(number)) for x in t.column(0).to_pylist()]
+    scores = np.zeros((len(number), n_langs), np.int64)
+    scores[at, t.column(1).to_numpy()] = t.column(2).to_numpy()
+    return number, scores
+
+
+def _unseen_scores(words: DataFrame, tokens: DataFrame, p: Params) -> DataFrame:
+    """word, scores of the words with a known piece: the mean over the known ones among its pieces, longest length first."""
+    out = []
+    for k in range(p.longest, 0, -1):
+        m = words.select("word", (F.concat(F.lit("<"), "word", F.lit(">")) if k > 1 else F.col("word")).alias("m"))
+        at = m.select("word", "m", F.explode(F.sequence(F.lit(1), F.greatest(F.length("m") - (k - 1), F.lit(1)))).alias("i"))
+        known = at.select("word", F.substring("m", F.col("i"), F.lit(k)).alias("token")).join(tokens.where(F.col("length") == k), "token")
+        # Number -1 counts the known pieces.
+        each = known.select("word", F.explode(F.concat("scores", F.array(F.struct(F.lit(-1).alias("k"), F.lit(1).cast("long").alias("v"))))).alias("s"))
+        sums = each.groupBy("word", "s.k").agg(F.sum("s.v").alias("v")).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("s"))
+        mean = F.transform(F.slice("s", 2, F.size("s") - 1), lambda x: F.struct(x["k"].alias("k"), F.round(x["v"] / F.col("s")[0]["v"]).cast("long").alias("v")))
+        out.append(cut_lineage(sums.select("word", mean.alias("scores"))))
+        if k > 1:
+            words = cut_lineage(words.join(out[-1], "word", "left_anti"))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
     """doc_id, lang_pred, score (posterior under equal priors): one row per input row, from the text alone.
 
     `und` with score 0 where the text is null or has no letter, or where the model is empty. Ties go to the language
-    that sorts first. The model has at most word_pairs + longest * piece_pairs rows, so it is broadcast.
+    that sorts first. Each row is scored by the words that tasks hold; its other words are joined with the table once each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Model([r.asDict() for r in model.collect()], p))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    stats = model.select("length", "lang", "total", "types").distinct().collect()
+    langs = sorted({r["lang"] for r in stats})
+    if not langs:
+        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    # One floor for all, or a language with few training words would profit from it.
+    floors: dict[int, float] = {}
+    for r in stats:
+        floors[r["length"]] = min(floors.get(r["length"], 0.0), math.log(p.smoothing / (r["total"] + p.smoothing * r["types"])))
+    tokens = cut_lineage(_scores(model, langs, floors, p))
+    words = tokens.where("length = 0")
+    shared = docs.sparkSession.sparkContext.broadcast(_head(words, len(langs), p.head))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, scores = shared.value
         for b in batches:
-            got = [m.predict(x.as_py()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+            n_words, sums, ends, rest, times = [], np.zeros((b.num_rows, len(langs)), np.int64), [0], [], []
+            for i, x in enumerate(b.column(1)):
+                found = words_of(x.as_py())
+                at = list(map(number.get, found))
+                sums[i] = scores[[k for k in at if k is not None]].sum(axis=0)
+                others = Counter(w for w, k in zip(found, at) if k is None)
+                n_words.append(len(found))
+                rest += others.keys()
+                times += others.values()
+                ends.append(len(rest))
+            ends = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(langs), pa.int32()), pa.array(sums.ravel())),
+                 pa.ListArray.from_arrays(ends, pa.array(rest, pa.string())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))],
+                ["doc_id", "n_words", "sums", "rest", "times"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = b.column(2).flatten().to_numpy().reshape(b.num_rows, len(langs)).copy()
+            for i, added in enumerate(b.column(3).to_pylist()):
+                for x in added or ():
+                    total[i, x["k"]] += x["v"]
+            best = total.argmax(axis=1)
+            score = 1 / np.exp((total - total.max(axis=1, keepdims=True)) / SCALE).sum(axis=1)
+            none = b.column(1).to_numpy() == 0
+            names = [UNKNOWN if u else langs[i] for u, i in zip(none, best)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.where(none, 0.0, score))], ["doc_id", "lang_pred", "score"])
+
+    parts = rows.mapInArrow(split, "doc_id long, n_words long, sums array<long>, rest array<string>, times array<long>")
+    parts = cut_lineage(parts.withColumn("row", F.monotonically_increasing_id()))  # written once, so the numbers stay
+    rest = parts.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
+    known = words.select(F.col("token").alias("word"), "scores")
+    unseen = cut_lineage(rest.select("word").distinct().join(known, "word", "left_anti"))
+    met = rest.join(known.unionByName(_unseen_scores(unseen, tokens, p)), "word").select("row", "times", F.explode("scores").alias("s"))
+    added = met.groupBy("row", "s.k").agg(F.sum(F.col("s.v") * F.col("times")).alias("v")).groupBy("row").agg(F.collect_list(F.struct("k", "v")).alias("added"))
+    whole = parts.join(added, "row", "left").select("doc_id", "n_words", "sums", "added")
+    return whole.mapInArrow(decide, "doc_id long, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -231,3 +231,55 @@ def test_pipeline_stages(spark, empty):
         if name == "near_duplicates":
             assert {r.doc_id for r in d.collect()} == {0, 1, 2, 3}
     assert d.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def backoff_scores(rows, texts, p=language.Params()):
+    """Languages and, per text, the posterior of each by a plain reading of the rules."""
+    counts = {}
+    for text, lang in rows:
+        for w in language.words_of(text):
+            for k in range(p.longest + 1):
+                m = f"<{w}>" if k > 1 else w
+                for t in [w] if k == 0 else [m[i : i + k] for i in range(max(1, len(m) - k + 1))]:
+                    of = counts.setdefault(k, {}).setdefault(lang, {})
+                    of[t] = of.get(t, 0) + 1
+    langs = sorted(counts[0])
+    log = lambda k, x, n: np.log((n + p.smoothing) / (sum(counts[k][x].values()) + p.smoothing * len(counts[k][x])))
+    floor = {k: min(log(k, x, 0) for x in langs) for k in counts}
+    row = lambda k, t: np.array([log(k, x, counts[k][x][t]) if t in counts[k][x] else floor[k] for x in langs])
+    out = []
+    for text in texts:
+        total = np.zeros(len(langs))
+        for w in language.words_of(text):
+            for k in (0, *range(p.longest, 0, -1)):
+                m = f"<{w}>" if k > 1 else w
+                got = [t for t in ([w] if k == 0 else [m[i : i + k] for i in range(max(1, len(m) - k + 1))]) if any(t in counts[k][x] for x in langs)]
+                if got:
+                    total += np.mean([row(k, t) for t in got], axis=0)
+                    break
+        e = np.exp(total - total.max())
+        out.append(e / e.sum())
+    return langs, out
+
+
+@pytest.mark.parametrize("head", [0, 3, 100_000])
+def test_language_scores_match_brute_force(spark, head):
+    train = [("the old house by the river is old", "en"), ("la maison est près de la rivière", "fr"), ("das alte Haus am Fluß ist alt", "de"), ("漢字 kana", "ja"), ("the la das", "fr"), (None, "en"), ("zzz", None)]
+    texts = ["the river", "rivers housing maisonette", "qqq 漢語 old", "éé", "Ж", "", None, "the the la rivière rivière unhaus", "Flußhaus a b", "the river"]
+    m = language.fit(spark.createDataFrame(train, "text string, lang string"))
+    d = spark.createDataFrame([(i % 9, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    langs, scores = backoff_scores([r for r in train if r[1]], texts)
+    want = sorted((i % 9, "und" if not language.words_of(t) else langs[int(s.argmax())], 0.0 if not language.words_of(t) else float(s.max())) for i, (t, s) in enumerate(zip(texts, scores)))
+    got = sorted(map(tuple, language.predict(d, m, p=language.Params(head=head)).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-6)
+
+
+def test_a_rare_language_keeps_all_its_words(spark):
+    letters = "abcdefghij"
+    word = lambda i, a: a + "".join(letters[int(c)] for c in f"{i:05d}")
+    common = [(i, " ".join(word(60 * (i // 2) + j, "xk"[i % 2]) for j in range(120)), ("en", "fr")[i % 2], "a", 1) for i in range(1998)]  # 120,000 pairs, each seen twice
+    rare = [(5000 + i, " ".join(word(900 * i + j, "q") for j in range(30)), "es", "a", 1) for i in range(2)]
+    m = language.fit(spark.createDataFrame(common + rare, DOCS))
+    assert m.where("lang = 'es' and length = 0").count() == 60 and m.where("length = 0").count() > 100_000
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(spark.createDataFrame(rare, DOCS), m).collect()}
+    assert all(got[r[0]][0] == "es" and got[r[0]][1] > 0.999 for r in rare)
