@@ -400,10 +400,10 @@ def _(spark, sf):
 
     e = table(spark, sf, "embeddings").select("vec_id", "label", array_to_vector(F.transform("embedding", lambda x: F.signum(x) * F.log1p(F.abs(x))).cast("array<double>")).alias("raw"))
     z = StandardScaler(inputCol="raw", outputCol="z", withMean=True).fit(e).transform(e)
-    z = PCA(k=2, inputCol="z", outputCol="pc").fit(z).transform(z)
+    z = cut_lineage(PCA(k=2, inputCol="z", outputCol="pc").fit(z).transform(z))
     rows = []
-    for k in (3, 6, 10):
-        c = KMeans(k=k, seed=0, featuresCol="z", predictionCol="cluster", maxIter=10).fit(z).transform(z)
+    for k in range(3, 13):
+        c = KMeans(k=k, seed=0, featuresCol="z", predictionCol="cluster").fit(z).transform(z)
         sil = ClusteringEvaluator(featuresCol="z", predictionCol="cluster").evaluate(c)
         rows.append(adjusted_rand(c, "cluster", "label").select(F.lit(k).alias("k"), F.lit(round(sil, 6)).alias("silhouette"), "n", *r6("ari")))
     return reduce(lambda a, b: a.unionByName(b), rows)
