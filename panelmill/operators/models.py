@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import OUT_OF_SCOPE, direction
-from ..session import cut_lineage
+from ..session import checkpoint_folder, cut_lineage
 from .cleaning import apply_scope, clip_to_train
 
-# Learner settings in use (trees, learning rate, row and column share, seed).
-BOOST = {"trees": 600, "rate": 0.05, "rows": 0.8, "columns": 0.8, "seed": 42}
+# Learner settings in use (trees, learning rate, row and column share, depth, rows of a leaf, seed). A depth
+# of 6 stands for 63 leaves; forests grow until their leaves are small, at most as deep as MLlib goes.
+BOOST = {"trees": 600, "rate": 0.05, "rows": 0.8, "columns": 0.8, "depth": 6, "leaf": 20, "seed": 42}
+FOREST = {"trees": 100, "rows": 0.8, "columns": 0.5, "depth": 30, "leaf": 50}
+SEEDS = (42, 43, 44)
 
 
 def model_rows(df: DataFrame, num: list[str], cats: list[str]) -> DataFrame:
@@ -54,11 +57,12 @@ def _stages(num, cats, linear=False):
 def learner(kind: str, y: str, pred: str, **kw):
     common = dict(featuresCol="_features", labelCol=y, predictionCol=pred)
     seed = kw.pop("seed", BOOST["seed"])
-    if kind == "boosted":
-        return GBTRegressor(**common, maxIter=kw.pop("trees", 20), stepSize=kw.pop("rate", 0.1), maxDepth=kw.pop("depth", 5),
-                            subsamplingRate=kw.pop("rows", BOOST["rows"]), lossType=kw.pop("loss", "squared"), maxBins=kw.pop("bins", 64), seed=seed)
-    if kind == "forest":
-        return RandomForestRegressor(**common, numTrees=kw.pop("trees", 20), maxDepth=kw.pop("depth", 8), subsamplingRate=kw.pop("rows", 0.8), maxBins=kw.pop("bins", 64), seed=seed)
+    if kind in ("boosted", "forest"):
+        of = (BOOST if kind == "boosted" else FOREST) | kw
+        trees = dict(maxDepth=of["depth"], minInstancesPerNode=of["leaf"], subsamplingRate=of["rows"], featureSubsetStrategy=str(of["columns"]), maxBins=of.get("bins", 64), seed=seed)
+        if kind == "boosted":
+            return GBTRegressor(**common, maxIter=of["trees"], stepSize=of["rate"], lossType=of.get("loss", "squared"), **trees)
+        return RandomForestRegressor(**common, numTrees=of["trees"], **trees)
     if kind == "ridge":
         return LinearRegression(**common, regParam=kw.pop("reg", 0.1), elasticNetParam=0.0, solver="normal", **kw)
     if kind == "huber":
@@ -69,6 +73,8 @@ def learner(kind: str, y: str, pred: str, **kw):
 def fit(df: DataFrame, kind: str, num: list[str], cats: list[str], y: str, pred: str = "pred", weight: str | None = None, **kw) -> PipelineModel:
     """One fitted pipeline (indexers, assembler, learner) on rows with a target."""
     est = learner(kind, y, pred, **kw)
+    if kind == "boosted":
+        cut_iterations(df)
     if weight:
         est = est.setWeightCol(weight)
     rows, linear = df.where(F.col(y).isNotNull()), kind in ("ridge", "huber")
@@ -78,6 +84,13 @@ def fit(df: DataFrame, kind: str, num: list[str], cats: list[str], y: str, pred:
     return Pipeline(stages=[*_stages(num, cats, linear), est]).fit(rows)
 
 
+def cut_iterations(df: DataFrame) -> None:
+    """Names a folder where boosting writes its residuals every ten trees, or their lineage grows by each tree."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
+
+
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     out = model.transform(df)
     return out.drop(*[c for c in out.columns if c.startswith(("_i_", "_h_", "_m_")) or c in ("_features", "_num", "_scaled")])
@@ -95,13 +108,13 @@ def _fit_and_score(x: DataFrame, kind: str, num, cats, y: str, train: Column, te
 
 
 def spline_columns(df: DataFrame, cols: list[str], train: Column, knots: int = 5) -> tuple[DataFrame, list[str]]:
-    """Uniform cubic B-spline basis of each column between its training minimum and maximum."""
-    stats = df.where(train).agg(*[fn(c).alias(f"_{t}_{c}") for c in cols for t, fn in (("lo", F.min), ("hi", F.max))])
+    """Uniform cubic B-spline basis of each column between its training minimum and maximum; missing counts as the training mean."""
+    stats = df.where(train).agg(*[fn(c).alias(f"_{t}_{c}") for c in cols for t, fn in (("lo", F.min), ("hi", F.max), ("mid", F.avg))])
     out, names = df.crossJoin(F.broadcast(stats)), []  # exactly one row
     for c in cols:
         lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
         h = F.when(hi > lo, (hi - lo) / (knots - 1)).otherwise(1.0)
-        x = F.greatest(lo, F.least(hi, F.coalesce(F.col(c), lo)))
+        x = F.greatest(lo, F.least(hi, F.coalesce(F.col(c), F.col(f"_mid_{c}"))))
         for i in range(knots + 2):
             t = (x - lo) / h - (i - 3)
             b = (
@@ -112,21 +125,24 @@ def spline_columns(df: DataFrame, cols: list[str], train: Column, knots: int = 5
             )
             out = out.withColumn(f"{c}_b{i}", b)
             names.append(f"{c}_b{i}")
-    return out.drop(*[f"_{t}_{c}" for c in cols for t in ("lo", "hi")]), names
+    return out.drop(*[f"_{t}_{c}" for c in cols for t in ("lo", "hi", "mid")]), names
 
 
-def classify(df: DataFrame, num, cats, y: str, train: Column, test: Column, band: float = 0.02, trees: int = 20, depth: int = 6, seed: int = 42) -> DataFrame:
+def classify(df: DataFrame, num, cats, y: str, train: Column, test: Column, band: float = 0.02, seed: int = BOOST["seed"]) -> DataFrame:
     """Three-way forest, binary boosted (y > 0) and ordinal (two binary boosted) direction forecasts on the test rows."""
     x = cut_lineage(model_rows(df.where(F.col(y).isNotNull()), num, cats)).withColumns({
         "_cls": (direction(y, band) + 1).cast("double"), "_up": (F.col(y) > 0).cast("double"),
         "_gt": (F.col(y) > band).cast("double"), "_ge": (F.col(y) >= -band).cast("double"),
     })
+    cut_iterations(df)
     tr, te = x.where(train), x.where(test)
     out = te
-    rf = RandomForestClassifier(featuresCol="_features", labelCol="_cls", predictionCol="_p3", probabilityCol="_pp", rawPredictionCol="_pr", numTrees=trees, maxDepth=depth, maxBins=64, seed=seed)
+    rf = RandomForestClassifier(featuresCol="_features", labelCol="_cls", predictionCol="_p3", probabilityCol="_pp", rawPredictionCol="_pr", numTrees=FOREST["trees"], maxDepth=FOREST["depth"], minInstancesPerNode=FOREST["leaf"],
+                                subsamplingRate=FOREST["rows"], featureSubsetStrategy=str(FOREST["columns"]), maxBins=64, seed=seed)
     out = score(Pipeline(stages=[*_stages(num, cats), rf]).fit(tr), out).withColumn("three_way", (F.col("_p3") - 1).cast("int")).drop("_p3", "_pp", "_pr")
     for lab in ("_up", "_gt", "_ge"):
-        g = GBTClassifier(featuresCol="_features", labelCol=lab, predictionCol=f"p{lab}", maxIter=trees, maxDepth=4, stepSize=0.1, maxBins=64, seed=seed)
+        g = GBTClassifier(featuresCol="_features", labelCol=lab, predictionCol=f"p{lab}", maxIter=BOOST["trees"], maxDepth=BOOST["depth"], minInstancesPerNode=BOOST["leaf"], stepSize=BOOST["rate"],
+                          subsamplingRate=BOOST["rows"], featureSubsetStrategy=str(BOOST["columns"]), maxBins=64, seed=seed)
         g = g.setProbabilityCol(f"q{lab}").setRawPredictionCol(f"r{lab}")
         out = score(Pipeline(stages=[*_stages(num, cats), g]).fit(tr), out).drop(f"q{lab}", f"r{lab}")
     ordinal = (F.col("p_gt") + F.col("p_ge") - 1).cast("int")
@@ -194,7 +210,7 @@ def verdict(delta, sigma) -> Column:
     return F.when(F.abs(d) < s, "noise").when(d < 0, "better").otherwise("worse")
 
 
-def ablation(df: DataFrame, kind: str, num, cats, y: str, train: Column, valid: Column, drops: dict[str, list[str]], seeds=(42, 43, 44), **kw) -> DataFrame:
+def ablation(df: DataFrame, kind: str, num, cats, y: str, train: Column, valid: Column, drops: dict[str, list[str]], seeds=SEEDS, **kw) -> DataFrame:
     """RMSE change when a feature group is left out, against twice the seed-to-seed spread of the full model."""
     from .evaluate import metrics
 

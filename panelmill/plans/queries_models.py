@@ -23,6 +23,7 @@ VALID = ("2000-01-01", "2000-12-31")
 TEST = "2001-01-01"
 NUM = ["r7", "r28", "r91", "yoy", "vol28", "dev_last", "ly_change", "n_obs28", "woy"]
 CATS = ["item", "channel"]
+KEEP = (0.5,)  # shares of the ranked features that the subset query keeps; the whole list is its "all"
 TR_SQL, VA_SQL, TE_SQL = [f"date BETWEEN DATE '{a}' AND DATE '{b}'" for a, b in (TRAIN, VALID, (TEST, "2099-12-31"))]
 
 
@@ -296,12 +297,12 @@ def _scored(spark, sf, kind, **kw):
 
 @query("m01_boosted_regressor")
 def _(spark, sf):
-    return _scored(spark, sf, "boosted", trees=10)
+    return _scored(spark, sf, "boosted")
 
 
 @query("m02_forest_regressor")
 def _(spark, sf):
-    return _scored(spark, sf, "forest", trees=10, depth=6)
+    return _scored(spark, sf, "forest")
 
 
 @query("m03_ridge_regressor")
@@ -311,14 +312,14 @@ def _(spark, sf):
 
 @query("m04_spline_ridge")
 def _(spark, sf):
-    x, names = ML.spline_columns(frame(spark, sf).fillna(0.0, subset=["r28", "dev_last", "yoy"]), ["r28", "dev_last", "yoy"], train_rows())
+    x, names = ML.spline_columns(frame(spark, sf), NUM, train_rows())
     y = ML.train_and_score(x, "ridge", names, CATS, "y", train_rows(), test_rows(), reg=0.01)
     return y.select(*SERIES, "date", "y", F.round("pred", 6).alias("pred"))
 
 
 @query("m05_direction_classifiers")
 def _(spark, sf):
-    x = ML.classify(frame(spark, sf), NUM, CATS, "y", train_rows(), test_rows(), trees=5)
+    x = ML.classify(frame(spark, sf), NUM, CATS, "y", train_rows(), test_rows())
     t = lambda a, b: F.avg((F.col(a) == F.col(b)).cast("double"))
     return x.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), t("three_way", "label").alias("three_way_right"), t("ordinal", "label").alias("ordinal_right"), F.avg((F.col("up") == (F.col("y") > 0).cast("int")).cast("double")).alias("binary_right"))
 
@@ -326,7 +327,7 @@ def _(spark, sf):
 @query("m06_robust_losses")
 def _(spark, sf):
     x = cut_lineage(frame(spark, sf))
-    a, b = [ML.train_and_score(x, k, NUM, CATS, "y", train_rows(), test_rows(), **kw) for k, kw in (("boosted", {"trees": 5, "loss": "absolute"}), ("huber", {}))]
+    a, b = [ML.train_and_score(x, k, NUM, CATS, "y", train_rows(), test_rows(), **kw) for k, kw in (("boosted", {"loss": "absolute"}), ("huber", {}))]
     a = a.select(*SERIES, "date", "y", F.round("pred", 6).alias("absolute"))
     return a.join(b.select(*SERIES, "date", F.round("pred", 6).alias("huber")), [*SERIES, "date"])
 
@@ -373,7 +374,7 @@ def _(spark, sf):
 @query("m10_importance")
 def _(spark, sf):
     x = cut_lineage(ML.model_rows(frame(spark, sf).where(train_rows()), NUM, CATS))
-    return ML.importances(ML.fit(x, "forest", NUM, CATS, "y", trees=5, depth=5), NUM, CATS, spark)
+    return ML.importances(ML.fit(x, "forest", NUM, CATS, "y"), NUM, CATS, spark)
 
 
 @query("m10_permutation_importance")
@@ -405,12 +406,14 @@ def _(spark, sf):
 
 @query("m11_ablation")
 def _(spark, sf):
-    return ML.ablation(frame(spark, sf), "boosted", NUM, CATS, "y", train_rows(), valid_rows(), {"without_yoy": ["yoy", "ly_change"]}, trees=3, depth=4)
+    return ML.ablation(frame(spark, sf), "boosted", NUM, CATS, "y", train_rows(), valid_rows(), {"without_yoy": ["yoy", "ly_change"]})
 
 
 @query("m12_parameter_search")
 def _(spark, sf):
-    return ML.search(frame(spark, sf), "forest", NUM, CATS, "y", train_rows(), valid_rows(), ML.grid(trees=[3], depth=[3, 6]))
+    n, rate = ML.BOOST["trees"], ML.BOOST["rate"]
+    options = [{**o, **r} for o in ML.grid(depth=[5, 6, 7], leaf=[20, 100]) for r in ({"trees": n, "rate": rate}, {"trees": 2 * n, "rate": rate / 2})]
+    return ML.search(frame(spark, sf), "boosted", NUM, CATS, "y", train_rows(), valid_rows(), options)
 
 
 @query("m26_saved_model_rescored")
@@ -431,15 +434,20 @@ def _(spark, sf):
 
 @query("m27_feature_subset")
 def _(spark, sf):
+    from functools import reduce
+
     x = cut_lineage(frame(spark, sf))
-    small = ["r28", "dev_last"]
-    a = E.metrics(ML.train_and_score(x, "ridge", NUM, CATS, "y", train_rows(), test_rows()), "y", "pred").withColumn("features", F.lit("all"))
-    b = E.metrics(ML.train_and_score(x, "ridge", small, CATS, "y", train_rows(), test_rows()), "y", "pred").withColumn("features", F.lit("price_only"))
-    return a.unionByName(b).select("features", "n", *r6(*MC))
+    ranked = ML.importances(ML.fit(ML.model_rows(x.where(train_rows()), NUM, CATS), "boosted", NUM, CATS, "y"), NUM, CATS, spark)
+    rank = [r["column"] for r in ranked.where(F.col("column").isin(NUM)).orderBy(F.desc("importance"), "column").collect()]  # one row a feature
+    lists = {"all": NUM, "price_only": ["r28", "dev_last"]} | {f"top_{round(k * 100)}_pct": rank[: max(1, round(len(rank) * k))] for k in KEEP}
+    parts = [E.metrics(ML.train_and_score(x, "ridge", cols, CATS, "y", train_rows(), test_rows()), "y", "pred").withColumn("features", F.lit(name)) for name, cols in lists.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts).select("features", "n", *r6(*MC))
 
 
 @query("m28_seed_stability")
 def _(spark, sf):
+    from functools import reduce
+
     x = cut_lineage(frame(spark, sf))
-    parts = [ML.train_and_score(x, "boosted", NUM, CATS, "y", train_rows(), test_rows(), pred=f"p{s}", seed=s, trees=3).select(*SERIES, "date", f"p{s}") for s in (42, 43)]
-    return E.seed_agreement(parts[0].join(parts[1], [*SERIES, "date"]), {"42": "p42", "43": "p43"})
+    parts = [ML.train_and_score(x, "boosted", NUM, CATS, "y", train_rows(), test_rows(), pred=f"p{s}", seed=s).select(*SERIES, "date", f"p{s}") for s in ML.SEEDS]
+    return E.seed_agreement(reduce(lambda a, b: a.join(b, [*SERIES, "date"]), parts), {str(s): f"p{s}" for s in ML.SEEDS})
