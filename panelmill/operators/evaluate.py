@@ -190,22 +190,23 @@ def blend_weights(df: DataFrame, y: str, models: list[str]) -> list[float]:
     return nnls_weights(gram, [float(r[f"b{i}"] or 0.0) for i in k])
 
 
-SHUFFLE_ROWS = 1_000_000
-
-
 def permute_column(df: DataFrame, keys: list[str], col: str, seed: int = 0) -> DataFrame:
-    """The column's values shuffled over the rows.
+    """The column's values shuffled over all rows.
 
-    Rows fall into hash buckets of about a million rows (the count is taken first). Inside a bucket rows and values
-    are numbered in two different hash orders and meet on (bucket, number), so no task sorts the whole table.
+    Rows and values are numbered in two different hash orders and meet on the number. A number is the count of the hash
+    cells before (65,536 cells whatever the size) and the place inside the cell, so no task sorts the whole table.
     """
-    buckets = max(1, df.count() // SHUFFLE_ROWS)
-    h = lambda s: F.xxhash64(F.lit(seed + s), *[F.col(k) for k in keys])
-    rows = df.withColumn("_b", F.pmod(h(0), F.lit(buckets)))
-    number = lambda s: F.row_number().over(Window.partitionBy("_b").orderBy(h(s), *keys))
-    a = rows.withColumn("_i", number(1)).drop(col)
-    b = rows.select("_b", number(2).alias("_i"), F.col(col))
-    return a.join(b, ["_b", "_i"]).drop("_b", "_i")
+
+    def numbered(s: int, *cols) -> DataFrame:
+        rows = df.select(*cols, *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.xxhash64(F.lit(seed + s), *keys).alias("_h")).withColumn("_c", F.shiftright("_h", 48))
+        cells = rows.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+        place = F.row_number().over(Window.partitionBy("_c").orderBy("_h", *[f"_k{i}" for i in range(len(keys))]))
+        out = rows.join(cells.select("_c", before.alias("_before")), "_c").withColumn("_i", F.col("_before") + place)
+        return out.drop("_c", "_h", "_before", *[f"_k{i}" for i in range(len(keys))])
+
+    a = numbered(1, *[F.col(c) for c in df.columns if c != col])
+    return a.join(numbered(2, F.col(col)), "_i").drop("_i")
 
 
 def seed_agreement(df: DataFrame, seeds: dict[str, str], band: float = 0.02) -> DataFrame:

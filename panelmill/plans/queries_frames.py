@@ -225,7 +225,7 @@ def _(spark, sf):
     ds = cut_lineage(DS.base_rows(DS.daily_series(p), p.select("ctgry_cd", "item_cd").distinct().withColumn("food_group", F.lit("f"))).withColumns({"domain": F.lit("livestock"), "pig_auction_price_kg": F.col("price_kg"), "days_to_seollal": F.lit(1), "days_to_chuseok": F.lit(1)}))
     feats = FR.features_table(ds, ["price_kg", "pig_auction_price_kg"])
     ev = ds.select("date", "item_nm", F.lit(0).alias("disease_item_cases_28d")).where("1 = 0")
-    x = FR.combined_frame(reg, FR.national_history(ds, ["pig_auction_price_kg"]), feats, ds, ev, "livestock", train_rows(), F.lit(True))
+    x = FR.combined_frame(reg, FR.national_history(ds, ["pig_auction_price_kg"]), feats, ds, ev, "livestock", train_rows(), F.lit(True), composites=[])  # the tables have no fuel, import or feed prices
     return x.select(F.col("item_nm").alias("channel"), F.col("sgg_nm").alias("region"), "date", "is_nat", *r6("y", "premium", "nat_r28", "grp_r28"))
 
 
