@@ -140,6 +140,8 @@ class Slice:
 
     def narrow(self, at: np.ndarray, shared: np.ndarray, length: int) -> None:
         """Only windows with a shared hash of this level stay candidates."""
+        if not self.n_windows:
+            return
         seen = np.zeros(len(self.words) - length + 2, np.int64)
         seen[at[shared] + 1] = 1
         seen = np.cumsum(seen)
@@ -278,9 +280,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with an id holds, and takes nothing from others. Rows that repeat an id don't cover each other. Other columns of
     the input, whatever their names, play no part. An empty table gives no rows. Long texts are taken whole.
     """
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     start = cut_lineage(d.mapInArrow(_prepare(p), "slice long, row int, doc_id long, n_words long, sha256 string, text string"))
-    now = start.where(F.col("n_words") >= p.window).select("slice", "row", "doc_id", "n_words", "text")
+    now = start.where(F.col("n_words") >= p.window).select("slice", "row", F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "n_words", "text")
     lengths = levels(p)
     for length in lengths:
         first, last = length == lengths[0], length == lengths[-1]
@@ -292,7 +294,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         now = got if last else cut_lineage(got)
     out = start.join(now, ["slice", "row"], "left")
     return out.select(
-        F.expr(f"nullif(doc_id, {LAST})").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("spans", F.expr("cast(array() as array<struct<start: long, end: long>>)")).alias("spans"), F.coalesce("kept", "text").alias("kept"),
         F.when(F.col("kept").isNull(), F.col("sha256")).otherwise(F.sha2("kept", 256)).alias("kept_sha256"))
 

@@ -244,6 +244,8 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     words = cut_lineage(words)
     size = start.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     words = cut_lineage(_id_space(words, max(0, (words.count() >> 16).bit_length())))
+    if (words.agg(F.max("id")).first()[0] or 0) >= 1 << 32:
+        raise ValueError("more frequent words than 32-bit ids")
     ids = per_slice.join(words.drop("f"), ["lang", "phrase"]).select(F.col("slice").alias("slice"), "at", F.col("id").cast("long").alias("id"))
     held = start.select("slice", "tokens", F.size("words").alias("n_words"))
     now = cut_lineage(held.groupBy("slice").cogroup(ids.groupBy("slice")).applyInArrow(_number_words, "slice long, state binary"))
