@@ -18,6 +18,14 @@ SLICE_BYTES = 4 << 20
 MEMO_ENTRIES = 400_000
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores put before it until the frame has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def byte_column(array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column without gaps, and the offsets of its rows; null counts as empty."""
     if isinstance(array, pa.ChunkedArray):

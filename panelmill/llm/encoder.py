@@ -19,6 +19,8 @@ MEMO_WORDS = 150_000
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: A word of letters below U+0250 and the commas and full stops after it: always one token group and at most one more.
 _PLAIN = re.compile(r"([^\W\d_]+)([.,]*)")
+#: The same with what a memo key has before the word, letters of the first two Unicode blocks beyond ASCII only.
+_SIMPLE = re.compile("([\r\n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]*)")
 _MISSING = repeat(-1)
 
 
@@ -29,12 +31,6 @@ def _regular(text: str) -> bool:
     return len("".join(words)) == len(text) - gaps and text.count(" ") + text.count("\n") == gaps
 
 
-#: Words a worker remembers; later new words are encoded each time they come.
-MEMO_WORDS = 150_000
-_ODD = re.compile(r"[ \n]\s|\s[ \n]|\r|^[ \n]|[ \n]$")
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-
-
 def alphabet() -> list[str]:
     """The byte-level characters: printable bytes stand for themselves, the others for code points from 256 on, in order."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -45,7 +41,7 @@ def alphabet() -> list[str]:
 class Encoder:
     """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).ids."""
 
-    def __init__(self, path: str, ranks: str | None = None):
+    def __init__(self, path: str, ranks: str | None = None, memo: int = MEMO_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -57,16 +53,16 @@ class Encoder:
         back = {c: i for i, c in enumerate(self.byte)}
         tokens = [bytes(back[c] for c in self.tokenizer.id_to_token(i)) for i in range(n)]
         self.lengths = np.array([len(x) for x in tokens], np.int64)
-        self._encode = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
-        if ranks:
-            self._encode = _by_ranks(ranks, tokens)
+        self._encode = _by_ranks(ranks, tokens) if ranks else None
+        self.model, self.memo = self.tokenizer.model, memo
+        self.shown = {i: c for i, c in enumerate(self.byte) if i != 10}
+        self.marks: dict[str, list[int]] = {"": []}
         self.number: dict[str, int] = {}
         self.ids = np.empty(1 << 20, np.int32)
         self.used = 0
         self.start = np.empty(1 << 17, np.int64)
         self.count = np.empty(1 << 17, np.int64)
 
-
     @staticmethod
     def pieces(text: str) -> list[str]:
         """Memo keys of a text's words: "\\r" + word when nothing stands before it, else the word after its space or its break and word."""
@@ -83,7 +79,10 @@ class Encoder:
         return key[1:] if key[:1] == "\r" else key if key[:1] == "\n" else " " + key
 
     def _learn(self, keys: list[str]) -> None:
-        """Encodes new words: plain ones as one text, which is cut into words again by the tokens' byte lengths."""
+        """Encodes new words: with ranks plain ones as one text, which is cut into words again by the tokens' byte lengths."""
+        if not self._encode:
+            self._learn_by_model(keys)
+            return
         for at in range(0, len(keys), 20_000):
             every, counts, plain, odd = [], [], [], []
             for key in keys[at : at + 20_000]:
@@ -101,6 +100,25 @@ class Encoder:
             if odd:
                 self._put(odd, every, counts)
 
+    def _learn_by_model(self, keys: list[str]) -> None:
+        """Encodes new words: the letters of simple ones straight by the tokenizer's model, all others by its whole chain."""
+        simple = [m.groups() if m else None for m in map(_SIMPLE.fullmatch, keys)]
+        cores = [x[1] if x[0] else " " + x[1] for x in simple if x]
+        cores = "\n".join(cores).encode().decode("latin-1").translate(self.shown).split("\n") if cores else []
+        tokenize, core, every, counts = self.model.tokenize, iter(cores), [], []
+        for key, x in zip(keys, simple):
+            if x:
+                if x[2] not in self.marks:
+                    self.marks[x[2]] = [t.id for t in tokenize(x[2])]
+                ids = [t.id for t in tokenize(next(core))] + self.marks[x[2]]
+                if x[0] == "\n":
+                    ids = [t.id for t in tokenize(self.byte[10])] + ids
+            else:
+                ids = self.tokenizer.encode(self.whole(key), add_special_tokens=False).ids
+            every += ids
+            counts.append(len(ids))
+        self._put(keys, every, counts)
+
     def _put(self, keys: list[str], ids, counts) -> None:
         k, n = len(self.number), len(keys)
         if k + n > len(self.start):
@@ -115,9 +133,9 @@ class Encoder:
 
     def _forget(self) -> None:
         """Past the limit the memo keeps its first words, which hold the frequent ones."""
-        while len(self.number) > MEMO_WORDS:
+        while len(self.number) > self.memo:
             self.number.popitem()
-        self.used = int(self.start[MEMO_WORDS - 1] + self.count[MEMO_WORDS - 1])
+        self.used = int(self.start[self.memo - 1] + self.count[self.memo - 1])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and each text's number of ids. Texts are encoded together; empty ones have no ids."""
@@ -133,15 +151,12 @@ class Encoder:
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(start - (ends - count), count) + np.arange(total)]
-        if len(number) > MEMO_WORDS:
+        if len(number) > self.memo:
             self._forget()
         bounds = np.cumsum([0] + [len(x) for x in lists])
         at_ends = np.concatenate([[0], ends])
         return ids, (at_ends[bounds[1:]] - at_ends[bounds[:-1]]).astype(np.int64)
 
-    def decode(self, ids: list[int]) -> str:
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
-
 
 def _by_ranks(path: str, tokens: list[bytes]):
     """A faster encoder of plain words for the same vocabulary as ranks; refuses ranks that differ from it."""
@@ -155,11 +170,11 @@ def _by_ranks(path: str, tokens: list[bytes]):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-_encoders: dict[tuple[str, str | None], Encoder] = {}
+_encoders: dict[tuple[str, str | None, int], Encoder] = {}
 
 
-def encoder(path: str, ranks: str | None = None) -> Encoder:
+def encoder(path: str, ranks: str | None = None, memo: int = MEMO_WORDS) -> Encoder:
     """The worker's encoder of a vocabulary file, read once. With the vocabulary's rank file new words are faster."""
-    if (path, ranks) not in _encoders:
-        _encoders[path, ranks] = Encoder(path, ranks)
-    return _encoders[path, ranks]
+    if (path, ranks, memo) not in _encoders:
+        _encoders[path, ranks, memo] = Encoder(path, ranks, memo)
+    return _encoders[path, ranks, memo]

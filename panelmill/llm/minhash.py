@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WordHashes, components, mix
+from .common import WordHashes, components, mix, unused
 from .registry import query, table
 
 
@@ -250,9 +250,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The documents that stay: the smallest id of each group, with every column they came with."""
-    stays = near_duplicates(docs, p=p).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stays, docs["doc_id"] == F.col("_id"), "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
+    """The documents that stay: the smallest id of each group, with every column they came with, whatever its name.
+
+    Rows without an id stay. An id is judged as a whole: where rows repeat it, all stay if one of them is kept.
+    """
+    name = unused(docs, "_id")
+    stays = near_duplicates(docs, p=p).where("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stays, docs["doc_id"] == stays[name], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 SQL = r"""

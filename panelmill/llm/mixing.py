@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import unused
 from .registry import query, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,10 +79,11 @@ def thresholds(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", p: Params = Params()) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row per input row.
+    """doc_id, size, source_size, target, taken, source, copies: one row per input row.
 
     Null texts have size 0; a null source is a source of its own, ordered last; null ids share one place. Rows that
     repeat an id share a place, so they are taken together. Sources without words have target 0 and take nothing.
+    An empty table gives no rows; other columns play no part.
     """
     rows = cut_lineage(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
@@ -94,15 +96,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     extra = F.when((here < F.col("edge")) | ((here == F.col("edge")) & F.col("with_edge")), 1).otherwise(0)
     copies = F.coalesce(F.least(F.col("copies") + extra, F.lit(p.most)), F.lit(0)).cast("long")
     return rows.join(plan, rows["source"].eqNullSafe(plan["source"])).select(
-        "doc_id", rows["source"], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), rows["source"], copies.alias("copies")
     )
 
 
 def mixed_documents(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The mix itself: every document as many times as it is taken, with its own columns. Word-free documents go."""
-    m = mix(docs, p=p).where("copies > 0 and size > 0").groupBy("doc_id").agg(F.max("copies").alias("_n"))
-    out = docs.join(m.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).where(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) > 0)
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(docs.columns)
+    """The mix itself: every document as many times as it is taken, with its own columns, whatever their names. Word-free documents go."""
+    key, n, k = (unused(docs, x) for x in ("_id", "_n", "_k"))
+    m = mix(docs, p=p).where("copies > 0 and size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n))
+    out = docs.join(m, docs["doc_id"].eqNullSafe(m[key])).where(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) > 0)
+    return out.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select([f"`{c}`" for c in docs.columns])
 
 
 SQL = rf"""
@@ -120,7 +123,7 @@ h as (select d.*, t.source_size, t.target, floor(target / source_size)::bigint a
         sum(size) over (partition by d.source, place) as n from d join t on d.source is not distinct from t.source),
 c as (select *, case when source_size = 0 then 0 else least(2, copies + case when upto <= left_over and n > 0 then 1 when upto - n <= left_over and upto - left_over < left_over - (upto - n) then 1
         when n = 0 and upto - n <= left_over then 1 else 0 end) end::bigint as k from h)
-select doc_id, source, size, source_size, target, k as copies, k * size as taken from c
+select doc_id, size, source_size, target, k * size as taken, source, k as copies from c
 """
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
 from .registry import query, table
 
 WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
@@ -77,8 +78,8 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(_let(words, of))
 
 
-def measures(docs: DataFrame, text_col: str = "text", p: Params = Params()) -> DataFrame:
-    """The input's columns and one struct column `_q`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+def measures(docs: DataFrame, text_col: str = "text", p: Params = Params(), name: str = "_q") -> DataFrame:
+    """The input's columns and one struct column, `_q` or as named (the input must not have it): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, cleaned (text without failing lines).
 
     A null or word-free text has zero counts and fails. Repeated rows are judged alike; extra columns stay untouched.
@@ -89,27 +90,30 @@ def measures(docs: DataFrame, text_col: str = "text", p: Params = Params()) -> D
     def worded(a: Column) -> Column:
         return F.filter(a, lambda x: x.rlike(WORD))
 
-    step = docs.withColumn("_w", F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).withColumn(
-        "_q",
+    w = unused(docs, "_w")
+    step = docs.withColumn(w, F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).withColumn(
+        name,
         F.struct(
-            F.size("_w").cast("long").alias("n_words"),
+            F.size(w).cast("long").alias("n_words"),
             _word_chars(t).cast("long").alias("word_chars"),
             _only(t, SYMBOLS).cast("long").alias("n_symbols"),
             _let(worded(lines), lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
-            repeated_words(F.col("_w")).cast("long").alias("n_repeat_words"),
+            repeated_words(F.col(w)).cast("long").alias("n_repeat_words"),
             F.array_join(F.filter(lines, lambda x: ~line_fails(x, p)), "\n").alias("cleaned"),
         ),
-    ).drop("_w")
-    q = F.col("_q")
+    ).drop(w)
+    q = F.col(name)
     failed = (q.n_words < p.min_words) | (100 * q.n_repeat_words > p.max_repeat_percent * q.n_words)
     kept = ~failed & (100 * (q.word_chars - _word_chars(q.cleaned)) <= p.max_lost_percent * q.word_chars)
-    return step.withColumn("_q", q.withField("base_failed", failed).withField("kept", kept))
+    return step.withColumn(name, q.withField("base_failed", failed).withField("kept", kept))
 
 
 def clean(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """Documents that pass, without their failing lines; n_chars follows the text."""
-    m = measures(docs, p=p).where("_q.kept").withColumn("text", F.col("_q.cleaned"))
-    return m.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Documents that pass, without their failing lines; n_chars follows the text. Other columns, whatever their names,
+    come back as they were; an empty table stays empty."""
+    q = unused(docs, "_q")
+    m = measures(docs, p=p, name=q).where(F.col(q).kept).withColumn("text", F.col(q).cleaned)
+    return m.withColumn("n_chars", F.length("text").cast("long")).select([f"`{c}`" for c in docs.columns])
 
 
 SQL = rf"""

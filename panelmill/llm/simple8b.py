@@ -5,7 +5,7 @@ stand in an exception list that escape words point into. Ids are packed in block
 offset, so blocks pack and unpack side by side in numpy.
 
 File: magic, words (little-endian unsigned 64 bit), exceptions, document table (id, number of ids), block table (first
-word, number of ids), counts of the four parts, magic. Ids of consecutive documents are contiguous.
+word, number of ids), counts of the four parts and of documents without an id (they come first), magic. Ids of consecutive documents are contiguous.
 """
 
 from __future__ import annotations
@@ -131,8 +131,10 @@ class Writer:
         self.held: list[np.ndarray] = []
         self.n_held = 0
         self.total = 0
+        self.no_id = 0
 
-    def add(self, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, no_id: int = 0) -> None:
+        self.no_id += no_id
         self.docs.append(doc_ids)
         self.counts.append(counts)
         self.held.append(ids)
@@ -161,21 +163,21 @@ class Writer:
         join = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
         odd, docs, counts = join(self.exceptions, "<u8"), join(self.docs, "<i8"), join(self.counts, "<i8")
         words, values = join(self.block_words, "<i8"), join(self.block_values, "<i8")
-        for part in (odd, docs, counts, np.cumsum(words) - words, values, np.array([words.sum(), len(odd), len(docs), len(values)], "<i8")):
+        for part in (odd, docs, counts, np.cumsum(words) - words, values, np.array([words.sum(), len(odd), len(docs), len(values), self.no_id], "<i8")):
             self.file.write(part.astype(part.dtype).tobytes())
         self.file.write(MAGIC)
         self.file.commit()
 
 
-def read_file(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Document ids, their numbers of ids, and these ids, for runs of whole documents."""
+def read_file(uri: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Document ids (null where there is none), their numbers of ids, and these ids, for runs of whole documents."""
     where, path = resolve(uri)
     with where.open_input_file(path) as f:
         size = f.size()
-        tail = f.read_at(40, size - 40)
-        if f.read_at(8, 0) != MAGIC or tail[32:] != MAGIC:
+        tail = f.read_at(48, size - 48)
+        if f.read_at(8, 0) != MAGIC or tail[40:] != MAGIC:
             raise ValueError(f"{uri} is no file of packed ids")
-        n_words, n_odd, n_docs, n_blocks = np.frombuffer(tail, "<i8", 4).tolist()
+        n_words, n_odd, n_docs, n_blocks, no_id = np.frombuffer(tail, "<i8", 5).tolist()
         at = 8 + 8 * n_words
         tables = np.frombuffer(f.read_at(8 * (n_odd + 2 * n_docs + 2 * n_blocks), at), "<i8")
         odd, docs, counts, first, values = np.split(tables, np.cumsum([n_odd, n_docs, n_docs, n_blocks]))
@@ -189,16 +191,17 @@ def read_file(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             k = int(np.searchsorted(ends, len(rest), "right")) if b + GROUP < n_blocks else n_docs - done
             if k:
                 n = int(ends[k - 1])
-                yield docs[done : done + k], counts[done : done + k], rest[:n]
+                yield pa.array(docs[done : done + k], mask=np.arange(done, done + k) < no_id), counts[done : done + k], rest[:n]
                 rest, done = rest[n:], done + k
 
 
-NULL_ID = np.iinfo(np.int64).min
+#: Words a worker remembers here, where every rare one costs a call of the tokenizer.
+MEMO = 400_000
 
 
 def _write(folder: str, vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, e, w = TaskContext.get().partitionId(), encoder(vocabulary), None
+        part, e, w = TaskContext.get().partitionId(), encoder(vocabulary, memo=MEMO), None
         for b in slices(batches, "text", 2 << 20):
             w = w or Writer(folder, f"part-{part:06d}.s8b")
             ids, counts = e.encode([x or "" for x in b.column(1).to_pylist()])
@@ -206,7 +209,7 @@ def _write(folder: str, vocabulary: str, end_id: int):
             keep = np.ones(len(out), bool)
             keep[np.cumsum(counts + 1) - 1] = False
             out[keep] = ids
-            w.add(b.column(0).fill_null(NULL_ID).to_numpy(), counts + 1, out)
+            w.add(b.column(0).fill_null(0).to_numpy(), counts + 1, out, b.column(0).null_count)
         if w:
             w.close()
             yield pa.RecordBatch.from_arrays([pa.array([w.file.uri]), pa.array([part], pa.int64()), pa.array([w.total], pa.int64())], ["file", "part", "n_ids"])
@@ -217,8 +220,9 @@ def _write(folder: str, vocabulary: str, end_id: int):
 def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes whole texts and writes them in ascending id order, one file a range of ids; returns file, part, n_ids.
 
-    Null or empty texts have the end id alone. Null ids come first and are written as the smallest 64-bit value; rows
-    that repeat an id are ordered by a hash of their text. Other columns are ignored.
+    Null or empty texts have the end id alone. Null ids come first; rows
+    that repeat an id are ordered by a hash of their text. Other columns are ignored; an empty table writes no file. A long
+    text is encoded by itself, so a task holds one text's ids beside a group of blocks.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -233,7 +237,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ends = np.cumsum(counts)
                 crc = [zlib.crc32(raw[x - n : x]) for x, n in zip(ends.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, mask=docs == NULL_ID), pa.array(base + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
+                    [docs, pa.array(base + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
                 base += int(ends[-1])
 
