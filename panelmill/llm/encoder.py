@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import os
 import re
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -28,7 +28,7 @@ def _regular(text: str) -> bool:
     """Every white space is one space or line break between two words."""
     words = text.split()
     gaps = len(words) - 1
-    return len("".join(words)) == len(text) - gaps and text.count(" ") + text.count("\n") == gaps
+    return sum(map(len, words)) == len(text) - gaps and text.count(" ") + text.count("\n") == gaps
 
 
 def alphabet() -> list[str]:
@@ -102,22 +102,22 @@ class Encoder:
 
     def _learn_by_model(self, keys: list[str]) -> None:
         """Encodes new words: the letters of simple ones straight by the tokenizer's model, all others by its whole chain."""
-        simple = [m.groups() if m else None for m in map(_SIMPLE.fullmatch, keys)]
-        cores = [x[1] if x[0] else " " + x[1] for x in simple if x]
-        cores = "\n".join(cores).encode().decode("latin-1").translate(self.shown).split("\n") if cores else []
-        tokenize, core, every, counts = self.model.tokenize, iter(cores), [], []
-        for key, x in zip(keys, simple):
-            if x:
-                if x[2] not in self.marks:
-                    self.marks[x[2]] = [t.id for t in tokenize(x[2])]
-                ids = [t.id for t in tokenize(next(core))] + self.marks[x[2]]
-                if x[0] == "\n":
-                    ids = [t.id for t in tokenize(self.byte[10])] + ids
-            else:
-                ids = self.tokenizer.encode(self.whole(key), add_special_tokens=False).ids
-            every += ids
-            counts.append(len(ids))
-        self._put(keys, every, counts)
+        tokenize, marks = self.model.tokenize, self.marks
+        found = [_SIMPLE.fullmatch(k) for k in keys]
+        simple = [m.groups() for m in found if m]
+        rest = [k for k, m in zip(keys, found) if not m]
+        if simple:
+            heads, cores, tails = zip(*simple)
+            cores = "\n".join([c if h else " " + c for h, c in zip(heads, cores)]).encode().decode("latin-1").translate(self.shown).split("\n")
+            for x in set(tails).difference(marks):
+                marks[x] = [t.id for t in tokenize(x)]
+            ids = [[t.id for t in tokenize(c)] for c in cores]
+            broken = [t.id for t in tokenize(self.byte[10])]
+            ids = [(broken + i if h == "\n" else i) + marks[x] if x or h == "\n" else i for h, i, x in zip(heads, ids, tails)]
+            self._put([k for k, m in zip(keys, found) if m], list(chain.from_iterable(ids)), list(map(len, ids)))
+        if rest:
+            ids = [self.tokenizer.encode(self.whole(k), add_special_tokens=False).ids for k in rest]
+            self._put(rest, list(chain.from_iterable(ids)), list(map(len, ids)))
 
     def _put(self, keys: list[str], ids, counts) -> None:
         k, n = len(self.number), len(keys)
@@ -140,7 +140,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and each text's number of ids. Texts are encoded together; empty ones have no ids."""
         lists = [self.pieces(t) for t in texts]
-        flat = [p for x in lists for p in x]
+        flat = list(chain.from_iterable(lists))
         number = self.number
         at = np.fromiter(map(number.get, flat, _MISSING), np.int64, len(flat))
         missing = np.flatnonzero(at < 0).tolist()
