@@ -6,8 +6,11 @@ takes their place), leaf-wise growth, extra-trees thresholds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, MinMaxScaler, OneHotEncoder, StringIndexer, VectorAssembler
@@ -24,6 +27,22 @@ from .cleaning import apply_scope, clip_to_train
 BOOST = {"trees": 600, "rate": 0.05, "rows": 0.8, "columns": 0.8, "depth": 6, "leaf": 20, "seed": 42}
 FOREST = {"trees": 100, "rows": 0.8, "columns": 0.5, "depth": 30, "leaf": 50}
 SEEDS = (42, 43, 44)
+#: Fits that run side by side; each holds the statistics of one tree level on the driver.
+SIDE_BY_SIDE = 8
+#: Training rows for which a fit has one partition: its thousands of small jobs should not be mostly scheduling.
+ROWS_A_PARTITION = 50_000
+
+
+def side_by_side(spark, jobs: list[Callable], at_most: int = SIDE_BY_SIDE) -> list:
+    """Results of independent fits, in their order. A fit is a chain of small jobs that leaves most cores idle; threads
+    share the session, and the cluster's scheduler interleaves their jobs."""
+    with ThreadPool(max(1, min(at_most, len(jobs)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs, chunksize=1)
+
+
+def few_partitions(df: DataFrame) -> DataFrame:
+    """A stored frame in as many partitions as its rows need, never more than it has."""
+    return df.coalesce(max(1, -(-df.count() // ROWS_A_PARTITION)))
 
 
 def model_rows(df: DataFrame, num: list[str], cats: list[str]) -> DataFrame:
@@ -99,12 +118,23 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 def train_and_score(df: DataFrame, kind: str, num, cats, y: str, train: Column, test: Column, pred: str = "pred", clip: bool = True, **kw) -> DataFrame:
     """Fit on the training rows (target held inside its 1 % and 99 % quantiles), score the test rows."""
     x = cut_lineage(model_rows(df, num, cats))  # learners pass over the rows many times
-    return _fit_and_score(x, kind, num, cats, y, train, test, pred, clip, **kw)
+    return score(fit(_training(x, y, train, clip), kind, num, cats, y, pred, **kw), x.where(test))
+
+
+def _training(x: DataFrame, y: str, train: Column, clip: bool = True) -> DataFrame:
+    """The training rows, stored: fits read them many times, and the quantiles behind the clipped target are found once."""
+    t = x.where(train & F.col(y).isNotNull())
+    return few_partitions(cut_lineage(clip_to_train(t, y, F.lit(True)) if clip else t))
 
 
-def _fit_and_score(x: DataFrame, kind: str, num, cats, y: str, train: Column, test: Column, pred: str = "pred", clip: bool = True, **kw) -> DataFrame:
-    t = clip_to_train(x.where(train), y, F.lit(True)) if clip else x.where(train)
-    return score(fit(t, kind, num, cats, y, pred, **kw), x.where(test))
+def seeds_and_scores(df: DataFrame, kind: str, num, cats, y: str, train: Column, test: Column, seeds=SEEDS, **kw) -> DataFrame:
+    """The test rows with one forecast column p<seed> for each seed, all fitted on one stored frame."""
+    x = cut_lineage(model_rows(df, num, cats))
+    t = _training(x, y, train)
+    out = x.where(test)
+    for m in side_by_side(df.sparkSession, [lambda s=s: fit(t, kind, num, cats, y, f"p{s}", seed=s, **kw) for s in seeds]):
+        out = score(m, out)
+    return out
 
 
 def spline_columns(df: DataFrame, cols: list[str], train: Column, knots: int = 5) -> tuple[DataFrame, list[str]]:
@@ -135,16 +165,18 @@ def classify(df: DataFrame, num, cats, y: str, train: Column, test: Column, band
         "_gt": (F.col(y) > band).cast("double"), "_ge": (F.col(y) >= -band).cast("double"),
     })
     cut_iterations(df)
-    tr, te = x.where(train), x.where(test)
-    out = te
+    tr, out = few_partitions(cut_lineage(x.where(train))), x.where(test)
     rf = RandomForestClassifier(featuresCol="_features", labelCol="_cls", predictionCol="_p3", probabilityCol="_pp", rawPredictionCol="_pr", numTrees=FOREST["trees"], maxDepth=FOREST["depth"], minInstancesPerNode=FOREST["leaf"],
                                 subsamplingRate=FOREST["rows"], featureSubsetStrategy=str(FOREST["columns"]), maxBins=64, seed=seed)
-    out = score(Pipeline(stages=[*_stages(num, cats), rf]).fit(tr), out).withColumn("three_way", (F.col("_p3") - 1).cast("int")).drop("_p3", "_pp", "_pr")
+    learners = [rf]
     for lab in ("_up", "_gt", "_ge"):
         g = GBTClassifier(featuresCol="_features", labelCol=lab, predictionCol=f"p{lab}", maxIter=BOOST["trees"], maxDepth=BOOST["depth"], minInstancesPerNode=BOOST["leaf"], stepSize=BOOST["rate"],
                           subsamplingRate=BOOST["rows"], featureSubsetStrategy=str(BOOST["columns"]), maxBins=64, seed=seed)
-        g = g.setProbabilityCol(f"q{lab}").setRawPredictionCol(f"r{lab}")
-        out = score(Pipeline(stages=[*_stages(num, cats), g]).fit(tr), out).drop(f"q{lab}", f"r{lab}")
+        learners.append(g.setProbabilityCol(f"q{lab}").setRawPredictionCol(f"r{lab}"))
+    fitted = side_by_side(df.sparkSession, [lambda g=g: Pipeline(stages=[*_stages(num, cats), g]).fit(tr) for g in learners])
+    for m in fitted:
+        out = score(m, out)
+    out = out.withColumn("three_way", (F.col("_p3") - 1).cast("int")).drop("_p3", "_pp", "_pr", *[f"{c}{lab}" for c in "qr" for lab in ("_up", "_gt", "_ge")])
     ordinal = (F.col("p_gt") + F.col("p_ge") - 1).cast("int")
     return out.withColumn("up", F.col("p_up").cast("int")).withColumn("ordinal", ordinal).withColumn("label", direction(y, band)).drop("_cls", "_up", "_gt", "_ge", "p_up", "p_gt", "p_ge")
 
@@ -152,23 +184,23 @@ def classify(df: DataFrame, num, cats, y: str, train: Column, test: Column, band
 def out_of_year(df: DataFrame, kind: str, num, cats, y: str, day: str, years: list[int], pred: str = "pred_oof", **kw) -> DataFrame:
     """Predictions for each year from a model fitted on the other years (one fit per year, a fixed short list)."""
     x = cut_lineage(model_rows(df, num, cats))
-    parts = [score(fit(x.where(F.year(day) != yv), kind, num, cats, y, pred, **kw), x.where(F.year(day) == yv)) for yv in years]
+    fitted = side_by_side(df.sparkSession, [lambda yv=yv: fit(x.where(F.year(day) != yv), kind, num, cats, y, pred, **kw) for yv in years])
+    parts = [score(m, x.where(F.year(day) == yv)) for m, yv in zip(fitted, years)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def per_group(df: DataFrame, kind: str, num, cats, y: str, group: str, train: Column, test: Column, fallback: str, min_rows: int = 1000, max_groups: int = 64, **kw) -> DataFrame:
-    """Own model per group with enough training rows, the fallback column elsewhere. The number of fits is checked."""
+def per_group(df: DataFrame, kind: str, num, cats, y: str, group: str, train: Column, test: Column, fallback: str, min_rows: int = 1000, **kw) -> DataFrame:
+    """Own model per group with enough training rows, the fallback column elsewhere.
+
+    Every model is a fit of its own over a cluster, side by side; for linear models of very many groups see gram.ridge_by_group.
+    """
     x = cut_lineage(model_rows(df, num, [c for c in cats if c != group]))
     n = x.where(train & F.col(y).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
-    groups = [r[0] for r in n.orderBy(group).limit(max_groups + 1).collect()]
-    if len(groups) > max_groups:
-        raise ValueError(f"more than {max_groups} groups need their own model; choose a coarser group")
-    rest = x.where(test & ~F.coalesce(F.col(group).isin(groups), F.lit(False))) if groups else x.where(test)
-    parts = [rest.withColumn("pred", F.col(fallback))]
-    for g in groups:
-        sub = x.where(F.col(group) == g)
-        m = fit(sub.where(train), kind, num, [c for c in cats if c != group], y, "pred", **kw)
-        parts.append(score(m, sub.where(test)))
+    groups = [r[0] for r in n.orderBy(group).collect()]  # those with a learner of their own
+    parts = [x.where(test).join(F.broadcast(n.select(F.col(group).alias("_g"))), F.col(group).eqNullSafe(F.col("_g")), "left_anti").withColumn("pred", F.col(fallback))]
+    subs = [x.where(F.col(group).eqNullSafe(F.lit(g))) for g in groups]
+    fitted = side_by_side(df.sparkSession, [lambda sub=sub: fit(sub.where(train), kind, num, [c for c in cats if c != group], y, "pred", **kw) for sub in subs])
+    parts += [score(m, sub.where(test)) for m, sub in zip(fitted, subs)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -200,10 +232,22 @@ def search(df: DataFrame, kind: str, num, cats, y: str, train: Column, valid: Co
     from .evaluate import metrics
 
     x = cut_lineage(model_rows(df, num, cats))
-    parts = [metrics(_fit_and_score(x, kind, num, cats, y, train, valid, **o), y, "pred").withColumn("setting", F.lit(repr(o))) for o in options]
+    t = _training(x, y, train)
+    fitted = side_by_side(df.sparkSession, [lambda o=o: fit(t, kind, num, cats, y, **o) for o in options])
+    parts = [metrics(score(m, x.where(valid)), y, "pred").withColumn("setting", F.lit(repr(o))) for m, o in zip(fitted, options)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def search_and_verify(df: DataFrame, kind: str, num, cats, y: str, train: Column, valid: Column, options: list[dict], seeds=SEEDS) -> DataFrame:
+    """The search, and its best setting (least rmse, then the first) repeated for every seed: setting, seed, metrics."""
+    found = cut_lineage(search(df, kind, num, cats, y, train, valid, options))
+    best = found.orderBy("rmse", "setting").first()["setting"]
+    setting = next(o for o in options if repr(o) == best)
+    again = search(df, kind, num, cats, y, train, valid, [{**setting, "seed": s} for s in seeds])
+    seed = F.regexp_extract("setting", r"'seed': (\d+)", 1).cast("int")
+    return found.withColumn("seed", F.lit(None).cast("int")).unionByName(again.withColumn("seed", seed).withColumn("setting", F.lit(best)))
+
+
 def verdict(delta, sigma) -> Column:
     """Better / worse only beyond the seed noise."""
     d, s = F.col(delta), F.col(sigma)
@@ -216,7 +260,9 @@ def ablation(df: DataFrame, kind: str, num, cats, y: str, train: Column, valid:
 
     runs = [("full", num, s) for s in seeds] + [(name, [c for c in num if c not in cols], s) for name, cols in drops.items() for s in seeds]
     x = cut_lineage(model_rows(df, num, cats))
-    parts = [metrics(_fit_and_score(x, kind, cols, cats, y, train, valid, seed=s, **kw), y, "pred").select("rmse").withColumn("experiment", F.lit(n)).withColumn("seed", F.lit(s)) for n, cols, s in runs]
+    t = _training(x, y, train)
+    fitted = side_by_side(df.sparkSession, [lambda cols=cols, s=s: fit(t, kind, cols, cats, y, seed=s, **kw) for _, cols, s in runs])
+    parts = [metrics(score(m, x.where(valid)), y, "pred").select("rmse").withColumn("experiment", F.lit(n)).withColumn("seed", F.lit(s)) for m, (n, _, s) in zip(fitted, runs)]
     r = reduce(lambda a, b: a.unionByName(b), parts)
     g = r.groupBy("experiment").agg(F.avg("rmse").alias("rmse"), F.stddev_samp("rmse").alias("spread"))
     full = g.where("experiment = 'full'").select(F.col("rmse").alias("_full"), (F.coalesce("spread", F.lit(0.0)) * 2).alias("sigma"))
