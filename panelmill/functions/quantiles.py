@@ -1,9 +1,10 @@
 """Exact order statistics that stay distributed when a group is very large.
 
-A group's percentile buffer holds every distinct value of the group in one task. That is fine for ordinary
-groups, so those take one shuffle. Groups above HOT_ROWS rows (known from a map-side combined count) are cut
-into ordered value cells instead: counts per cell locate the wanted ranks, and only the rows of those cells are
-looked at again. Nothing is approximated and no row is dropped.
+The input is read once: its keys and values are stored, and what follows reads that narrow table. A percentile buffer
+holds every distinct value of a group in one task; that is the way of groups up to a stated number of rows. Larger ones
+go through counts of equal values: a histogram over ordered cells finds the cell of each wanted rank, an even split of
+that cell finds the part, and only the values of that part, of bounded number, are ordered. Both ways give the same
+numbers; nothing is approximated and no row is dropped.
 """
 
 from __future__ import annotations
@@ -13,16 +14,23 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .scalars import as_col
 
-HOT_ROWS = 1_000_000
 CELLS_PER_E_FOLD = 1024
+#: Rows of a key up to which its values fit one percentile buffer.
+BUFFER_ROWS = 1_000_000
+#: Even parts of a cell. A cell is 0.1 % wide, where doubles stand evenly, some 2^42 at most: a part has 2^21 values at most.
+PARTS = 1 << 21
+_SMALLEST = 746  # above -ln of the smallest double
 
 
 def value_cell(c) -> Column:
-    """Order-preserving cell number of a double: about 0.1 % wide, symmetric around zero."""
+    """Order-preserving cell number of a double: about 0.1 % wide at every size, symmetric around zero, which is alone."""
     d = as_col(c).cast("double")
-    return (F.signum(d) * F.floor(F.log1p(F.abs(d) * 1e6) * CELLS_PER_E_FOLD)).cast("long")
+    size = F.floor((F.ln(F.abs(d)) + _SMALLEST) * CELLS_PER_E_FOLD) + 1
+    last = F.lit(4 * _SMALLEST * CELLS_PER_E_FOLD)
+    return F.when(F.isnan(d), 2 * last).when(F.abs(d) == float("inf"), F.signum(d) * last).when(d == 0, 0).otherwise(F.signum(d) * size).cast("long")
 
 
 def _clean(df: DataFrame, keys, value) -> DataFrame:
@@ -33,29 +41,39 @@ def _clean(df: DataFrame, keys, value) -> DataFrame:
     return out.where(cond)
 
 
-def _spread(v: DataFrame, keys, probs: dict[str, float]) -> DataFrame:
-    """Quantiles through ordered cells: counts per cell, ranks per cell, then only the wanted cells."""
-    v = v.withColumn("_cell", value_cell("_v"))
-    part = keys if keys else [F.lit(1)]
-    by_cell = Window.partitionBy(*part).orderBy("_cell")
-    hist = (
-        v.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_end", F.sum("_n").over(by_cell.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*part)))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-    )
-    wanted = F.lit(False)
+def _wanted(rows: DataFrame, keys: list[str], path: list[str], cell: str, probs: dict[str, float]) -> DataFrame:
+    """The rows of cells that hold a wanted rank, with _before (values in front of the cell), _total, _low and _high.
+
+    rows: keys, path (cells of earlier rounds), the cell, _v, _n, and from an earlier round _before and _total.
+    """
+    again = "_total" in rows.columns
+    part = [*keys, *path] or [F.lit(1)]
+    known = [F.max(c).alias(c) for c in ("_total", "_before")] if again else []
+    hist = rows.groupBy(*keys, *path, cell).agg(F.sum("_n").alias("_cn"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), *known)
+    upto = F.sum("_cn").over(Window.partitionBy(*part).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0))
+    if not again:
+        hist = hist.withColumn("_total", F.sum("_cn").over(Window.partitionBy(*part))).withColumn("_before", F.lit(0))
+    hist = hist.withColumn("_before", F.col("_before") + upto - F.col("_cn"))
+    hit = F.lit(False)
     for p in probs.values():
         pos = F.lit(p) * (F.col("_total") - 1)
         for r in (F.floor(pos), F.ceil(pos)):
-            wanted = wanted | ((r >= F.col("_start")) & (r < F.col("_end")))
-    cells = hist.where(wanted).select(*keys, "_cell", "_start", "_total")
-    runs = (
-        v.join(cells, [*keys, "_cell"])
-        .groupBy(*keys, "_cell", "_start", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    in_cell = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    runs = runs.withColumn("_hi", F.col("_start") + F.sum("_n").over(in_cell)).withColumn("_lo", F.col("_hi") - F.col("_n"))
+            hit = hit | ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_cn")))
+    return rows.drop("_before", "_total", "_low", "_high").join(hist.where(hit).drop("_cn"), [*keys, *path, cell])
+
+
+def _interpolated(low: Column, high: Column, share: Column) -> Column:
+    return F.when(low == high, low).otherwise(low + (high - low) * share)
+
+
+def _through_cells(runs: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """Quantiles of counted values (keys, _v, _n) without a task that holds a key's values."""
+    rows = _wanted(runs.withColumn("_cell", value_cell("_v")), keys, [], "_cell", probs)
+    width = F.col("_high") - F.col("_low")
+    rows = rows.withColumn("_part", F.when(width > 0, F.floor((F.col("_v") - F.col("_low")) / width * PARTS)).otherwise(F.lit(0)).cast("long"))
+    rows = _wanted(rows, keys, ["_cell"], "_part", probs)
+    inside = Window.partitionBy(*keys, "_cell", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    runs = rows.withColumn("_hi", F.col("_before") + F.sum("_n").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_n"))
     aggs = []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("_total") - 1)
@@ -63,31 +81,25 @@ def _spread(v: DataFrame, keys, probs: dict[str, float]) -> DataFrame:
             aggs.append(F.max(F.when((r >= F.col("_lo")) & (r < F.col("_hi")), F.col("_v"))).alias(f"_{tag}_{name}"))
         aggs.append(F.max(pos - F.floor(pos)).alias(f"_f_{name}"))
     out = runs.groupBy(*keys).agg(*aggs)
-    return out.select(
-        *keys,
-        *[
-            (F.col(f"_l_{n}") + (F.col(f"_h_{n}") - F.col(f"_l_{n}")) * F.col(f"_f_{n}")).alias(n)
-            for n in probs
-        ],
-    )
+    return out.select(*keys, *[_interpolated(*(F.col(f"_{t}_{n}") for t in "lhf")).alias(n) for n in probs])
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, float], hot_rows: int = HOT_ROWS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, float], hot_rows: int = BUFFER_ROWS) -> DataFrame:
     """Interpolated quantiles per key. probs maps output column -> probability. Rows with a missing key or value are left out."""
-    v = _clean(df, keys, value)
+    v = cut_lineage(_clean(df, keys, value))
+    counted = lambda x: x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     if not keys:
-        return _spread(v, keys, probs)
-    hot = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
+        return _through_cells(counted(v), keys, probs)
     names = list(probs)
+    large = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows).select(*keys)
+    large = cut_lineage(large)
     q = F.percentile("_v", F.array(*[F.lit(probs[n]) for n in names]))
-    usual = (
-        v.join(hot, keys, "left_anti").groupBy(*keys).agg(q.alias("_q"))
-        .select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    )
-    return usual.unionByName(_spread(v.join(hot, keys, "left_semi"), keys, probs))
+    none = large.first() is None  # then the second way would only be empty stages
+    usual = (v if none else v.join(large, keys, "left_anti")).groupBy(*keys).agg(q.alias("_q")).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    return usual if none else usual.unionByName(_through_cells(counted(v.join(large, keys, "left_semi")), keys, probs))
 
 
-def exact_median(df: DataFrame, keys: list[str], value, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value, name: str, hot_rows: int = BUFFER_ROWS) -> DataFrame:
     return exact_quantiles(df, keys, value, {name: 0.5}, hot_rows)
 
 
