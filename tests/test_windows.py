@@ -116,6 +116,15 @@ def test_asof_inclusive_without_keys_and_several_facts(spark):
     assert got == [(None, 1.0), (5.0, 1.0), (5.0, None)]
 
 
+def test_the_later_row_of_one_publication_day_counts(spark):
+    d = lambda x: dt.date(2020, 1, x)
+    left = spark.createDataFrame([("a", d(2)), ("b", d(2)), ("c", d(2))], "k string, date date")
+    rows = [("a", d(1), 1, 5.0), ("a", d(1), 2, 3.0), ("b", d(1), 7, 1.0), ("b", d(1), 8, None), ("c", d(2), None, 9.0), ("c", d(2), 1, 2.0)]
+    facts = spark.createDataFrame(rows, "k string, avail date, line int, v double").repartition(3)
+    got = {r.k: r.v for r in asof_backward(left, "date", [Fact(facts, "avail", ["v"], ("line",))], ["k"]).collect()}
+    assert got == {"a": 3.0, "b": None, "c": 2.0}
+
+
 def test_forward_days(spark):
     d = lambda x: dt.date(2020, 1, x)
     days = spark.createDataFrame([(d(x),) for x in (1, 2, 3, 4)], "date date")
