@@ -460,7 +460,7 @@ def _(spark, sf):
     return ML.search_and_verify(frame(spark, sf), "boosted", NUM, CATS, "y", train_rows(), valid_rows(), options)
 
 
-@query("m26_saved_model_rescored")
+@query("m26_saved_model_rescored", f"{HIST} SELECT channel, count(*) AS n, CAST(0 AS DOUBLE) AS largest_gap FROM hist WHERE y IS NOT NULL AND {TE_SQL} GROUP BY channel")
 def _(spark, sf):
     import uuid
 
