@@ -90,7 +90,8 @@ def ridge_sql(train: str, keys: str, name: str) -> str:
     return f"""{name}_m AS (SELECT {keys}, count(*) AS n, avg(y) AS my, coalesce(avg(r28), 0) AS m1, coalesce(avg(dev_last), 0) AS m2 FROM {train} GROUP BY {keys}),
 {name}_g AS (SELECT {", ".join("m." + k for k in keys.split(", "))}, any_value(n) AS n, any_value(my) AS my, any_value(m1) AS m1, any_value(m2) AS m2, sum(coalesce(r28 - m1, 0) ** 2) AS a, sum(coalesce(r28 - m1, 0) * coalesce(dev_last - m2, 0)) AS b,
   sum(coalesce(dev_last - m2, 0) ** 2) AS c, sum(coalesce(r28 - m1, 0) * y) AS p, sum(coalesce(dev_last - m2, 0) * y) AS q FROM {train} t JOIN {name}_m m ON {on} GROUP BY ALL),
-{name} AS (SELECT *, ((1 + {PENALTY}) * c * p - b * q) / ((1 + {PENALTY}) * a * (1 + {PENALTY}) * c - b * b) AS b1, ((1 + {PENALTY}) * a * q - b * p) / ((1 + {PENALTY}) * a * (1 + {PENALTY}) * c - b * b) AS b2 FROM {name}_g)"""
+{name} AS (SELECT *, CASE WHEN a < 1e-18 THEN 0 WHEN c < 1e-18 THEN p / ((1 + {PENALTY}) * a) ELSE ((1 + {PENALTY}) * c * p - b * q) / ((1 + {PENALTY}) * a * (1 + {PENALTY}) * c - b * b) END AS b1,
+  CASE WHEN c < 1e-18 THEN 0 WHEN a < 1e-18 THEN q / ((1 + {PENALTY}) * c) ELSE ((1 + {PENALTY}) * a * q - b * p) / ((1 + {PENALTY}) * a * (1 + {PENALTY}) * c - b * b) END AS b2 FROM {name}_g)"""
 
 
 FORECAST = "my + b1 * coalesce(r28 - m1, 0) + b2 * coalesce(dev_last - m2, 0)"
