@@ -5,7 +5,7 @@ has a MinHash signature; classes that agree on all rows of a band meet in a buck
 by batches of signature values: after each batch a pair is dropped when the posterior probability that its similarity
 reaches the threshold falls under `miss` (uniform prior, so a Beta posterior). Survivors are verified on full sets.
 
-No pair is ever a row. A bucket is cut into blocks of bounded size (a block pair is one task's work), a task returns
+No pair is ever a row. A bucket is cut into blocks of bounded size, by members and by bytes of their sets (a block pair is one task's work), a task returns
 each member with the numbers of its surviving partners, and after verification at most one link per member: a
 spanning forest of the true links of the block.
 """
@@ -37,6 +37,7 @@ class Params:
     batch: int = 28  # signature values per Bayesian step
     miss: float = 1e-6  # posterior chance of dropping a pair that does reach the threshold
     block: int = 1024  # members of a bucket that meet in one task, squared
+    block_shingles: int = 1 << 21  # shingles of those members together: sets of 16 MB, twice that in a task
     seed: int = 7
 
 
@@ -222,14 +223,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = cut_lineage(d.mapInArrow(_sketch(p), "doc_id long, n_shingles long, cls binary, bands array<long>, sig binary"))
     usable = sketch.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull())
-    classes = cut_lineage(usable.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")))
-    banded = classes.select("cls", F.explode("bands").alias("key"))
+    classes = cut_lineage(usable.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.any_value("n_shingles").alias("size")))
+    banded = classes.select("cls", "size", F.explode("bands").alias("key"))
     # Buckets with the same members are compared once: the same pairs agree on many bands.
     buckets = (
-        banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(cls))").alias("x"), F.expr("sum(pmod(xxhash64(cls, 1), 4294967296))").alias("y"))
-        .where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / p.block).alias("parts"))
+        banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(cls))").alias("x"), F.expr("sum(pmod(xxhash64(cls, 1), 4294967296))").alias("y"), F.sum("size").alias("size"))
+        .where("n > 1").groupBy("n", "x", "y", "size").agg(F.min("key").alias("key"))
+        .select("key", F.ceil(F.greatest(F.col("n") / p.block, F.col("size") / p.block_shingles)).alias("parts"))
     )
-    members = banded.join(buckets, "key").withColumn("at", F.expr("pmod(xxhash64(cls, 2), parts)"))
+    members = banded.drop("size").join(buckets, "key").withColumn("at", F.expr("pmod(xxhash64(cls, 2), parts)"))
     blocks = (
         members.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         .select("key", F.least("at", "o").alias("bi"), F.greatest("at", "o").alias("bj"), "at", "cls")

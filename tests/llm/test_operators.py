@@ -48,6 +48,23 @@ def test_near_duplicates(docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_in_blocks_cut_by_bytes(spark):
+    """A group of long copies with one word changed each is cut into many blocks; its links and those of other documents stay."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:k] + [f"new{k}"] + words[k + 1 :]) for k in range(0, 400, 10)] + [" ".join(f"v{i}" for i in range(300)), "short one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(minhash.shingles(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:  # smallest id reachable
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 85 * len(a | b):
+                    root[i] = min(root[i], root[j])
+    for size in (1 << 21, 1500):  # one block; a few sets a block
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, p=minhash.Params(block_shingles=size)).collect()}
+        assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
+
+
 def test_signatures_prune_only_dissimilar_sets():
     p = minhash.Params()
     a = np.unique(np.random.default_rng(0).integers(0, 2**63, 3000).astype(np.uint64))
