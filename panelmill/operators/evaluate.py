@@ -190,13 +190,15 @@ def blend_weights(df: DataFrame, y: str, models: list[str]) -> list[float]:
     return nnls_weights(gram, [float(r[f"b{i}"] or 0.0) for i in k])
 
 
-def permute_column(df: DataFrame, keys: list[str], col: str, seed: int = 0) -> DataFrame:
-    """The column's values shuffled over all rows.
+def permute_column(df: DataFrame, keys: list[str], col: str | list[str], seed: int = 0) -> DataFrame:
+    """The column's values shuffled over all rows; several columns move together, so what holds between them stays.
 
     Rows and values are numbered in two different hash orders and meet on the number. A number is the count of the hash
     cells before (65,536 cells whatever the size) and the place inside the cell, so no task sorts the whole table.
     """
 
+    moved = [col] if isinstance(col, str) else col
+
     def numbered(s: int, *cols) -> DataFrame:
         rows = df.select(*cols, *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.xxhash64(F.lit(seed + s), *keys).alias("_h")).withColumn("_c", F.shiftright("_h", 48))
         cells = rows.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
@@ -205,8 +207,19 @@ def permute_column(df: DataFrame, keys: list[str], col: str, seed: int = 0) -> D
         out = rows.join(cells.select("_c", before.alias("_before")), "_c").withColumn("_i", F.col("_before") + place)
         return out.drop("_c", "_h", "_before", *[f"_k{i}" for i in range(len(keys))])
 
-    a = numbered(1, *[F.col(c) for c in df.columns if c != col])
-    return a.join(numbered(2, F.col(col)), "_i").drop("_i")
+    a = numbered(1, *[F.col(c) for c in df.columns if c not in moved])
+    return a.join(numbered(2, *[F.col(c) for c in moved]), "_i").drop("_i")
+
+
+def group_shares(importance: DataFrame, group: Column) -> DataFrame:
+    """group, n_columns, importance, share: each feature group's percentage of all importance (null where there is none).
+
+    importance: column, importance. A column without a group counts as `other`, one without importance as nothing.
+    """
+    x = importance.select(F.coalesce(group, F.lit("other")).alias("group"), F.coalesce(F.col("importance"), F.lit(0.0)).alias("_i"))
+    g = x.groupBy("group").agg(F.count(F.lit(1)).alias("n_columns"), F.sum("_i").alias("importance"))
+    total = g.agg(F.sum("importance").alias("_t"))  # one row
+    return g.crossJoin(F.broadcast(total)).select("group", "n_columns", "importance", (safe_div("importance", "_t") * 100).alias("share"))
 
 
 def seed_agreement(df: DataFrame, seeds: dict[str, str], band: float = 0.02) -> DataFrame:

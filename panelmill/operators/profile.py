@@ -204,6 +204,20 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return g.select("a", "b", F.col("n").cast("long").alias("n"), safe_div(cov, F.sqrt(vx * vy)).alias("rho"))
 
 
+def time_trends(df: DataFrame, day: str, cols: list[str], threshold: float = 0.8) -> DataFrame:
+    """column, days, rho, trending: rank correlation of each column's daily mean with the day.
+
+    A column that follows the calendar this closely may only stand for time. One map-side aggregate leaves a row a day, so
+    ranking costs what the calendar costs; means are rounded to 9 digits, so that ranks don't depend on the order of sums.
+    Days without a value don't count for a column; one without any, or with a single value, has no rho and isn't trending.
+    """
+    daily = df.where(F.col(day).isNotNull()).groupBy(F.unix_date(day).alias("_day")).agg(*[F.round(F.avg(c), 9).alias(c) for c in cols])
+    rho = spearman_pairs(daily, [(c, "_day") for c in cols]).select(F.col("a").alias("column"), F.col("n").alias("days"), "rho")
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
+    out = names.join(rho, "column", "left")
+    return out.select("column", F.coalesce("days", F.lit(0)).cast("long").alias("days"), "rho", F.coalesce(F.abs("rho") >= threshold, F.lit(False)).alias("trending"))
+
+
 def pairs_above(rho: DataFrame, threshold: float = 0.8) -> DataFrame:
     return rho.where(F.abs("rho") >= threshold)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_median, exact_quantiles
-from ..functions.scalars import safe_div
+from ..functions.scalars import pick, safe_div
 from ..operators import aggregates as A
 from ..operators import profile as P
 from ..operators import repair as R
@@ -359,6 +359,17 @@ def _(spark, sf):
     return P.keep_most_important(P.spearman_pairs(h, ALL4), imp, 0.3).select("column", "importance", "covered_by", "keep")
 
 
+CONCEPT = {"r7": "momentum", "r28": "momentum", "dev_last": "level", "n_obs28": "survey", "vol28": "survey"}
+
+
+@query("a37_one_per_concept", f"""{HIST}, im AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, '{k}' AS concept, round(abs(corr({c}, y)), 6) AS i FROM hist WHERE {c} IS NOT NULL AND y IS NOT NULL" for c, k in CONCEPT.items())})
+SELECT c AS "column", concept, i AS importance, first_value(c) OVER (PARTITION BY concept ORDER BY i DESC, c) AS kept, row_number() OVER (PARTITION BY concept ORDER BY i DESC, c) = 1 AS keep FROM im""")
+def _(spark, sf):
+    cols = list(CONCEPT)
+    imp = history(spark, sf).agg(*[F.round(F.abs(F.corr(c, "y")), 6).alias(c) for c in cols]).unpivot([], cols, "column", "importance")
+    return P.keep_one_per_concept(cut_lineage(imp), pick(CONCEPT, "column")).select("column", "concept", "importance", "kept", "keep")
+
+
 @query("a38_shared_sources", "SELECT p_name AS source, string_agg(DISTINCT p_type, ';' ORDER BY p_type) AS users, count(DISTINCT p_type) AS n_users FROM part GROUP BY ALL HAVING count(DISTINCT p_type) > 1")
 def _(spark, sf):
     return P.shared_sources(table(spark, sf, "part").select(F.col("p_name").alias("source"), F.col("p_type").alias("user")), "source", "user")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import shown_probability, size_bin
+from ..functions.scalars import pick, shown_probability, size_bin
 from ..operators import decide as C
 from ..operators import evaluate as E
 from ..operators import gram as G
@@ -449,6 +449,44 @@ def _(spark, sf):
     return r.select(F.lit("r28").alias("feature"), F.round("rho", 5).alias("rho"), v.alias("verdict"))
 
 
+def _trend_sql(c):
+    return f"""SELECT '{c}' AS "column", count(*) AS days, round(corr(rv, rd), 6) AS rho, abs(corr(rv, rd)) >= 0.8 AS trending FROM (SELECT rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS rv, rank() OVER (ORDER BY date) AS rd FROM dm WHERE {c} IS NOT NULL)"""
+
+
+@query("m10_time_trend", f"{HIST}, dm AS (SELECT date, {', '.join(f'round(avg({c}), 9) AS {c}' for c in NUM[:-1])} FROM hist WHERE y IS NOT NULL AND {TR_SQL} GROUP BY date) " + " UNION ALL ".join(_trend_sql(c) for c in NUM[:-1]))
+def _(spark, sf):
+    from ..operators.profile import time_trends
+
+    x = history(spark, sf).where("y IS NOT NULL").where(train_rows())
+    return time_trends(x, "date", NUM[:-1]).select("column", "days", F.round("rho", 6).alias("rho"), "trending")
+
+
+FEATURE_GROUPS = {"momentum": ["r7", "r28", "r91"], "season": ["yoy", "ly_change", "woy"], "level": ["dev_last"], "survey": ["vol28", "n_obs28"]}
+_GROUP_OF = {c: g for g, cols in FEATURE_GROUPS.items() for c in cols}
+
+
+@query("m10_group_share", f"""{HIST}, im AS ({" UNION ALL ".join(f"SELECT '{_GROUP_OF[c]}' AS g, abs(corr({c}, y)) AS i FROM hist WHERE {c} IS NOT NULL AND y IS NOT NULL" for c in NUM[:-1])})
+SELECT g AS "group", count(*) AS n_columns, round(sum(coalesce(i, 0)), 6) AS importance, round(100 * sum(coalesce(i, 0)) / (SELECT sum(i) FROM im), 5) AS share FROM im GROUP BY g""")
+def _(spark, sf):
+    x = history(spark, sf).where("y IS NOT NULL")
+    row = x.agg(*[F.abs(F.corr(c, "y")).alias(c) for c in NUM[:-1]])
+    g = E.group_shares(row.unpivot([], NUM[:-1], "column", "importance"), pick(_GROUP_OF, "column"))
+    return g.select("group", "n_columns", F.round("importance", 6).alias("importance"), F.round("share", 5).alias("share"))
+
+
+@query("m10_group_permutation")
+def _(spark, sf):
+    from functools import reduce
+
+    x = cut_lineage(ML.model_rows(frame(spark, sf), NUM, CATS))
+    m = ML.fit(x.where(train_rows()), "ridge", NUM, CATS, "y")
+    te = cut_lineage(x.where(test_rows()))
+    parts = [E.metrics(ML.score(m, te), "y", "pred").withColumn("shuffled", F.lit("none"))]
+    for g, cols in FEATURE_GROUPS.items():
+        parts.append(E.metrics(ML.score(m, E.permute_column(te, [*SERIES, "date"], cols)), "y", "pred").withColumn("shuffled", F.lit(g)))
+    return reduce(lambda a, b: a.unionByName(b), parts).select("shuffled", "n", *r6("rmse", "r2"))
+
+
 @query("m11_ablation")
 def _(spark, sf):
     return ML.ablation(frame(spark, sf), "boosted", NUM, CATS, "y", train_rows(), valid_rows(), {"without_yoy": ["yoy", "ly_change"]})
