@@ -8,7 +8,7 @@ several licenses ("under the terms of the") labels nothing by itself. Base label
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import cache
 
@@ -39,19 +39,20 @@ class Params:
     least: int = 5  # words of a passage worth chaining
     label_words: int = 5  # words of a passage of one template alone that give its label
     gap: int = 8  # words between two passages of one span at most
+    template_words: int = 200_000  # words of all templates together, some 300 whole license texts; every task holds their automaton
 
 
 class Automaton:
     """Suffix automaton of several word sequences; every state knows the templates its passages occur in."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: Mapping[str, str]):
         self.next: list[dict[bytes, int]] = [{}]
         self.link = [-1]
         self.length = [0]
         self.labels: list[set[str]] = [set()]
         for label, text in templates.items():
             last = 0
-            for word in text.encode().split():
+            for word in words_of(text):
                 last = self._extend(last, word)
                 state = last
                 while state > 0 and label not in self.labels[state]:
@@ -113,8 +114,13 @@ class Automaton:
 
 
 @cache
-def automaton() -> Automaton:
-    return Automaton(TEMPLATES)
+def _built(templates: tuple[tuple[str, str], ...]) -> Automaton:
+    return Automaton(dict(templates))
+
+
+def automaton(templates: Mapping[str, str] = TEMPLATES) -> Automaton:
+    """The automaton of (label, whole text) templates, built once in a worker."""
+    return _built(tuple(templates.items()))
 
 
 def spans(found: list[tuple[int, int, int]], a: Automaton, gap: int) -> dict[str, list[list[int]]]:
@@ -153,8 +159,8 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     return sorted(out)
 
 
-def scan(text: str | None, p: Params = Params()) -> dict:
-    a, w = automaton(), words_of(text)
+def scan(text: str | None, p: Params = Params(), templates: Mapping[str, str] = TEMPLATES) -> dict:
+    a, w = automaton(templates), words_of(text)
     base = base_places(w)
     found = a.matches(w, p.least)
     by_label = spans(found, a, p.gap)
@@ -180,22 +186,47 @@ _ARROW = pa.schema([
 ])
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params(), templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """One row per input row: doc_id, counts, labels, score (share of words inside spans or phrases), spans.
 
+    templates: whole license texts by label, of `template_words` words together at most (more is an error); letters are
+    lower-cased and punctuation separates words, as in the documents. Without templates only the phrases label.
     Null, empty and word-free texts have no words, no labels (empty strings), null places and score 0. Ids are carried,
     null or repeated as they are; other columns are ignored.
     """
 
+    held = sum(len(words_of(x)) for x in templates.values())
+    if held > p.template_words:
+        raise ValueError(f"templates of {held} words: a task holds {p.template_words} at most; scan with parts of them")
+    templates = dict(templates)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [scan(x.as_py(), p) for x in b.column(1)]
+            rows = [scan(x.as_py(), p, templates) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[f.name] for r in rows], f.type) for f in list(_ARROW)[1:])], schema=_ARROW)
 
     d = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text")
     return d.mapInArrow(run, f"doc_id long, {SCHEMA}")
 
 
+#: The columns of the base contract; labels and score follow from the templates and have no SQL.
+BASE_SQL = r"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+t as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) - 1 as pos from w),
+n as (select *, lead(x) over o as x2, lead(x, 2) over o as x3 from t window o as (partition by doc_id order by pos)),
+l as (select doc_id, pos, case when x = 'cc' and x2 = 'by' then 'cc-by' when x = 'general' and x2 = 'public' and x3 = 'license' then 'gpl' when x = 'all' and x2 = 'rights' and x3 = 'reserved' then 'reserved' end as label from n),
+h as (select * from l where label is not null),
+g as (select doc_id, count(*) as n, min(pos) as a, max(pos) as b, string_agg(distinct label, ',' order by label) as labels from h group by 1)
+select w.doc_id, len(w.w) as n_words, coalesce(n, 0) as n_base, a as first_word, b as last_word, coalesce(labels, '') as base_labels from w left join g using (doc_id)
+"""
+
+
+@query("license_base_places", BASE_SQL)
+def base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 that SQL can express, through the same operator."""
+    return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 @query("op7_license_automaton")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")

@@ -208,6 +208,48 @@ def test_language(docs, empty):
     assert language.predict(docs, language.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def _plain_scan(text, templates, p):
+    """The row of a text by trying every passage of every template."""
+    w = licenses.words_of(text)
+    joined = {k: b" " + b" ".join(licenses.words_of(t)) + b" " for k, t in templates.items()}
+    holds = lambda a, b: {k for k, t in joined.items() if b" " + b" ".join(w[a:b]) + b" " in t}
+    longest = [max((k for k in range(1, i + 1) if holds(i - k, i)), default=0) for i in range(1, len(w) + 1)]
+    found = [(i - k, i, holds(i - k, i)) for i, k in enumerate(longest, 1) if k >= p.least and (i == len(w) or longest[i] != k + 1)]
+    own = {k for k in templates if sum(b - a for a, b, on in found if on == {k}) >= p.label_words}
+    base = [(i, label, n) for i in range(len(w)) for phrase, label in licenses.PHRASES.items() for n in [len(phrase.split())] if b" ".join(w[i : i + n]).decode() == phrase]
+    covered = {j for i, _, n in base for j in range(i, i + n)}
+    for k in own:
+        parts = sorted((a, b) for a, b, on in found if k in on)
+        first, last = parts[0]
+        for a, b in parts[1:]:
+            if a - last > p.gap:
+                covered |= set(range(first, last))
+                first = a
+            last = b
+        covered |= set(range(first, last))
+    names = {label for _, label, _ in base}
+    return (len(w), len(base), min((i for i, *_ in base), default=None), max((i for i, *_ in base), default=None), ",".join(sorted(names)), ",".join(sorted(own | names)), round(len(covered) / len(w), 9) if w else 0.0)
+
+
+def test_license_rows_equal_plain_ones(spark):
+    """Whole rows of the operator, with the fixed passages and with templates given as texts, against trying everything."""
+    rng = np.random.default_rng(5)
+    given = {"one": "You MAY copy, use; and share this work: for any purpose at all!", "two": "use and share this work for any good reason, at your own risk", "three": "All rights reserved. No part may be copied."}
+    p = licenses.Params()
+    for templates in (licenses.TEMPLATES, given):
+        pool = [licenses.words_of(t) for t in templates.values()] + [b"cc by".split(), b"general public license".split(), b"all rights reserved".split(), b"some other words of the text".split()]
+        texts = [None, "", " .,;", "cc by", "Cc-By cc by", *templates.values()]
+        for _ in range(60):
+            parts = [pool[i][a : a + n] for i, a, n in zip(rng.integers(0, len(pool), 6), rng.integers(0, 12, 6), rng.integers(1, 15, 6))]
+            texts.append(" ".join(x.decode().upper() if rng.random() < 0.2 else x.decode() for part in parts for x in part))
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r[0]: tuple(r)[1:7] + (round(r.score, 9),) for r in licenses.scan_licenses(d, templates=templates).drop("spans").collect()}
+        assert got == {i: _plain_scan(t, templates, p) for i, t in enumerate(texts)}
+    with pytest.raises(ValueError, match="templates of"):
+        licenses.scan_licenses(d, p=licenses.Params(template_words=10), templates=given)
+    assert licenses.scan_licenses(d, templates={}).where("labels <> base_labels").count() == 0
+
+
 def test_licenses(docs, empty):
     assert licenses.scan_licenses(docs).count() == len(ROWS) and licenses.scan_licenses(empty).count() == 0
     s = licenses.scan("X. Licensed under CC BY-NC 4.0. ALL rights reserved, all rights reserved")
