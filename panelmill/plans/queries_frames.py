@@ -68,7 +68,7 @@ def _(spark, sf):
     k = F.col("p_size") % 3
     raw = li.select(F.date_format("l_shipdate", "yyyyMMdd").alias("EXAMIN_DE"), cat.alias("FRMPRD_CATGORY_CD"), cat.alias("FRMPRD_CATGORY_NM"), cat.alias("PRDLST_CD"), t.alias("PRDLST_NM"), TEXT("p_size").alias("SPCIES_CD"), TEXT("p_size").alias("SPCIES_NM"), F.lit("").alias("GRAD_CD"), F.lit("").alias("GRAD_NM"),
                     F.when(k == 0, "1box").otherwise(F.concat((k * 5).cast("string"), F.lit("kg"))).alias("EXAMIN_UNIT"), F.lit("").alias("AREA_CD"), F.lit("").alias("AREA_NM"), TEXT("l_suppkey").alias("MRKT_CD"), TEXT("l_suppkey").alias("MRKT_NM"), TEXT("l_extendedprice").alias("AMT"))
-    w = PR.wholesale_market(raw)
+    w = cut_lineage(PR.wholesale_market(raw).select("date", "ctgry_cd", "item_cd", "unit", "price"))  # read twice; all rows of the distinct
     days = w.select("date", "ctgry_cd", "item_cd").distinct()
     return DS.wholesale_market_price(days, w).where("mafra_whsl_price_kg IS NOT NULL").select("date", "ctgry_cd", *r6("mafra_whsl_price_kg"))
 

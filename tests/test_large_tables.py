@@ -43,3 +43,10 @@ def test_crop_sources_are_stored(spark, tmp_path):
     sources = Q.agri_tables(spark, small_tables(spark, tmp_path)).sources
     shared = ["prices", "items", "stations", "weather", "fx", "macro", "imports", "trades", "origins", "production", "alias", "station_region"]
     assert [n for n in shared if "Exchange" in plan(sources[n])] == []
+
+
+def test_wholesale_rows_are_made_once(spark, tmp_path):
+    from panelmill.plans import catalog
+
+    x = catalog.QUERIES["d02_wholesale_market_median"](spark, small_tables(spark, tmp_path))
+    assert "lineitem" not in plan(x)  # days and medians come from the stored distinct rows
