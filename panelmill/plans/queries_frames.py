@@ -276,7 +276,7 @@ c3 AS (SELECT doc_id, pos, regexp_replace(regexp_replace(r, '^(채썬|썬|삶은
 
 @query("d18_recipe_ingredients", f"WITH {ING_SQL} SELECT recipe_id, count(*) AS n, md5(string_agg(ingredient, '|' ORDER BY pos)) AS listing FROM ri GROUP BY ALL")
 def _(spark, sf):
-    x = M.recipe_ingredients(recipes(spark, sf))
+    x = cut_lineage(M.recipe_ingredients(recipes(spark, sf)).select("recipe_id", "ingredient", "pos"))  # read twice
     return A.ordered_concat(x, ["recipe_id"], "ingredient", "pos", "|", "l").join(x.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("n")), "recipe_id").select("recipe_id", "n", F.md5("l").alias("listing"))
 
 

@@ -1,8 +1,12 @@
 """Steps that grew too dear with the tables: their results on odd rows, and how often they do their work."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from panelmill.functions import fixed_values as V
 from panelmill.functions import scalars as S
+from panelmill.operators import menu as M
 from panelmill.plans import queries_graph as Q
 
 
@@ -50,3 +54,12 @@ def test_wholesale_rows_are_made_once(spark, tmp_path):
 
     x = catalog.QUERIES["d02_wholesale_market_median"](spark, small_tables(spark, tmp_path))
     assert "lineitem" not in plan(x)  # days and medians come from the stored distinct rows
+
+
+def test_ingredients_are_cleaned_once(spark):
+    rows = [(1, "[]", "파(대파), 양파 약간,,냉동 참치"), (1, "[]", "양파,  두부 "), (2, '[["무", "1개"], [null, "2"], ["(x)", "1"]]', "당근"), (3, None, None), (None, "[]", "감자♣감자"), (4, "bad", "마늘 : 파")]
+    df = spark.createDataFrame(rows, "recipe_id int, ingredients string, ingredients_text string")
+    x = M.recipe_ingredients(df)
+    got = {(r.recipe_id, r.ingredient, r.pos, r.raw) for r in x.collect()}
+    assert got == {(1, "파", 0, "파(대파)"), (1, "양파", 0, "양파"), (1, "참치", 3, "냉동 참치"), (1, "두부", 1, "두부"), (2, "무", 0, "무"), (None, "감자", 0, "감자"), (4, "마늘", 0, "마늘"), (4, "파", 1, "파")}
+    assert plan(x.select("recipe_id", "ingredient", "pos")).count(V.ING_TAIL[:6]) == 1
