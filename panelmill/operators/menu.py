@@ -9,6 +9,7 @@ from ..functions import fixed_values as V
 from ..functions.quantiles import exact_median
 from ..functions.scalars import safe_div
 from ..functions.text import clean_ingredient, menu_name, strip_all, unify
+from ..session import cut_lineage
 from .aggregates import ordered_concat
 from .matching import best_alias, override
 
@@ -147,9 +148,20 @@ def scored_dishes(recipes: DataFrame, linked: DataFrame, state: DataFrame, seed:
         .join(state.select(F.col("item_nm").alias("price_item"), "score", "level", "trend", "pred", "pct"), "price_item")
     )
     rs = ing.groupBy(key).agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n_scored")).join(rec.select(key, "menu_name", *[c for c in ("name", "url", "time", "servings") if c in rec.columns]), key)
-    h1 = F.xxhash64(F.lit(seed), F.col(key))
-    best = rs.groupBy("menu_name").agg(F.max_by(F.struct(*rs.columns), F.struct("score", h1.alias("h"))).alias("_r")).select("_r.*")
-    return best, ing
+    return best_rows(rs.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))), "menu_name", ["score", "_h"]).drop("_h"), ing
+
+
+def best_rows(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The row of each key with the largest values of the (numeric) order columns, one after the other.
+
+    Numeric maxima are kept in a hash table of the keys; a maximum of rows would have every task sort all its rows first.
+    Only rows that share all maxima reach the last step.
+    """
+    left, out = cut_lineage(rows), rows.columns
+    for c in order:
+        top = cut_lineage(left.groupBy(F.col(key).alias("_k")).agg(F.max(c).alias("_top")))
+        left = left.join(top, F.col(key).eqNullSafe(F.col("_k")) & F.col(c).eqNullSafe(F.col("_top"))).select(*out)
+    return left.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*out), F.struct(*order)).alias("_r")).select("_r.*")
 
 
 def rank_menus(recipes: DataFrame, linked: DataFrame, state: DataFrame, seed: int = 0, top: int = 30, key: str = "recipe_id") -> DataFrame:

@@ -63,3 +63,14 @@ def test_ingredients_are_cleaned_once(spark):
     got = {(r.recipe_id, r.ingredient, r.pos, r.raw) for r in x.collect()}
     assert got == {(1, "파", 0, "파(대파)"), (1, "양파", 0, "양파"), (1, "참치", 3, "냉동 참치"), (1, "두부", 1, "두부"), (2, "무", 0, "무"), (None, "감자", 0, "감자"), (4, "마늘", 0, "마늘"), (4, "파", 1, "파")}
     assert plan(x.select("recipe_id", "ingredient", "pos")).count(V.ING_TAIL[:6]) == 1
+
+
+def test_best_rows(spark):
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice(["a", "b", None, "c"]), rnd.choice([None, 0.0, 1.0, 2.0]), rnd.randrange(4), "t%d" % i) for i in range(200)] + [(900, "only", None, 1, "x")]
+    df = spark.createDataFrame(rows, "id int, menu string, score double, h int, name string")
+    got = {r.menu: (r.score, r.h) for r in M.best_rows(df, "menu", ["score", "h"]).collect()}
+    low = lambda v: -1.0 if v is None else v
+    want = {m: max(((s, h) for _, k, s, h, _ in rows if k == m), key=lambda p: (low(p[0]), p[1])) for m in {r[1] for r in rows}}
+    assert got == want
+    assert M.best_rows(df, "menu", ["score", "h"]).columns == df.columns
