@@ -91,16 +91,25 @@ def learner(kind: str, y: str, pred: str, **kw):
 
 def fit(df: DataFrame, kind: str, num: list[str], cats: list[str], y: str, pred: str = "pred", weight: str | None = None, **kw) -> PipelineModel:
     """One fitted pipeline (indexers, assembler, learner) on rows with a target."""
+    return fitting(df, kind, num, cats, y, pred, weight, **kw)()
+
+
+def fitting(df: DataFrame, kind: str, num: list[str], cats: list[str], y: str, pred: str = "pred", weight: str | None = None, **kw) -> Callable[[], PipelineModel]:
+    """The fit as a job for side_by_side; its learner is set up at once, so that the order of learners is that of the calls."""
     est = learner(kind, y, pred, **kw)
     if kind == "boosted":
         cut_iterations(df)
     if weight:
         est = est.setWeightCol(weight)
-    rows, linear = df.where(F.col(y).isNotNull()), kind in ("ridge", "huber")
-    if linear and num:  # a column without any real training value says nothing: filled with 0 it would be constant
-        n = rows.agg(*[F.count(F.when(F.col(c) != OUT_OF_SCOPE, 1)).alias(c) for c in num]).first()
-        num = [c for c in num if n[c]]
-    return Pipeline(stages=[*_stages(num, cats, linear), est]).fit(rows)
+
+    def job() -> PipelineModel:
+        rows, linear, kept = df.where(F.col(y).isNotNull()), kind in ("ridge", "huber"), num
+        if linear and num:  # a column without any real training value says nothing: filled with 0 it would be constant
+            n = rows.agg(*[F.count(F.when(F.col(c) != OUT_OF_SCOPE, 1)).alias(c) for c in num]).first()
+            kept = [c for c in num if n[c]]
+        return Pipeline(stages=[*_stages(kept, cats, linear), est]).fit(rows)
+
+    return job
 
 
 def cut_iterations(df: DataFrame) -> None:
@@ -132,7 +141,7 @@ def seeds_and_scores(df: DataFrame, kind: str, num, cats, y: str, train: Column,
     x = cut_lineage(model_rows(df, num, cats))
     t = _training(x, y, train)
     out = x.where(test)
-    for m in side_by_side(df.sparkSession, [lambda s=s: fit(t, kind, num, cats, y, f"p{s}", seed=s, **kw) for s in seeds]):
+    for m in side_by_side(df.sparkSession, [fitting(t, kind, num, cats, y, f"p{s}", seed=s, **kw) for s in seeds]):
         out = score(m, out)
     return out
 
@@ -233,7 +242,7 @@ def search(df: DataFrame, kind: str, num, cats, y: str, train: Column, valid: Co
 
     x = cut_lineage(model_rows(df, num, cats))
     t = _training(x, y, train)
-    fitted = side_by_side(df.sparkSession, [lambda o=o: fit(t, kind, num, cats, y, **o) for o in options])
+    fitted = side_by_side(df.sparkSession, [fitting(t, kind, num, cats, y, **o) for o in options])
     parts = [metrics(score(m, x.where(valid)), y, "pred").withColumn("setting", F.lit(repr(o))) for m, o in zip(fitted, options)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -261,7 +270,7 @@ def ablation(df: DataFrame, kind: str, num, cats, y: str, train: Column, valid:
     runs = [("full", num, s) for s in seeds] + [(name, [c for c in num if c not in cols], s) for name, cols in drops.items() for s in seeds]
     x = cut_lineage(model_rows(df, num, cats))
     t = _training(x, y, train)
-    fitted = side_by_side(df.sparkSession, [lambda cols=cols, s=s: fit(t, kind, cols, cats, y, seed=s, **kw) for _, cols, s in runs])
+    fitted = side_by_side(df.sparkSession, [fitting(t, kind, cols, cats, y, seed=s, **kw) for _, cols, s in runs])
     parts = [metrics(score(m, x.where(valid)), y, "pred").select("rmse").withColumn("experiment", F.lit(n)).withColumn("seed", F.lit(s)) for m, (n, _, s) in zip(fitted, runs)]
     r = reduce(lambda a, b: a.unionByName(b), parts)
     g = r.groupBy("experiment").agg(F.avg("rmse").alias("rmse"), F.stddev_samp("rmse").alias("spread"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelmill.functions import fixed_values as V
 from panelmill.functions import scalars as S
 from panelmill.operators import menu as M
+from panelmill.operators import models as ML
 from panelmill.plans import queries_graph as Q
 
 
@@ -74,3 +75,10 @@ def test_best_rows(spark):
     want = {m: max(((s, h) for _, k, s, h, _ in rows if k == m), key=lambda p: (low(p[0]), p[1])) for m in {r[1] for r in rows}}
     assert got == want
     assert M.best_rows(df, "menu", ["score", "h"]).columns == df.columns
+
+
+def test_learners_are_set_up_in_order(spark, monkeypatch):
+    used = []
+    monkeypatch.setattr(ML, "learner", lambda kind, y, pred, **kw: used.append(kw["seed"]))
+    jobs = [ML.fitting(spark.range(1), "forest", [], [], "y", seed=s) for s in range(20)]
+    assert used == list(range(20)) and all(callable(j) for j in jobs)
