@@ -13,14 +13,20 @@ import re
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words a worker remembers; later new words are encoded each time they come.
 MEMO_WORDS = 150_000
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: A word of letters below U+0250 and the commas and full stops after it: always one token group and at most one more.
 _PLAIN = re.compile(r"([^\W\d_]+)([.,]*)")
-#: The same with what a memo key has before the word, letters of the first two Unicode blocks beyond ASCII only.
-_SIMPLE = re.compile("([\r\n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]*)")
+#: White space that is not one space or line break between two words: the texts without it are cut by Arrow.
+_ODD_SPACE = "\\A[ \n]|[ \n][ \n]|[ \n]\\z|[\t\x0b-\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Characters from which on texts are cut and counted by Arrow.
+LARGE = 50_000
+#: New words that the tokenizer takes as one text.
+JOINED = 200
 _MISSING = repeat(-1)
 
 
@@ -54,9 +60,7 @@ class Encoder:
         tokens = [bytes(back[c] for c in self.tokenizer.id_to_token(i)) for i in range(n)]
         self.lengths = np.array([len(x) for x in tokens], np.int64)
         self._encode = _by_ranks(ranks, tokens) if ranks else None
-        self.model, self.memo = self.tokenizer.model, memo
-        self.shown = {i: c for i, c in enumerate(self.byte) if i != 10}
-        self.marks: dict[str, list[int]] = {"": []}
+        self.memo = memo
         self.number: dict[str, int] = {}
         self.ids = np.empty(1 << 20, np.int32)
         self.used = 0
@@ -81,7 +85,7 @@ class Encoder:
     def _learn(self, keys: list[str]) -> None:
         """Encodes new words: with ranks plain ones as one text, which is cut into words again by the tokens' byte lengths."""
         if not self._encode:
-            self._learn_by_model(keys)
+            self._learn_joined(keys)
             return
         for at in range(0, len(keys), 20_000):
             every, counts, plain, odd = [], [], [], []
@@ -100,24 +104,25 @@ class Encoder:
             if odd:
                 self._put(odd, every, counts)
 
-    def _learn_by_model(self, keys: list[str]) -> None:
-        """Encodes new words: the letters of simple ones straight by the tokenizer's model, all others by its whole chain."""
-        tokenize, marks = self.model.tokenize, self.marks
-        found = [_SIMPLE.fullmatch(k) for k in keys]
-        simple = [m.groups() for m in found if m]
-        rest = [k for k, m in zip(keys, found) if not m]
-        if simple:
-            heads, cores, tails = zip(*simple)
-            cores = "\n".join([c if h else " " + c for h, c in zip(heads, cores)]).encode().decode("latin-1").translate(self.shown).split("\n")
-            for x in set(tails).difference(marks):
-                marks[x] = [t.id for t in tokenize(x)]
-            ids = [[t.id for t in tokenize(c)] for c in cores]
-            broken = [t.id for t in tokenize(self.byte[10])]
-            ids = [(broken + i if h == "\n" else i) + marks[x] if x or h == "\n" else i for h, i, x in zip(heads, ids, tails)]
-            self._put([k for k, m in zip(keys, found) if m], list(chain.from_iterable(ids)), list(map(len, ids)))
-        if rest:
-            ids = [self.tokenizer.encode(self.whole(k), add_special_tokens=False).ids for k in rest]
-            self._put(rest, list(chain.from_iterable(ids)), list(map(len, ids)))
+    def _learn_joined(self, keys: list[str]) -> None:
+        """Encodes new words, many at a time: a space or break stands before each, so as one text they keep their ids, and
+        the tokens' byte lengths tell them apart. Words that begin a text, and any whose ends are not ends of tokens, go alone."""
+        plain = [k for k in keys if k[:1] != "\r"]
+        alone = [k for k in keys if k[:1] == "\r"]
+        if plain:
+            words = [k if k[:1] == "\n" else " " + k for k in plain]
+            texts = ["".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+            ids = np.fromiter(chain.from_iterable([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]), np.int64)
+            ends = np.cumsum(pc.binary_length(pa.array(words, pa.large_string())).to_numpy().astype(np.int64))
+            tokens = np.cumsum(self.lengths[ids])
+            at = np.searchsorted(tokens, ends)
+            if len(tokens) and tokens[-1] == ends[-1] and (tokens[at] == ends).all():
+                self._put(plain, ids, np.diff(at + 1, prepend=0))
+            else:
+                alone = keys
+        if alone:
+            ids = [self.tokenizer.encode(self.whole(k), add_special_tokens=False).ids for k in alone]
+            self._put(alone, list(chain.from_iterable(ids)), list(map(len, ids)))
 
     def _put(self, keys: list[str], ids, counts) -> None:
         k, n = len(self.number), len(keys)
@@ -137,24 +142,49 @@ class Encoder:
             self.number.popitem()
         self.used = int(self.start[self.memo - 1] + self.count[self.memo - 1])
 
+    def _words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different memo keys of the texts, each word's place among them in text order, and each text's words."""
+        if sum(map(len, texts)) < LARGE:
+            lists = [self.pieces(t) for t in texts]
+            number: dict[str, int] = {}
+            which = [number.setdefault(k, len(number)) for k in chain.from_iterable(lists)]
+            return list(number), np.array(which, np.int64), np.array([len(x) for x in lists], np.int64)
+        a = pa.array(texts, pa.large_string())
+        odd = pc.or_(pc.equal(a, ""), pc.match_substring_regex(a, _ODD_SPACE)).to_numpy(zero_copy_only=False)
+        even = a.filter(pa.array(~odd))
+        first, none = pa.scalar("\r", pa.large_string()), pa.scalar("", pa.large_string())
+        even = pc.split_pattern(pc.binary_join_element_wise(first, pc.replace_substring(even, "\n", " \n"), none), " ")
+        lists = [self.pieces(texts[i]) for i in np.flatnonzero(odd).tolist()]
+        counts = np.empty(len(texts), np.int64)
+        counts[~odd] = pc.list_value_length(even).to_numpy()
+        counts[odd] = [len(x) for x in lists]
+        coded = pa.concat_arrays([even.flatten(), pa.array(list(chain.from_iterable(lists)), pa.large_string())]).dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        if lists:  # those stand behind the others
+            at = np.empty(len(texts), np.int64)
+            order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+            at[order] = np.cumsum(counts[order]) - counts[order]
+            which = which[np.repeat(at - (np.cumsum(counts) - counts), counts) + np.arange(len(which))]
+        return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), which, counts
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and each text's number of ids. Texts are encoded together; empty ones have no ids."""
-        lists = [self.pieces(t) for t in texts]
-        flat = list(chain.from_iterable(lists))
+        keys, which, words = self._words(texts)
         number = self.number
-        at = np.fromiter(map(number.get, flat, _MISSING), np.int64, len(flat))
+        at = np.fromiter(map(number.get, keys, _MISSING), np.int64, len(keys))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            self._learn(list(dict.fromkeys([flat[i] for i in missing])))
-            at[missing] = [number[flat[i]] for i in missing]
+            new = [keys[i] for i in missing]
+            self._learn(new)
+            at[missing] = [number[k] for k in new]
+        at = at[which]
         count, start = self.count[at], self.start[at]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(start - (ends - count), count) + np.arange(total)]
         if len(number) > self.memo:
             self._forget()
-        bounds = np.cumsum([0] + [len(x) for x in lists])
-        at_ends = np.concatenate([[0], ends])
+        at_ends, bounds = np.append(0, ends), np.append(0, np.cumsum(words))
         return ids, (at_ends[bounds[1:]] - at_ends[bounds[:-1]]).astype(np.int64)
 
 

@@ -52,3 +52,32 @@ def test_new_words_by_the_model_alone():
     texts += [rng.choice(["", "\n", " "]) + "".join(w + s for w, s in zip(rng.choice(words, 30), rng.choice([" ", " ", " ", "\n"], 30))).rstrip(" ") for _ in range(200)]
     ids, counts = e.encode(texts)
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_large_slices_are_cut_by_arrow_and_new_words_joined(monkeypatch):
+    class Counting:
+        def __init__(self, t):
+            self.t, self.batches, self.single = t, 0, 0
+
+        def encode_batch_fast(self, *a, **kw):
+            self.batches += 1
+            return self.t.encode_batch_fast(*a, **kw)
+
+        def encode(self, *a, **kw):
+            self.single += 1
+            return self.t.encode(*a, **kw)
+
+    from panelmill.llm import encoder as module
+
+    monkeypatch.setattr(module, "LARGE", 1)
+    rng = np.random.default_rng(5)
+    words = ["été,", "don't", "漢字", "a1", "<|endoftext|>", "***", "😀!", *["".join(rng.choice(list("abcdefgé"), 7)) for _ in range(2000)]]
+    even = ["".join(w + s for w, s in zip(rng.choice(words, 40), rng.choice([" ", "\n"], 40)))[:-1] for _ in range(60)]
+    odd = ["", " ", "\n", " lead", "tail\n", "tab\tin it", "two  spaces here", "a b c", "x\x1cy z", "no break", "line\r\nbreak", "　"]
+    texts = [x for pair in zip(even, [*odd, *even][: len(even)]) for x in pair] + odd
+    e = Encoder(VOCABULARY)
+    t, e.tokenizer = e.tokenizer, Counting(e.tokenizer)
+    ids, counts = e.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert e.tokenizer.batches == 1 and e.tokenizer.single <= len(set(texts)) + len(odd)
+    assert e.encode([])[0].tolist() == []
