@@ -82,3 +82,20 @@ def test_learners_are_set_up_in_order(spark, monkeypatch):
     monkeypatch.setattr(ML, "learner", lambda kind, y, pred, **kw: used.append(kw["seed"]))
     jobs = [ML.fitting(spark.range(1), "forest", [], [], "y", seed=s) for s in range(20)]
     assert used == list(range(20)) and all(callable(j) for j in jobs)
+
+
+def test_few_fences_do_not_deal_the_changes_by_domain(spark):
+    """A fence has a row a domain: the changes stay where they are, also when estimates of its query are large."""
+    from panelmill.operators import repair as R
+
+    x = spark.range(4000).select((F.col("id") % 2).alias("d"), (F.col("id") % 40).alias("market"), F.expr("date_add(DATE '1999-01-01', CAST(id / 40 AS INT))").alias("day"),
+                                 (F.lit(10.0) + F.col("id") * 7919 % 13).alias("price"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+        out = R.fence_flags(x, ["d", "market"], "day", "price", "1999-12-31", ["d"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(d" not in plan
+        assert out.count() == 4000 and out.where("outside IS NULL").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
