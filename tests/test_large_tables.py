@@ -99,3 +99,11 @@ def test_few_fences_do_not_deal_the_changes_by_domain(spark):
         assert out.count() == 4000 and out.where("outside IS NULL").count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_all_settings_of_a_search_are_fitted_at_once(spark):
+    """Each job waits for the eleven others, so a second round of fits would break the barrier."""
+    from threading import Barrier
+
+    met = Barrier(12, timeout=20)
+    assert sorted(ML.side_by_side(spark, [met.wait] * 12)) == list(range(12))
