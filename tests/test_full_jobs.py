@@ -40,7 +40,9 @@ def test_queries_use_the_stated_settings(spark, monkeypatch):
     assert {(r.a, r.b) for r in q["m28_seed_stability"](spark, SF).collect()} == {("42", "43"), ("42", "44"), ("43", "44")}
     assert used == [("boosted", 2, s) for s in (42, 43, 44)]
     del used[:]
-    assert q["m12_parameter_search"](spark, SF).count() == 12 and {u[1] for u in used} == {2, 4}
+    searched = q["m12_parameter_search"](spark, SF).cache()  # twelve settings, and the best one again for every seed
+    assert searched.where("seed IS NULL").count() == 12 and {u[1] for u in used} == {2, 4}
+    assert sorted(r.seed for r in searched.where("seed IS NOT NULL").collect()) == [42, 43, 44]
     assert {r.features for r in q["m27_feature_subset"](spark, SF).collect()} == {"all", "price_only", "top_50_pct"}
 
 
