@@ -2,8 +2,8 @@
 
 Known words are scored by their log frequency in each language. An unseen word is scored by its 4-character pieces
 (with its ends marked), or 3, 2, 1 characters where no longer piece is known. Frequencies are counted over all training
-rows and every (token, language) pair stays in the model, a table. Tasks hold the scores of the most frequent words alone;
-the other words of a document meet the table in a join, so that what is held does not change a result.
+rows and every (token, language) pair stays in the model, a table. Tasks hold the scores of the most frequent words and
+pieces alone; the others meet the table in a join, so that what is held does not change a result.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ from .common import MEMO_ENTRIES
 from .registry import query, table
 
 _WORDS = re.compile(r"[^\W\d_]+")
+_SUMS = pa.list_(pa.struct([("k", pa.int32()), ("v", pa.int64())]))
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Params:
     head: int = 100_000  # words whose scores every task holds at most, the most frequent; the others are joined
+    pieces: int = 200_000  # the same for the pieces of one length
     longest: int = 4
     smoothing: float = 0.5
 
@@ -106,17 +108,45 @@ def _head(words: DataFrame, n_langs: int, most: int) -> tuple[dict[str, int], np
     return number, scores
 
 
-def _unseen_scores(words: DataFrame, tokens: DataFrame, p: Params) -> DataFrame:
-    """word, scores of the words with a known piece: the mean over the known ones among its pieces, longest length first."""
+def _unseen_scores(words: DataFrame, tokens: DataFrame, n_langs: int, p: Params) -> DataFrame:
+    """word, scores of the words with a known piece: the mean over the known ones among its pieces, longest length first.
+
+    Pieces are several times a word's own size, so tasks look up the frequent ones where the word is; only the others travel.
+    """
     out = []
     for k in range(p.longest, 0, -1):
-        m = words.select("word", (F.concat(F.lit("<"), "word", F.lit(">")) if k > 1 else F.col("word")).alias("m"))
-        at = m.select("word", "m", F.explode(F.sequence(F.lit(1), F.greatest(F.length("m") - (k - 1), F.lit(1)))).alias("i"))
-        known = at.select("word", F.substring("m", F.col("i"), F.lit(k)).alias("token")).join(tokens.where(F.col("length") == k), "token")
-        # Number -1 counts the known pieces.
+        of_length = tokens.where(F.col("length") == k)
+        held = _head(of_length, n_langs, p.pieces)
+        shared = words.sparkSession.sparkContext.broadcast(held)
+
+        def look_up(batches: Iterator[pa.RecordBatch], k=k, shared=shared) -> Iterator[pa.RecordBatch]:
+            number, scores = shared.value
+            scores = np.vstack([scores, np.zeros((1, n_langs), np.int64)])  # the last row is that of a piece that is not held
+            for b in batches:
+                sums, rest = [], []
+                for word in b.column(0).to_pylist():
+                    m = f"<{word}>" if k > 1 else word
+                    found = [m[i : i + k] for i in range(max(1, len(m) - k + 1))]
+                    at = [number.get(x, -1) for x in found]
+                    n = len(at) - at.count(-1)
+                    total = scores[at].sum(axis=0).tolist() if n else ()
+                    # Number -1 counts the known pieces.
+                    sums.append([{"k": -1, "v": n}, *({"k": i, "v": v} for i, v in enumerate(total) if v)] if n else [])
+                    rest.append([x for x, i in zip(found, at) if i < 0])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, _SUMS), pa.array(rest, pa.list_(pa.string()))], ["word", "s", "rest"])
+
+        looked = words.select("word").mapInArrow(look_up, "word string, s array<struct<k: int, v: long>>, rest array<string>")
+        mean = F.transform(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), lambda x: F.struct(x["k"].alias("k"), F.round(x["v"] / F.col("s")[0]["v"]).cast("long").alias("v")))
+        if len(held[0]) == of_length.count():  # a piece that is not held is unknown
+            looked = cut_lineage(looked.drop("rest"))
+            out.append(looked.where(F.size("s") > 0).select("word", mean.alias("scores")))
+            words = looked.where(F.size("s") == 0).select("word")
+            continue
+        looked = cut_lineage(looked)
+        known = looked.select("word", F.explode("rest").alias("token")).join(of_length, "token")
         each = known.select("word", F.explode(F.concat("scores", F.array(F.struct(F.lit(-1).alias("k"), F.lit(1).cast("long").alias("v"))))).alias("s"))
+        each = each.unionByName(looked.select("word", F.explode("s").alias("s")))
         sums = each.groupBy("word", "s.k").agg(F.sum("s.v").alias("v")).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("s"))
-        mean = F.transform(F.slice("s", 2, F.size("s") - 1), lambda x: F.struct(x["k"].alias("k"), F.round(x["v"] / F.col("s")[0]["v"]).cast("long").alias("v")))
         out.append(cut_lineage(sums.select("word", mean.alias("scores"))))
         if k > 1:
             words = cut_lineage(words.join(out[-1], "word", "left_anti"))
@@ -178,7 +208,7 @@ def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col:
     rest = parts.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
     known = words.select(F.col("token").alias("word"), "scores")
     unseen = cut_lineage(rest.select("word").distinct().join(known, "word", "left_anti"))
-    met = rest.join(known.unionByName(_unseen_scores(unseen, tokens, p)), "word").select("row", "times", F.explode("scores").alias("s"))
+    met = rest.join(known.unionByName(_unseen_scores(unseen, tokens, len(langs), p)), "word").select("row", "times", F.explode("scores").alias("s"))
     added = met.groupBy("row", "s.k").agg(F.sum(F.col("s.v") * F.col("times")).alias("v")).groupBy("row").agg(F.collect_list(F.struct("k", "v")).alias("added"))
     whole = parts.join(added, "row", "left").select("doc_id", "n_words", "sums", "added")
     return whole.mapInArrow(decide, "doc_id long, lang_pred string, score double")
