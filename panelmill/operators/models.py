@@ -81,7 +81,7 @@ def learner(kind: str, y: str, pred: str, **kw):
         trees = dict(maxDepth=of["depth"], minInstancesPerNode=of["leaf"], subsamplingRate=of["rows"], featureSubsetStrategy=str(of["columns"]), maxBins=of.get("bins", 64), seed=seed)
         if kind == "boosted":
             return GBTRegressor(**common, maxIter=of["trees"], stepSize=of["rate"], lossType=of.get("loss", "squared"), **trees)
-        return RandomForestRegressor(**common, numTrees=of["trees"], **trees)
+        return RandomForestRegressor(**common, numTrees=of["trees"], cacheNodeIds=True, **trees)
     if kind == "ridge":
         return LinearRegression(**common, regParam=kw.pop("reg", 0.1), elasticNetParam=0.0, solver="normal", **kw)
     if kind == "huber":
@@ -97,7 +97,7 @@ def fit(df: DataFrame, kind: str, num: list[str], cats: list[str], y: str, pred:
 def fitting(df: DataFrame, kind: str, num: list[str], cats: list[str], y: str, pred: str = "pred", weight: str | None = None, **kw) -> Callable[[], PipelineModel]:
     """The fit as a job for side_by_side; its learner is set up at once, so that the order of learners is that of the calls."""
     est = learner(kind, y, pred, **kw)
-    if kind == "boosted":
+    if kind in ("boosted", "forest"):
         cut_iterations(df)
     if weight:
         est = est.setWeightCol(weight)
@@ -107,13 +107,24 @@ def fitting(df: DataFrame, kind: str, num: list[str], cats: list[str], y: str, p
         if linear and num:  # a column without any real training value says nothing: filled with 0 it would be constant
             n = rows.agg(*[F.count(F.when(F.col(c) != OUT_OF_SCOPE, 1)).alias(c) for c in num]).first()
             kept = [c for c in num if n[c]]
-        return Pipeline(stages=[*_stages(kept, cats, linear), est]).fit(rows)
+        if kind != "boosted":
+            return Pipeline(stages=[*_stages(kept, cats, linear), est]).fit(rows)
+        features, stored = _features(rows, kept, cats, [y, *([weight] if weight else [])])
+        return PipelineModel([*features.stages, est.fit(stored)])
 
     return job
 
 
+def _features(rows: DataFrame, num: list[str], cats: list[str], keep: list[str]) -> tuple[PipelineModel, DataFrame]:
+    """Fitted indexers and assembler of tree learners, and the rows' features beside the columns to keep, checkpointed: every
+    job of a fit carries the plan behind its rows, and boosting is a chain of thousands of them."""
+    cut_iterations(rows)
+    m = Pipeline(stages=_stages(num, cats)).fit(rows)
+    return m, m.transform(rows).select("_features", *keep).checkpoint()
+
+
 def cut_iterations(df: DataFrame) -> None:
-    """Names a folder where boosting writes its residuals every ten trees, or their lineage grows by each tree."""
+    """Names a folder where learners write residuals and rows' nodes every ten rounds, or their lineage grows by each round."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
@@ -173,18 +184,17 @@ def classify(df: DataFrame, num, cats, y: str, train: Column, test: Column, band
         "_cls": (direction(y, band) + 1).cast("double"), "_up": (F.col(y) > 0).cast("double"),
         "_gt": (F.col(y) > band).cast("double"), "_ge": (F.col(y) >= -band).cast("double"),
     })
-    cut_iterations(df)
-    tr, out = few_partitions(cut_lineage(x.where(train))), x.where(test)
+    features, tr = _features(few_partitions(cut_lineage(x.where(train))), num, cats, ["_cls", "_up", "_gt", "_ge"])
+    out = x.where(test)
     rf = RandomForestClassifier(featuresCol="_features", labelCol="_cls", predictionCol="_p3", probabilityCol="_pp", rawPredictionCol="_pr", numTrees=FOREST["trees"], maxDepth=FOREST["depth"], minInstancesPerNode=FOREST["leaf"],
-                                subsamplingRate=FOREST["rows"], featureSubsetStrategy=str(FOREST["columns"]), maxBins=64, seed=seed)
+                                subsamplingRate=FOREST["rows"], featureSubsetStrategy=str(FOREST["columns"]), maxBins=64, seed=seed, cacheNodeIds=True)
     learners = [rf]
     for lab in ("_up", "_gt", "_ge"):
         g = GBTClassifier(featuresCol="_features", labelCol=lab, predictionCol=f"p{lab}", maxIter=BOOST["trees"], maxDepth=BOOST["depth"], minInstancesPerNode=BOOST["leaf"], stepSize=BOOST["rate"],
                           subsamplingRate=BOOST["rows"], featureSubsetStrategy=str(BOOST["columns"]), maxBins=64, seed=seed)
         learners.append(g.setProbabilityCol(f"q{lab}").setRawPredictionCol(f"r{lab}"))
-    fitted = side_by_side(df.sparkSession, [lambda g=g: Pipeline(stages=[*_stages(num, cats), g]).fit(tr) for g in learners])
-    for m in fitted:
-        out = score(m, out)
+    fitted = side_by_side(df.sparkSession, [lambda g=g: g.fit(tr) for g in learners])
+    out = score(PipelineModel([*features.stages, *fitted]), out)
     out = out.withColumn("three_way", (F.col("_p3") - 1).cast("int")).drop("_p3", "_pp", "_pr", *[f"{c}{lab}" for c in "qr" for lab in ("_up", "_gt", "_ge")])
     ordinal = (F.col("p_gt") + F.col("p_ge") - 1).cast("int")
     return out.withColumn("up", F.col("p_up").cast("int")).withColumn("ordinal", ordinal).withColumn("label", direction(y, band)).drop("_cls", "_up", "_gt", "_ge", "p_up", "p_gt", "p_ge")

@@ -372,7 +372,7 @@ def _(spark, sf):
 @query("m06_robust_losses")
 def _(spark, sf):
     x = cut_lineage(frame(spark, sf))
-    a, b = [ML.train_and_score(x, k, NUM, CATS, "y", train_rows(), test_rows(), **kw) for k, kw in (("boosted", {"loss": "absolute"}), ("huber", {}))]
+    a, b = ML.side_by_side(spark, [lambda k=k, kw=kw: ML.train_and_score(x, k, NUM, CATS, "y", train_rows(), test_rows(), **kw) for k, kw in (("boosted", {"loss": "absolute"}), ("huber", {}))])
     a = a.select(*SERIES, "date", "y", F.round("pred", 6).alias("absolute"))
     return a.join(b.select(*SERIES, "date", F.round("pred", 6).alias("huber")), [*SERIES, "date"])
 
@@ -520,10 +520,16 @@ def _(spark, sf):
     from functools import reduce
 
     x = cut_lineage(frame(spark, sf))
-    ranked = ML.importances(ML.fit(ML.model_rows(x.where(train_rows()), NUM, CATS), "boosted", NUM, CATS, "y"), NUM, CATS, spark)
+    rows = cut_lineage(ML.model_rows(x.where(train_rows()), NUM, CATS))
+
+    def metrics(name, cols):
+        return E.metrics(ML.train_and_score(x, "ridge", cols, CATS, "y", train_rows(), test_rows()), "y", "pred").withColumn("features", F.lit(name))
+
+    lists = {"all": NUM, "price_only": ["r28", "dev_last"]}
+    model, *parts = ML.side_by_side(spark, [ML.fitting(rows, "boosted", NUM, CATS, "y"), *[lambda a=a: metrics(*a) for a in lists.items()]])
+    ranked = ML.importances(model, NUM, CATS, spark)
     rank = [r["column"] for r in ranked.where(F.col("column").isin(NUM)).orderBy(F.desc("importance"), "column").collect()]  # one row a feature
-    lists = {"all": NUM, "price_only": ["r28", "dev_last"]} | {f"top_{round(k * 100)}_pct": rank[: max(1, round(len(rank) * k))] for k in KEEP}
-    parts = [E.metrics(ML.train_and_score(x, "ridge", cols, CATS, "y", train_rows(), test_rows()), "y", "pred").withColumn("features", F.lit(name)) for name, cols in lists.items()]
+    parts += [metrics(f"top_{round(k * 100)}_pct", rank[: max(1, round(len(rank) * k))]) for k in KEEP]
     return reduce(lambda a, b: a.unionByName(b), parts).select("features", "n", *r6(*MC))
 
 
