@@ -81,3 +81,40 @@ def test_large_slices_are_cut_by_arrow_and_new_words_joined(monkeypatch):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
     assert e.tokenizer.batches == 1 and e.tokenizer.single <= len(set(texts)) + len(odd)
     assert e.encode([])[0].tolist() == []
+
+
+def test_anchors_are_searched_in_blocks(monkeypatch):
+    """No block's hashes go beyond BLOCK starts, and runs don't depend on where blocks begin."""
+    rng, p = np.random.default_rng(6), suffix.Params()
+    data = rng.choice(list(b"ab "), 9000).astype(np.uint8)
+    data[5000:7000] = data[1000:3000]
+    offsets = np.cumsum([0, 0, 700, 49, 50, 0, 3201, 4990, 10])
+    seen, whole = [], suffix.gram_hashes
+
+    def hashes(part, k):
+        seen.append(len(part))
+        return whole(part, k)
+
+    monkeypatch.setattr(suffix, "gram_hashes", hashes)
+    monkeypatch.setattr(suffix, "BLOCK", 1 << 20)
+    want = suffix.runs(data, offsets, p)
+    for block in (1, 37, 1000):
+        monkeypatch.setattr(suffix, "BLOCK", block)
+        del seen[:]
+        got = suffix.runs(data, offsets, p)
+        assert max(seen) <= block + p.length - 1 and all((a == b).all() for a, b in zip(got, want))
+    covered = np.concatenate([np.arange(a, a + n) for a, n in zip(want[1], want[2])])
+    assert sorted(covered) == [i for i in range(len(data)) for e in [offsets[offsets > i].min()] if i + p.length <= e]
+    assert all(offsets[d] <= a < offsets[d + 1] for d, a in zip(want[0], want[1]))
+
+
+def test_prefixes_are_compared_at_ends_of_stretches():
+    """A text that repeats is compared at few places, so its common prefixes need no pass over every byte."""
+    rng = np.random.default_rng(7)
+    for t in (np.zeros(500, np.uint8), np.tile(rng.integers(0, 3, 90).astype(np.uint8), 9), np.append(rng.integers(0, 2, 300), np.zeros(70)).astype(np.uint8)):
+        b, sa = t.tobytes(), suffix.suffix_array(t)
+        assert sa.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+        for limit in (1, 8, 20, 50):
+            want = [0] + [next(k for k in range(limit + 1) if k == limit or max(x, y) + k >= len(b) or b[x + k] != b[y + k]) for x, y in zip(sa[:-1].tolist(), sa[1:].tolist())]
+            assert suffix.common_prefixes(t, sa, limit).tolist() == want
+    assert len(suffix.common_prefixes(np.empty(0, np.uint8), np.empty(0, np.int64), 50)) == 0
