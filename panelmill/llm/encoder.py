@@ -63,7 +63,7 @@ class Encoder:
         self.memo = memo
         self.number: dict[str, int] = {}
         self.ids = np.empty(1 << 20, np.int32)
-        self.used = 0
+        self.used = self.words = 0
         self.start = np.empty(1 << 17, np.int64)
         self.count = np.empty(1 << 17, np.int64)
 
@@ -82,50 +82,56 @@ class Encoder:
     def whole(key: str) -> str:
         return key[1:] if key[:1] == "\r" else key if key[:1] == "\n" else " " + key
 
-    def _learn(self, keys: list[str]) -> None:
-        """Encodes new words: with ranks plain ones as one text, which is cut into words again by the tokens' byte lengths."""
+    def _learn(self, keys: list[str]) -> np.ndarray:
+        """Encodes new words and returns their numbers: with ranks plain ones as one text, which is cut into words again by
+        the tokens' byte lengths. Words are remembered up to the limit; the others' ids last until the next call of encode."""
         if not self._encode:
-            self._learn_joined(keys)
-            return
+            return self._learn_joined(keys)
+        out = np.empty(len(keys), np.int64)
         for at in range(0, len(keys), 20_000):
             every, counts, plain, odd = [], [], [], []
-            for key in keys[at : at + 20_000]:
+            for i, key in enumerate(keys[at : at + 20_000], at):
                 core = key[1:] if key[:1] in "\r\n" else key
-                (plain if _PLAIN.fullmatch(core) and max(core) < "\u0250" and key[:1] != "\r" else odd).append(key)
+                (plain if _PLAIN.fullmatch(core) and max(core) < "\u0250" and key[:1] != "\r" else odd).append(i)
             if plain:
-                words = [self.whole(k) for k in plain]
+                words = [self.whole(keys[i]) for i in plain]
                 ids = np.array(self._encode("".join(words)))
                 ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) for w in words])) + 1
-                self._put(plain, ids, np.diff(ends, prepend=0))
-            for key in odd:
-                ids = self.tokenizer.encode(self.whole(key), add_special_tokens=False).ids
+                out[plain] = self._put([keys[i] for i in plain], ids, np.diff(ends, prepend=0))
+            for i in odd:
+                ids = self.tokenizer.encode(self.whole(keys[i]), add_special_tokens=False).ids
                 every += ids
                 counts.append(len(ids))
             if odd:
-                self._put(odd, every, counts)
+                out[odd] = self._put([keys[i] for i in odd], every, counts)
+        return out
 
-    def _learn_joined(self, keys: list[str]) -> None:
+    def _learn_joined(self, keys: list[str]) -> np.ndarray:
         """Encodes new words, many at a time: a space or break stands before each, so as one text they keep their ids, and
         the tokens' byte lengths tell them apart. Words that begin a text, and any whose ends are not ends of tokens, go alone."""
-        plain = [k for k in keys if k[:1] != "\r"]
-        alone = [k for k in keys if k[:1] == "\r"]
-        if plain:
+        out = np.empty(len(keys), np.int64)
+        alone = [i for i, k in enumerate(keys) if k[:1] == "\r"]
+        together = np.delete(np.arange(len(keys)), alone)
+        if len(together):
+            plain = [k for k in keys if k[:1] != "\r"] if alone else keys
             words = [k if k[:1] == "\n" else " " + k for k in plain]
             texts = ["".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
-            ids = np.fromiter(chain.from_iterable([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]), np.int64)
+            ids = np.concatenate([np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
             ends = np.cumsum(pc.binary_length(pa.array(words, pa.large_string())).to_numpy().astype(np.int64))
             tokens = np.cumsum(self.lengths[ids])
             at = np.searchsorted(tokens, ends)
             if len(tokens) and tokens[-1] == ends[-1] and (tokens[at] == ends).all():
-                self._put(plain, ids, np.diff(at + 1, prepend=0))
+                out[together] = self._put(plain, ids, np.diff(at + 1, prepend=0))
             else:
-                alone = keys
+                alone = list(range(len(keys)))
         if alone:
-            ids = [self.tokenizer.encode(self.whole(k), add_special_tokens=False).ids for k in alone]
-            self._put(alone, list(chain.from_iterable(ids)), list(map(len, ids)))
+            ids = [self.tokenizer.encode(self.whole(keys[i]), add_special_tokens=False).ids for i in alone]
+            out[alone] = self._put([keys[i] for i in alone], list(chain.from_iterable(ids)), list(map(len, ids)))
+        return out
 
-    def _put(self, keys: list[str], ids, counts) -> None:
-        k, n = len(self.number), len(keys)
+    def _put(self, keys: list[str], ids, counts) -> np.ndarray:
+        """Stores ids of new words behind those there are and returns the words' numbers."""
+        k, n = self.words, len(keys)
         if k + n > len(self.start):
             self.start, self.count = np.resize(self.start, 2 * (k + n)), np.resize(self.count, 2 * (k + n))
         if self.used + len(ids) > len(self.ids):
@@ -134,13 +140,14 @@ class Encoder:
         self.count[k : k + n] = counts
         self.start[k : k + n] = self.used + np.cumsum(counts) - counts
         self.used += len(ids)
-        self.number.update(zip(keys, range(k, k + n)))
+        self.words += n
+        self.number.update(zip(keys[: max(0, self.memo - k)], range(k, self.memo)))
+        return np.arange(k, k + n)
 
     def _forget(self) -> None:
         """Past the limit the memo keeps its first words, which hold the frequent ones."""
-        while len(self.number) > self.memo:
-            self.number.popitem()
-        self.used = int(self.start[self.memo - 1] + self.count[self.memo - 1])
+        self.words = len(self.number)
+        self.used = int(self.start[self.words - 1] + self.count[self.words - 1]) if self.words else 0
 
     def _words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The different memo keys of the texts, each word's place among them in text order, and each text's words."""
@@ -172,17 +179,15 @@ class Encoder:
         keys, which, words = self._words(texts)
         number = self.number
         at = np.fromiter(map(number.get, keys, _MISSING), np.int64, len(keys))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            new = [keys[i] for i in missing]
-            self._learn(new)
-            at[missing] = [number[k] for k in new]
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            at[missing] = self._learn([keys[i] for i in missing.tolist()])
         at = at[which]
         count, start = self.count[at], self.start[at]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(start - (ends - count), count) + np.arange(total)]
-        if len(number) > self.memo:
+        if self.words > len(number):
             self._forget()
         at_ends, bounds = np.append(0, ends), np.append(0, np.cumsum(words))
         return ids, (at_ends[bounds[1:]] - at_ends[bounds[:-1]]).astype(np.int64)

@@ -40,6 +40,8 @@ _BITS16 = np.ceil(np.log2(np.arange(1 << 16) + 1)).astype(np.int8)
 
 
 def bit_length(v: np.ndarray) -> np.ndarray:
+    if not v.size or v.max() < 1 << 16:
+        return _BITS16.take(v.view(np.int64))
     out = np.zeros(v.shape, np.int8)
     for k in (48, 32, 16):
         big = v >= np.uint64(1) << np.uint64(k)
@@ -72,30 +74,31 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n_s = int(COUNTS[s])
         k = n_s.bit_length() - 1
         widest = np.maximum(most[k][:, :BLOCK], most[k][:, n_s - (1 << k) : n_s - (1 << k) + BLOCK])
-        choice[widest <= WIDTHS[s]] = s
-    at = np.zeros(lanes, np.int64)
-    lane = np.arange(lanes)
-    got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    while len(lane):
-        s = choice[lane, at]
-        got.append((lane, at, s))
-        at = at + COUNTS[s]
-        more = at < sizes[lane]
-        lane, at = lane[more], at[more]
-    if not got:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    lane, at, s = (np.concatenate(x) for x in zip(*got))
-    order = np.argsort(lane, kind="stable")
-    lane, at, s = lane[order], at[order], s[order].astype(np.int64)
+        np.copyto(choice, np.int8(s), where=widest <= np.int8(WIDTHS[s]))
+    choice = choice.ravel()
+    first = np.arange(lanes) * BLOCK
+    at, stop = first, first + sizes
+    begins = np.zeros(lanes * BLOCK, bool)  # values that begin a word; every block goes one word further at a time
+    while len(at):
+        begins[at] = True
+        at = at + COUNTS.take(choice.take(at))
+        more = at < stop
+        if not more.all():
+            at, stop = at[more], stop[more]
+    at = np.flatnonzero(begins)
+    s, lane = choice[at].astype(np.int64), at // BLOCK
+    flat, at = v.ravel(), at + lane * (v.shape[1] - BLOCK)
     words = s.astype(np.uint64) << np.uint64(60)
     for k in range(ESCAPE):
         mine = np.flatnonzero(s == k)
         if len(mine):
-            part = v[lane[mine, None], at[mine, None] + np.arange(COUNTS[k])]
-            words[mine] |= np.bitwise_or.reduce(part << (np.arange(COUNTS[k]) * WIDTHS[k]).astype(np.uint64), axis=1)
+            here, part = at[mine], words[mine]
+            for j in range(int(COUNTS[k])):
+                part |= flat.take(here + j) << np.uint64(j * WIDTHS[k])
+            words[mine] = part
     odd = np.flatnonzero(s == ESCAPE)
     words[odd] |= np.arange(len(odd), dtype=np.uint64)
-    return words, v[lane[odd], at[odd]], np.bincount(lane, minlength=lanes)
+    return words, flat[at[odd]], np.bincount(lane, minlength=lanes)
 
 
 def unpack(words: np.ndarray, exceptions: np.ndarray, block_words: np.ndarray, block_values: np.ndarray, first_exception: int = 0) -> np.ndarray:
@@ -195,6 +198,8 @@ def read_file(uri: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
                 rest, done = rest[n:], done + k
 
 
+#: Text bytes that are encoded together: different words are looked up once a slice.
+SLICE = 4 << 20
 #: Words a worker remembers here, where every rare one costs a call of the tokenizer.
 MEMO = 400_000
 
@@ -202,7 +207,7 @@ MEMO = 400_000
 def _write(folder: str, vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, e, w = TaskContext.get().partitionId(), encoder(vocabulary, memo=MEMO), None
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", SLICE):
             w = w or Writer(folder, f"part-{part:06d}.s8b")
             ids, counts = e.encode([x or "" for x in b.column(1).to_pylist()])
             out = np.full(len(ids) + len(counts), end_id, np.uint64)

@@ -118,3 +118,22 @@ def test_prefixes_are_compared_at_ends_of_stretches():
             want = [0] + [next(k for k in range(limit + 1) if k == limit or max(x, y) + k >= len(b) or b[x + k] != b[y + k]) for x, y in zip(sa[:-1].tolist(), sa[1:].tolist())]
             assert suffix.common_prefixes(t, sa, limit).tolist() == want
     assert len(suffix.common_prefixes(np.empty(0, np.uint8), np.empty(0, np.int64), 50)) == 0
+
+
+def test_words_past_the_memo_are_not_remembered():
+    """A full memo takes no word in, not even for the length of a call; ids of those words are there for that call."""
+
+    class Full(dict):
+        def popitem(self):
+            raise AssertionError("a word was taken in and out again")
+
+    t, e = Tokenizer.from_file(VOCABULARY), Encoder(VOCABULARY, memo=40)
+    e.number = Full()
+    rng = np.random.default_rng(8)
+    for _ in range(4):
+        texts = [" ".join("".join(rng.choice(list("abcdé,"), 5)) for _ in range(30)) for _ in range(5)] + ["  odd\tone", ""]
+        ids, counts = e.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert list(e.number.values()) == list(range(40))
+    e = Encoder(VOCABULARY, memo=0)
+    assert [e.encode(["a b a"])[0].tolist() for _ in range(2)] == [t.encode("a b a", add_special_tokens=False).ids] * 2
