@@ -59,3 +59,23 @@ def test_the_input_is_read_once(spark, values):
     n = values.count()
     exact_median(values.mapInArrow(count, "k string, v double"), ["k"], F.col("v") * 2, "m", hot_rows=10).collect()
     assert seen.value == n
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_groups_stay_out_of_the_buffers(spark):
+    """Where most rows are in groups of one or two, their least and largest value give the quantiles."""
+    inf, nan = float("inf"), float("nan")
+    groups = {0: [3.0], 1: [1.0, 2.0], 2: [0.1, 0.3], 3: [5.0, 5.0], 4: [4.0, -inf], 5: [nan, 1.0], 6: [inf, inf], 7: [0.0, -7.5], 8: [1.0, 2.0, 10.0], **{k: [float(k)] for k in range(9, 40)}}
+    df = spark.createDataFrame([(k, x) for k, vs in groups.items() for x in vs] + [(1, None), (None, 8.0)], "k int, v double")
+    got = exact_quantiles(df, ["k"], "v", PROBS)
+    want = df.where("k is not null").groupBy("k").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in PROBS.items()])
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    alone = exact_quantiles(df.where("k <> 8"), ["k"], "v", PROBS)
+    assert "percentile" in plan_of(got) and "percentile" not in plan_of(alone) and alone.count() == 39
+    mixed = df.unionByName(spark.range(3000).selectExpr("100 k", "cast(id as double) v"))  # most rows in one group: one way for all
+    assert plan_of(exact_median(mixed, ["k"], "v", "m")).count("Join") == 0
+    hot = {r.k: r.m for r in exact_median(df, ["k"], "v", "m", hot_rows=2).collect()}
+    assert len(hot) == 40 and hot[8] == 2.0 and hot[1] == 1.5

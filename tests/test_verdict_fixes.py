@@ -36,3 +36,29 @@ def test_linear_fit_fills_missing_with_the_training_mean(spark):
     mean = s.where("i % 5 <> 0").agg(F.avg("y")).first()[0]
     missing = s.where("i % 5 = 0").agg(F.min("pred"), F.max("pred")).first()
     assert err < 1e-6 and all(math.isclose(v, mean, rel_tol=1e-6) for v in missing)
+
+
+def test_repair_sorts_by_a_number_first(spark):
+    """Keys that start with a text all rows share must not lead the sorts; rows with null keys stay as they are."""
+    import datetime as dt
+
+    from panelmill.operators import repair as R
+
+    d = [dt.date(2020, 1, k) for k in (6, 7, 8)]
+    rows = [("s", m, x, p) for m in ("a", "b") for x, p in zip(d, (100.0, 300.0, 101.0))] + [("s", None, x, p) for x, p in zip(d, (100.0, 300.0, 101.0))] + [("s", "a", d[1], 310.0), ("s", "b", None, 5.0)]
+    df = spark.createDataFrame(rows, "se string, m string, date date, p double")
+    out = R.repair_spikes(df, ["se", "m"], "date", "p", "marked")
+    got = sorted((r.m or "-", str(r.date), r.p, r.marked) for r in out.collect())
+    assert out.columns == ["se", "m", "date", "p", "marked"] and len(got) == len(rows)
+    assert [g[2:] for g in got if g[:2] == ("a", "2020-01-07")] == [(100.0, True)] * 2 and ("-", "2020-01-07", 300.0, False) in got and ("b", "None", 5.0, False) in got
+    left = R.drop_spikes(df, ["se", "m"], "date", "p")
+    assert left.columns == df.columns and left.count() == len(rows) - 3
+    import re
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = R.repair_spikes(df, ["se", "m"], "date", "p")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sorts = re.findall(r"Sort \[(\w+)", plan)
+    assert len(sorts) >= 3 and all(s.startswith("_") for s in sorts), sorts
